@@ -12,7 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinloom.functions import rng
-from twinloom.session import width
+from twinloom.session import cut, width
 
 SLICE = "_slice"
 
@@ -36,11 +36,25 @@ def slice_columns(df: DataFrame, cols: list[str], slices: int | None = None, pre
 
 def with_value_slice(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
     """Slice by one numeric or timestamp column."""
-    as_double = F.col(order).cast("double")
+    as_double = numeric_order(df, order)
     out = slice_columns(df.withColumn("_order_d", as_double), ["_order_d"], slices, "_s")
     return out.withColumn(SLICE, F.col("_s__order_d").cast("int")).drop("_s__order_d", "_order_d")
 
 
+def numeric_order(df: DataFrame, order: str) -> Column:
+    """A double that never decreases as the column grows; used for slicing only, not for the order itself."""
+    if dict(df.dtypes)[order] == "timestamp_ntz":
+        return F.col(order).cast("timestamp").cast("double")
+    return F.col(order).cast("double")
+
+
+def with_range_slice(df: DataFrame, order: str) -> DataFrame:
+    """Slice a column of any type by a range exchange. The slice numbers are fixed by a checkpoint, so a lost
+    executor cannot renumber them."""
+    n = width(df.sparkSession)
+    return cut(df.repartitionByRange(n, order).withColumn(SLICE, F.spark_partition_id()))
+
+
 def with_hash_slice(df: DataFrame, u: str, slices: int | None = None) -> DataFrame:
     """Slice by a uniform column: balanced without looking at the data."""
     n = slices or width(df.sparkSession)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from twinloom.plans import q_compare
+from twinloom.plans import q_compare, q_runs
 
-MODULES = [q_compare]
+MODULES = [q_compare, q_runs]
 
 
 def queries():

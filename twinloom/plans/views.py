@@ -62,3 +62,56 @@ def docs_labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 DOCS_LABELLED_SQL = """docs_labelled as (select d.*, l.quality, l.toxic from documents d join labels l on d.doc_id = l.doc_id)"""
+
+
+SCORES = {"privacy": 37, "utility": 53, "realism": 71, "diversity": 89, "mia": 97, "singling": 101, "leak": 103, "causal": 107, "temporal": 109}
+EVENT_MODELS = {"signup": "ctgan", "purchase": "tabddpm", "click": "llm", "view": "gnn", "error": "diffusion"}
+MODALITIES = ["tabular", "text", "image", "graph", "tabular"]
+CAPS = [0.5, 1.0, 3.0, 10.0]
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every event read as one generation attempt; two attempts make a run."""
+    from twinloom.operators.runs import reward
+
+    e = load_table(spark, d, "events")
+    i = F.col("event_id")
+    model = F.create_map(*[F.lit(x) for kv in EVENT_MODELS.items() for x in kv])[F.col("event_type")]
+    run = F.floor(i / 2)
+    base = e.select(
+        i.alias("seq"), run.alias("run_id"), (i % 2).alias("attempt"), F.concat(F.lit("ds"), (run % 20).cast("string")).alias("dataset"),
+        model.alias("model"), F.col("ts"), *[((i * k) % 1000 / 1000.0).alias(c) for c, k in SCORES.items()],
+        F.when(i % 97 == 5, F.lit(float("nan"))).otherwise((i * SCORES["utility"]) % 1000 / 1000.0).alias("utility_raw"),
+        (F.col("value") / 10).alias("epsilon"), (100 + (i * 13) % 20000).alias("n_rows"), (2 + (i * 7) % 600).alias("n_cols"),
+        ((i * 61) % 1000 / 1000.0).alias("sparsity"), (1 + (i * 17) % 80 / 10.0).alias("imbalance"),
+        F.element_at(F.array(*[F.lit(m) for m in MODALITIES]), (i % 5 + 1).cast("int")).alias("modality"), (i % 11 == 0).alias("is_temporal"),
+        F.element_at(F.array(*[F.lit(c) for c in CAPS]), (run % 4 + 1).cast("int")).alias("epsilon_cap"),
+    )
+    return base.withColumn("reward", reward(utility="utility_raw"))
+
+
+RUNS_SQL = f"""runs0 as (
+ select event_id seq, event_id//2 run_id, event_id%2 attempt, 'ds'||((event_id//2)%20)::varchar dataset,
+  case event_type {' '.join(f"when '{e}' then '{m}'" for e, m in EVENT_MODELS.items())} end model, ts,
+  {', '.join(f"(event_id*{k})%1000/1000.0::double {c}" for c, k in SCORES.items())},
+  case when event_id%97=5 then 'nan'::double else (event_id*53)%1000/1000.0::double end utility_raw,
+  value/10 epsilon, 100+(event_id*13)%20000 n_rows, 2+(event_id*7)%600 n_cols, (event_id*61)%1000/1000.0::double sparsity,
+  1+(event_id*17)%80/10.0::double imbalance,
+  (array[{', '.join(f"'{m}'" for m in MODALITIES)}])[event_id%5+1] modality, event_id%11=0 is_temporal,
+  (array[0.5,1.0,3.0,10.0])[(event_id//2)%4+1]::double epsilon_cap from events),
+ runs as (select *, greatest(0,least(1,0.4*privacy+0.3*(case when isnan(utility_raw) then 0 else utility_raw end)+0.2*realism+0.1*diversity)) reward from runs0)"""
+
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a ledger entry; each thousandth one is a reset marker."""
+    e = load_table(spark, d, "events")
+    i = F.col("event_id")
+    return e.select(
+        i.alias("seq"), "ts", F.concat(F.lit("ds"), (F.floor(i / 2) % 20).cast("string")).alias("dataset"),
+        F.when(i % 1000 == 0, "reset").otherwise("spend").alias("kind"), (F.col("value") / 10).alias("epsilon"),
+    )
+
+
+LEDGER_SQL = """ledger as (select event_id seq, ts, 'ds'||((event_id//2)%20)::varchar dataset,
+ case when event_id%1000=0 then 'reset' else 'spend' end kind, value/10 epsilon from events),
+ live as (select * from ledger where kind='spend' and seq > (select coalesce(max(seq),-1) from ledger where kind='reset'))"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(master: str | None = None, app: str = "twinloom", shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(master: str | None = None, app: str = "twinloom", shuffle_partitions: int | None = None, quiet: bool = False) -> SparkSession:
     """A session with adaptive execution, skew-join splitting and UTC timestamps."""
     b = (
         SparkSession.builder.appName(app)
@@ -21,6 +21,8 @@ def build_session(master: str | None = None, app: str = "twinloom", shuffle_part
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+    if quiet:
+        b = b.config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
