@@ -51,7 +51,8 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
 def label_encode(df: DataFrame, col: str, codes: DataFrame | None = None) -> DataFrame:
     """Replace a column by its code. The join side is broadcast only if Spark measures it as small."""
     codes = codes if codes is not None else label_codes(df, col)
-    j = df.join(codes.withColumnRenamed("code", "_code"), F.col(col).cast("string") == F.col("value"), "left")
+    names = codes.select(F.col("value").alias("_label"), F.col("code").alias("_code"))
+    j = df.join(names, F.col(col).cast("string") == F.col("_label"), "left")
     return j.select(*[F.col("_code").alias(c) if c == col else F.col(c) for c in df.columns])
 
 
@@ -59,8 +60,9 @@ def label_decode(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:
     """Nearest valid code back to its label: round half to even, clip to the known range."""
     top = codes.agg(F.max("code").alias("k")).scalar()
     near = F.least(F.greatest(F.bround(col, 0).cast("long"), F.lit(0)), top)
-    j = df.withColumn("_near", near).join(codes, F.col("_near") == F.col("code"), "left")
-    return j.select(*[F.col("value").alias(c) if c == col else F.col(c) for c in df.columns])
+    names = codes.select(F.col("code").alias("_near"), F.col("value").alias("_label"))
+    j = df.withColumn("_near", near).join(names, "_near", "left")
+    return j.select(*[F.col("_label").alias(c) if c == col else F.col(c) for c in df.columns])
 
 
 def one_hot_groups(df: DataFrame, target: str | None = None) -> DataFrame:

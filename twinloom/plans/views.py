@@ -115,3 +115,73 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 LEDGER_SQL = """ledger as (select event_id seq, ts, 'ds'||((event_id//2)%20)::varchar dataset,
  case when event_id%1000=0 then 'reset' else 'spend' end kind, value/10 epsilon from events),
  live as (select * from ledger where kind='spend' and seq > (select coalesce(max(seq),-1) from ledger where kind='reset'))"""
+
+
+# name and kind of every column of the given tables
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey int, c_name string, c_nationkey int, c_acctbal float, c_mktsegment string",
+    "supplier": "s_suppkey int, s_name string, s_nationkey int, s_acctbal float",
+    "part": "p_partkey int, p_name string, p_brand string, p_type string, p_size int, p_retailprice float",
+    "orders": "o_orderkey int, o_custkey int, o_orderstatus string, o_totalprice float, o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey int, l_partkey int, l_suppkey int, l_linenumber int, l_quantity float, l_extendedprice float, l_discount float, l_tax float, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    "events": "event_id int, ts timestamp, user_id int, event_type string, value float, props string",
+    "documents": "doc_id int, text string, lang string, source string, n_chars int",
+    "embeddings": "vec_id int, embedding array, label int",
+    "pages": "page_id int, url string, html string",
+    "benchmark": "item_id int, text string",
+    "labels": "doc_id int, quality int, toxic int",
+    "conversations": "conv_id int, turn int, role string, text string",
+}
+
+
+def columns_of(table: str) -> list[tuple[str, str]]:
+    return [tuple(c.strip().split(" ")) for c in COLUMNS[table].split(",")]
+
+
+def catalogue_sql() -> str:
+    parts = []
+    for t in TABLES:
+        for i, (c, k) in enumerate(columns_of(t)):
+            num = k in ("int", "float")
+            parts.append(
+                f"select '{t}' dataset, {i} ordinal, '{c}' \"column\", '{k}' kind, count(*) n_rows, count({c}) n_nonnull, count(distinct {c}) n_distinct, "
+                + (f"avg(length({c}))" if k == "string" else "null::double") + " avg_len, "
+                + (f"min({c})::double lo, max({c})::double hi, max(abs({c}-round({c},0)))::double frac_gap" if num else "null::double lo, null::double hi, null::double frac_gap")
+                + f" from {t}")
+    return "cat as (" + " union all ".join(parts) + ")"
+
+
+def contracts():
+    from twinloom.operators.roles import Contract
+
+    return [
+        Contract("lineitem", "l_returnflag", "tabular", description="order lines"),
+        Contract("orders", "o_orderstatus", "tabular", is_temporal=True, description="orders"),
+        Contract("customer", "c_mktsegment", "tabular", discrete=("c_mktsegment", "c_nationkey"), description="customers"),
+        Contract("supplier", "s_region", "tabular", description="suppliers; the named target is absent"),
+        Contract("part", "p_size", "", description="parts"),
+        Contract("events", "event_type", "graph", is_temporal=True, description="event sequences"),
+        Contract("documents", "lang", "text", description="documents"),
+        Contract("labels", "quality", "unknown", description="labels"),
+        Contract("pages", None, "", description="web pages"),
+        Contract("conversations", "role", "", description="turns"),
+        Contract("nation", "n_regionkey", "tabular", description="nations"),
+        Contract("returns", "reason", "tabular", description="registered, but no table is there"),
+    ]
+
+
+def contracts_sql() -> str:
+    def lit(x):
+        return "null" if x is None else f"'{x}'"
+
+    rows = ", ".join(
+        f"('{c.name}', {lit(c.target)}::varchar, '{c.modality}', {str(c.is_temporal).lower()}, "
+        + ("null::varchar[]" if c.discrete is None else "[" + ", ".join(lit(x) for x in c.discrete) + "]") + ")"
+        for c in contracts())
+    return f"contracts(dataset, target, modality, is_temporal, discrete) as (values {rows})"
+
+
+def all_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {t: load_table(spark, d, t) for t in TABLES}
