@@ -178,7 +178,7 @@ def gen_conditional(real: DataFrame, labels: DataFrame, target: str, numeric: li
         for c in numeric:
             z = F.col(f"m_{c}") + F.greatest(F.coalesce(F.col(f"s_{c}"), F.lit(1e-6)), F.lit(1e-6)) * rng.normal(ROW, f"{c}/z", seed)
             cols.append(F.coalesce(F.col(f"_drawn_{c}"), clip(z, F.col(f"lo_{c}"), F.col(f"hi_{c}"))).alias(c))
-        out = out.select(ROW, target, *text, *cols)
+        out = out.select(*labels.columns, *text, *cols)
     return out
 
 
@@ -240,11 +240,15 @@ def _mixed(cols: list[str], mean, low, seed: int) -> list[Column]:
     return out
 
 
-def gen_correlated(real: DataFrame, cols: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Joint normal rows with the real means and covariances; a d x d matrix (d columns) is factored on the driver."""
+def correlated_columns(real: DataFrame, cols: list[str], seed: int = 42) -> list[Column]:
+    """Joint normal columns over the row id with the real means and covariances; one d x d matrix is factored on the driver."""
     row = covariance(real, cols).first()
     low = _factor(row["cov"])
-    return rows(real.sparkSession, n).select(ROW, *_mixed(cols, lambda i: F.lit(row["mean"][i]), lambda i: F.lit(low[i]), seed))
+    return _mixed(cols, lambda i: F.lit(row["mean"][i]), lambda i: F.lit(low[i]), seed)
+
+
+def gen_correlated(real: DataFrame, cols: list[str], n: int, seed: int = 42) -> DataFrame:
+    return rows(real.sparkSession, n).select(ROW, *correlated_columns(real, cols, seed))
 
 
 def gen_correlated_by_class(real: DataFrame, labels: DataFrame, target: str, cols: list[str], seed: int = 42) -> DataFrame:
@@ -252,7 +256,7 @@ def gen_correlated_by_class(real: DataFrame, labels: DataFrame, target: str, col
     fit = covariance(real, cols, [target]).select(F.col(target).alias("_class"), "mean", lower_factor("cov").alias("low"))
     small = is_small(real, [target])[target]
     j = labels.join(F.broadcast(fit) if small else fit, F.col(target) == F.col("_class"))
-    return j.select(ROW, target, *_mixed(cols, lambda i: F.col("mean")[i], lambda i: F.col("low")[i], seed))
+    return j.select(*labels.columns, *_mixed(cols, lambda i: F.col("mean")[i], lambda i: F.col("low")[i], seed))
 
 
 def gen_copula(real: DataFrame, key: str, cols: list[str], n: int, seed: int = 42) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from twinloom.plans import q_compare, q_generate, q_runs, q_tables
+from twinloom.plans import q_attacks, q_compare, q_generate, q_runs, q_structure, q_tables
 
-MODULES = [q_tables, q_generate, q_compare, q_runs]
+MODULES = [q_tables, q_generate, q_compare, q_structure, q_attacks, q_runs]
 
 
 def queries():
