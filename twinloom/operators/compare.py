@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from twinloom.functions import ordered, pairs
+from twinloom.functions.moments import covariance_at, moments
 from twinloom.functions.pairs import REAL, SIDE, SYNTH
 from twinloom.functions.scalars import clip
 
@@ -175,18 +176,18 @@ def correlations(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
     One pass of partial aggregates whatever the row count; undefined correlations (constant columns) are 0.
     """
     by = by or []
-    view = pairs.numeric_view(df, cols, by).dropna(subset=cols)
-    upper = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    # centring on a scalar keeps the moment sums well conditioned; corr() does that internally
-    aggs = [F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(upper)]
-    row = view.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    cells = []
-    for i, (a, b) in enumerate(upper):
-        rho = F.coalesce(F.when(~F.isnan(F.col(f"{i}")), F.col(f"{i}")), F.lit(0.0))
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rho.alias("rho")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), rho.alias("rho")))
-    return row.select(*by, "n", F.inline(F.array(*cells)))
+    d = len(cols)
+    names = F.array(*[F.lit(c) for c in cols])
+    cells = moments(df, cols, by).select("*", F.posexplode("p").alias("at", "pij"))
+    cells = cells.withColumns({"i": F.floor(F.col("at") / d).cast("int"), "j": (F.col("at") % d).cast("int")})
+
+    def variance(i: str):
+        return F.greatest(covariance_at(F.col(i), F.col(i), d), F.lit(0.0))
+
+    spread = F.sqrt(variance("i") * variance("j"))
+    rho = F.coalesce(covariance_at(F.col("i"), F.col("j"), d) / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
+    exact = F.when(F.col("flat")[F.col("i")] | F.col("flat")[F.col("j")], F.lit(0.0)).when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(rho)
+    return cells.select(*by, "n", names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), exact.alias("rho"))
 
 
 def pair_correlations(pair: DataFrame, cols: list[str]) -> DataFrame:

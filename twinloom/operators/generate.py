@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from twinloom.functions import ordered, pairs, rng
+from twinloom.functions.moments import covariance_at, moments
 from twinloom.functions.scalars import clip
 from twinloom.operators import compare
 from twinloom.session import width
@@ -167,7 +168,10 @@ def gen_conditional(real: DataFrame, labels: DataFrame, target: str, numeric: li
             aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_samp(x).alias(f"s_{c}"), F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}"), F.approx_count_distinct(c).alias(f"d_{c}")]
         stats = real.groupBy(F.col(target).alias("_class")).agg(*aggs)
         out = out.join(F.broadcast(stats) if small[target] else stats, F.col(target) == F.col("_class"))
-        for c in numeric:
+        # columns that are wide in every class need no frequency table
+        widths = stats.agg(*[F.min(f"d_{c}").alias(c) for c in numeric]).first()
+        drawn = [c for c in numeric if (widths[c] or 0) <= 2 * narrow]
+        for c in drawn:
             few = real.groupBy(F.col(target).alias("_c")).agg(F.approx_count_distinct(c).alias("d")).where(F.col("d") <= 2 * narrow).select("_c")
             slim = real.select(target, F.col(c).cast("double").alias(c)).join(few, F.col(target) == F.col("_c"), "left_semi")
             iv = value_intervals(slim, c, [target])
@@ -177,7 +181,7 @@ def gen_conditional(real: DataFrame, labels: DataFrame, target: str, numeric: li
         cols = []
         for c in numeric:
             z = F.col(f"m_{c}") + F.greatest(F.coalesce(F.col(f"s_{c}"), F.lit(1e-6)), F.lit(1e-6)) * rng.normal(ROW, f"{c}/z", seed)
-            cols.append(F.coalesce(F.col(f"_drawn_{c}"), clip(z, F.col(f"lo_{c}"), F.col(f"hi_{c}"))).alias(c))
+            cols.append(F.coalesce(F.col(f"_drawn_{c}") if c in drawn else F.lit(None).cast("double"), clip(z, F.col(f"lo_{c}"), F.col(f"hi_{c}"))).alias(c))
         out = out.select(*labels.columns, *text, *cols)
     return out
 
@@ -200,13 +204,9 @@ def gen_metadata(real: DataFrame, path_col: str | None, categorical: list[str],
 def covariance(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """(by..., n, mean array, row-major covariance array) over complete cases in one pass."""
     by = by or []
-    view = pairs.numeric_view(df, cols, by).dropna(subset=cols)
-    aggs = [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j <= i]
-    row = view.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    d = range(len(cols))
-    cov = F.array(*[F.col(f"c{max(i, j)}_{min(i, j)}") for i in d for j in d])
-    return row.select(*by, "n", F.array(*[F.col(f"m{i}") for i in d]).alias("mean"), cov.alias("cov"))
+    r, d = range(len(cols)), len(cols)
+    mean = F.array(*[F.col("shift")[i] + F.col("s")[i] / F.col("n") for i in r])
+    return moments(df, cols, by).select(*by, "n", mean.alias("mean"), F.array(*[covariance_at(i, j, d) for i in r for j in r]).alias("cov"))
 
 
 def _factor(flat) -> list[float]:

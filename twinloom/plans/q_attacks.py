@@ -105,7 +105,7 @@ QUERIES["tstr_regression"] = lambda s, d: utility.tstr_regression(orders_feature
 
 
 def docs_pair(s, d):
-    return T.load_table(s, d, "documents").withColumn("side", V.side_of("doc_id")).select("side", "doc_id", "text", "lang")
+    return T.load_table(s, d, "documents", spread=True).withColumn("side", V.side_of("doc_id")).select("side", "doc_id", "text", "lang")
 
 
 QUERIES["tstr_text"] = lambda s, d: utility.tstr_text(docs_pair(s, d), "lang", "doc_id")

@@ -253,12 +253,12 @@ SENT = """sents as (select doc_id, lang, unnest(s) sentence, unnest(range(len(s)
   string_split(regexp_replace(text, '([.?!])\\s+', '\\1'||chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x)>20) s from documents where text is not null))"""
 POOL_KEY = "(doc_id::varchar||'/'||pos::varchar)"
 POOL = f"{SENT}, pool as (select lang, row_number() over (partition by lang order by {u_sql(POOL_KEY, 'pool')}, doc_id::varchar||'/'||pos::varchar) rn, sentence from sents)"
-QUERIES["sentence_pool"] = lambda s, d: X.sentence_pool(T.load_table(s, d, "documents"), "doc_id", "text", "lang")
+QUERIES["sentence_pool"] = lambda s, d: X.sentence_pool(T.load_table(s, d, "documents", spread=True), "doc_id", "text", "lang")
 SQL["sentence_pool"] = f"with {POOL} select lang, rn, sentence from pool"
 
 
 def gen_text(s, d):
-    docs = T.load_table(s, d, "documents")
+    docs = T.load_table(s, d, "documents", spread=True)
     return X.gen_text(docs, "doc_id", "text", "lang", docs.count())
 
 
@@ -273,7 +273,7 @@ SQL["gen_text"] = f"""with {POOL}, {ALEN}, {base_sql('documents')}, {iv_sql('ivl
   from sl join pool p on p.lang=sl.lang and p.rn=(st+slot)%m+1 group by 1)
  select r.row_id, lang, kk n_sentences, {OPEN.replace('row_id', 'r.row_id')}||' '||body as "text" from r join g on g.row_id=r.row_id"""
 
-QUERIES["tfidf"] = lambda s, d: rounded(X.tfidf(T.load_table(s, d, "documents"), "doc_id", "text"), "weight")
+QUERIES["tfidf"] = lambda s, d: rounded(X.tfidf(T.load_table(s, d, "documents", spread=True), "doc_id", "text"), "weight")
 SQL["tfidf"] = """with tk as (select doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text),'[^a-z0-9]+',' ','g')),' '), lambda t: length(t)>=2)) term from documents),
  tf as (select doc_id, term, count(*) tf from tk group by 1,2), df as (select term, count(*) df from tf group by 1),
  w as (select doc_id, tf.term, (1+ln(tf))*(ln((1+(select count(*) from documents))/(1+df)::double)+1) w from tf join df on tf.term=df.term)

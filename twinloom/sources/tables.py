@@ -13,8 +13,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in FRACTIONAL else F.col(c) for c, t in df.dtypes])
 
 
-def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(f"{folder}/{name}.parquet"))
+def load_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """Parquet scan. ``spread`` is for row-wise heavy work (text): a scan with fewer splits than half the cores, which
+    only a small file has, is dealt out to all of them; a large table is left as it is."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and 2 * df.rdd.getNumPartitions() <= cores:
+        df = df.repartition(cores)
+    return nan_to_null(df)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
