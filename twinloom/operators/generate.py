@@ -6,6 +6,8 @@ Noise added here is calibrated to epsilon by the stated formulas; it is not a fo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,7 +17,7 @@ from twinloom.functions import ordered, pairs, rng
 from twinloom.functions.moments import covariance_at, moments
 from twinloom.functions.scalars import clip
 from twinloom.operators import compare
-from twinloom.session import width
+from twinloom.session import cut, width
 
 ROW = "row_id"
 BROADCAST_ROWS = 200_000
@@ -63,16 +65,48 @@ def gen_gaussian(spark: SparkSession, cols: list[str], n: int, seed: int = 42) -
     return rows(spark, n).select(ROW, *[rng.normal(ROW, c, seed).alias(c) for c in cols])
 
 
-def value_intervals(real: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., value, lo, hi): each observed value owns a part of [0, 1) as long as its frequency.
+def interval_table(real: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., column, value, lo, hi, k): each observed value, as text, owns a part of [0, 1) as long as its frequency
+    among the ``k`` values of its column.
 
-    Values are laid out in the order of their md5, which is uniform, so the running sum is cut into even slices.
+    Values are laid out in the order of their md5, which is uniform, so the running sum is cut into even slices. All
+    columns share one pass.
     """
     by = by or []
-    counts = real.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n_v"))
-    counts = counts.withColumn("_h", F.md5(F.col("value").cast("string"))).withColumn("_u", rng.uniform_of(F.col("_h")))
-    cum = ordered.cumulate(ordered.with_hash_slice(counts, "_u"), by, ["_h"], {"upto": "n_v"}, totals=True)
-    return cum.select(*by, "value", ((F.col("upto") - F.col("n_v")) / F.col("total_upto")).alias("lo"), (F.col("upto") / F.col("total_upto")).alias("hi"))
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    keys = [*by, "column"]
+    counts = real.select(*by, cells).where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n_v"))
+    counts = counts.withColumn("_h", F.md5("value")).withColumns({"_u": rng.uniform_of(F.col("_h")), "_one": F.lit(1)})
+    cum = ordered.cumulate(ordered.with_hash_slice(counts, "_u"), keys, ["_h"], {"upto": "n_v", "place": "_one"}, totals=True)
+    n = F.col("total_upto")
+    return cum.select(*keys, "value", ((F.col("upto") - F.col("n_v")) / n).alias("lo"), (F.col("upto") / n).alias("hi"), F.col("total_place").alias("k"))
+
+
+@dataclass(frozen=True)
+class Intervals:
+    """Interval tables of several columns, written once, with the number of rows of each."""
+
+    table: DataFrame
+    sizes: dict[str, int]
+    types: dict[str, str]
+    by: list[str]
+
+    @staticmethod
+    def fit(real: DataFrame, cols: list[str], by: list[str] | None = None, below: dict[str, int] | None = None) -> "Intervals":
+        """``below`` keeps, for some columns, only the groups with fewer distinct values than stated."""
+        table = interval_table(real, cols, by)
+        for c, limit in (below or {}).items():
+            table = table.where((F.col("column") != c) | (F.col("k") < limit))
+        table = cut(table)
+        sizes = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return Intervals(table, sizes, dict(real.dtypes), by or [])
+
+    def draw(self, rows_: DataFrame, c: str, u: Column, name: str | None = None, how: str = "inner") -> DataFrame:
+        """Add column ``name`` drawn from column ``c``; the table is broadcast only below a counted size."""
+        name = name or c
+        iv = self.table.where(F.col("column") == c).drop("column", "k")
+        out = draw(rows_, iv, u, "_drawn", self.by, how, small=self.sizes.get(c, 0) <= BROADCAST_ROWS)
+        return out.select(*rows_.columns, F.col("_drawn").cast(self.types[c]).alias(name))
 
 
 def draw(draws: DataFrame, intervals: DataFrame, u: Column, name: str, by: list[str] | None = None, how: str = "inner", small: bool = False) -> DataFrame:
@@ -102,10 +136,10 @@ def is_small(real: DataFrame, cols: list[str]) -> dict[str, bool]:
 
 def gen_categorical(real: DataFrame, cols: list[str], n: int, seed: int = 42) -> DataFrame:
     """Each column drawn on its own from its observed frequencies; missing values are not drawn."""
-    small = is_small(real, cols)
+    iv = Intervals.fit(real, cols)
     out = rows(real.sparkSession, n)
     for c in cols:
-        out = draw(out, value_intervals(real, c), rng.uniform(ROW, c, seed), c, small=small[c])
+        out = iv.draw(out, c, rng.uniform(ROW, c, seed))
     return out
 
 
@@ -157,27 +191,24 @@ def gen_conditional(real: DataFrame, labels: DataFrame, target: str, numeric: li
     Text, and numbers with fewer than ``narrow`` distinct values inside the class, follow the class frequencies; other
     numbers are normal draws clipped to the class range.
     """
-    small = is_small(real, [target, *text])
-    out = labels
-    for c in text:
-        out = draw(out, value_intervals(real, c, [target]), rng.uniform(ROW, f"{c}/cond", seed), c, [target], small=small[c])
+    out, drawn = labels, []
     if numeric:
         aggs = []
         for c in numeric:
             x = F.col(c).cast("double")
             aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_samp(x).alias(f"s_{c}"), F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}"), F.approx_count_distinct(c).alias(f"d_{c}")]
-        stats = real.groupBy(F.col(target).alias("_class")).agg(*aggs)
-        out = out.join(F.broadcast(stats) if small[target] else stats, F.col(target) == F.col("_class"))
+        stats = cut(real.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("_class")).agg(*aggs))
         # columns that are wide in every class need no frequency table
         widths = stats.agg(*[F.min(f"d_{c}").alias(c) for c in numeric]).first()
         drawn = [c for c in numeric if (widths[c] or 0) <= 2 * narrow]
+    if text or drawn:
+        iv = Intervals.fit(real.where(F.col(target).isNotNull()), [*text, *drawn], [target], {c: narrow for c in drawn})
+    for c in text:
+        out = iv.draw(out, c, rng.uniform(ROW, f"{c}/cond", seed))
+    if numeric:
+        out = out.join(stats, F.col(target) == F.col("_class"))
         for c in drawn:
-            few = real.groupBy(F.col(target).alias("_c")).agg(F.approx_count_distinct(c).alias("d")).where(F.col("d") <= 2 * narrow).select("_c")
-            slim = real.select(target, F.col(c).cast("double").alias(c)).join(few, F.col(target) == F.col("_c"), "left_semi")
-            iv = value_intervals(slim, c, [target])
-            sizes = iv.groupBy(F.col(target).alias("_c")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") < narrow)
-            iv = iv.join(sizes, F.col(target) == F.col("_c"), "left_semi")
-            out = draw(out, iv, rng.uniform(ROW, f"{c}/cond", seed), f"_drawn_{c}", [target], how="left", small=small[target])
+            out = iv.draw(out, c, rng.uniform(ROW, f"{c}/cond", seed), f"_drawn_{c}", "left")
         cols = []
         for c in numeric:
             z = F.col(f"m_{c}") + F.greatest(F.coalesce(F.col(f"s_{c}"), F.lit(1e-6)), F.lit(1e-6)) * rng.normal(ROW, f"{c}/z", seed)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from twinloom.functions import pairs
 from twinloom.functions.pairs import REAL, SIDE, SYNTH
@@ -131,18 +133,26 @@ def longest_text(real: DataFrame, target: str) -> str | None:
 def text_vectors(docs: DataFrame, key: str, text: str, keep: list[str], size: int = 500, min_df: int = 2) -> DataFrame:
     """TF-IDF vectors over the ``size`` most frequent words and word pairs found in at least ``min_df`` texts.
 
-    The vocabulary is a top-k report of at most ``size`` rows, so broadcasting it is bounded.
+    The vocabulary is a top-k report: at most ``size`` terms reach the driver.
     """
     words = tokens(F.col(text))
-    grams = F.concat(F.col("w"), F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>")))
-    tf = docs.select(key, words.alias("w")).select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(size)
-    vocab = vocab.select("term", "df", (F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1).alias("i"))
-    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    w = (1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)
-    entries = tf.join(F.broadcast(vocab), "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", w.alias("w")))).alias("m"), F.sqrt(F.sum(w * w)).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i] / F.col("norm"), F.lit(0.0)))
-    return docs.select(key, *keep).join(entries, key, "left").select(key, *keep, array_to_vector(dense).alias("features"))
+    two = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.concat(F.col("w"), F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>")))
+    spoken = docs.select(key, *keep, F.coalesce(words, F.array().cast("array<string>")).alias("w")).select(key, *keep, grams.alias("grams"))
+    tf = spoken.select(key, F.explode("grams").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    seen = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    vocab = seen.orderBy(F.desc("total"), "term").limit(size).collect()
+    if not vocab:
+        return docs.select(key, *keep, array_to_vector(F.array(F.lit(0.0))).alias("features"))
+    n = docs.count()
+    idf = F.array(*[F.lit(math.log((1 + n) / (1 + r["df"])) + 1) for r in vocab])
+    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], inputCol="grams", outputCol="counts")
+    counted = cv.transform(spoken).select(key, *keep, vector_to_array("counts").alias("tf"))
+    weighted = counted.select(key, *keep, F.zip_with("tf", idf, lambda t, i: F.when(t > 0, (1 + F.ln(t)) * i).otherwise(F.lit(0.0))).alias("w"))
+    length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
+    scaled = weighted.withColumn("length", length).select(
+        key, *keep, F.transform("w", lambda x: F.coalesce(x / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0))).alias("w"))
+    return scaled.select(key, *keep, array_to_vector("w").alias("features"))
 
 
 def tstr_text(pair: DataFrame, target: str, key: str | None = None) -> DataFrame:
@@ -165,7 +175,7 @@ def tstr_text(pair: DataFrame, target: str, key: str | None = None) -> DataFrame
     train, test = data.where(F.col(SIDE) == SYNTH), data.where(F.col(SIDE) == REAL)
     if train.agg(F.approx_count_distinct("label")).first()[0] < 2:
         return neutral
-    model = LogisticRegression(maxIter=300, regParam=1.0 / n_synth, standardization=False, labelCol="label", featuresCol="features").fit(train)
+    model = LogisticRegression(maxIter=300, tol=1e-4, regParam=1.0 / n_synth, standardization=False, labelCol="label", featuresCol="features").fit(train)
     acc = _accuracy(model, test)
     base = tstr_baseline(clean.where(F.col(SIDE) == REAL), target)
     return base.select(F.lit("text").alias("method"), F.lit(acc).alias("metric"), "baseline", lift_curve(F.lit(acc), F.col("baseline")).alias("score"))
