@@ -22,18 +22,26 @@ def cut_points(df: DataFrame, cols: list[str], slices: int) -> dict[str, list[fl
     numbers a column reach the driver. Their error only affects how even the slices are."""
     probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     k = min(8192, max(200, 4 * slices))
-    sketched = df.agg(*[F.kll_sketch_agg_double(F.col(c).cast("double"), k).alias(c) for c in cols])
-    row = sketched.select(*[F.kll_sketch_get_quantile_double(c, probs).alias(c) for c in cols]).first()
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"n{i}"), F.kll_sketch_agg_double(v, k).alias(f"s{i}")]
+    cuts = [F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", probs)).alias(c) for i, c in enumerate(cols)]
+    row = df.agg(*aggs).select(*cuts).first()
     return {c: sorted({x for x in (row[c] or []) if x is not None}) for c in cols}
 
 
+def edges(cuts: list[float]) -> list[float]:
+    """Cut points as Bucketizer splits, which need at least one inner point."""
+    return [float("-inf"), *([c for c in cuts if abs(c) != float("inf")] or [0.0]), float("inf")]
+
+
 def slice_columns(df: DataFrame, cols: list[str], slices: int | None = None, prefix: str = SLICE) -> DataFrame:
     """Add ``{prefix}_{col}``: the value range each row of a double column falls in (binary search, JVM side)."""
     slices = slices or width(df.sparkSession)
     cuts = cut_points(df, cols, slices)
-    edges = [[float("-inf"), *cuts[c], float("inf")] for c in cols]
     return Bucketizer(
-        splitsArray=edges, inputCols=cols, outputCols=[f"{prefix}_{c}" for c in cols], handleInvalid="keep"
+        splitsArray=[edges(cuts[c]) for c in cols], inputCols=cols, outputCols=[f"{prefix}_{c}" for c in cols], handleInvalid="keep"
     ).transform(df)
 
 

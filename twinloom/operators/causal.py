@@ -19,7 +19,9 @@ NORMAL_975 = 1.959963984540054  # two-sided 5 % point of the standard normal
 
 def usable_columns(pair: DataFrame, target: str | None = None, cols: list[str] | None = None) -> list[str]:
     """Numeric columns that vary on the real side and hold more than five synthetic values; the target leads when there are too many."""
-    cols = cols or pairs.numeric_columns(pair)
+    cols = pairs.numeric_columns(pair) if cols is None else cols
+    if not cols:
+        return []
     view = pairs.numeric_view(pair, cols, [SIDE])
     aggs = []
     for c in cols:

@@ -61,8 +61,7 @@ def pack(idx: list[Column]) -> Column:
 def locate(df: DataFrame, dims: list[int], cuts: list[list[float]]) -> DataFrame:
     ins, outs = [f"_x{j}" for j in range(len(dims))], [f"_o{j}" for j in range(len(dims))]
     wide = df.select("*", *[F.col("x")[i].alias(c) for i, c in zip(dims, ins)])
-    edges = [[float("-inf"), *c, float("inf")] for c in cuts]
-    b = Bucketizer(splitsArray=edges, inputCols=ins, outputCols=outs, handleInvalid="keep").transform(wide)
+    b = Bucketizer(splitsArray=[ordered.edges(c) for c in cuts], inputCols=ins, outputCols=outs, handleInvalid="keep").transform(wide)
     return b.select(*df.columns, *[F.col(o).cast("int").alias(f"_g{j}") for j, o in enumerate(outs)])
 
 

@@ -139,8 +139,11 @@ def text_vectors(docs: DataFrame, key: str, text: str, keep: list[str], size: in
     two = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     grams = F.concat(F.col("w"), F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>")))
     spoken = docs.select(key, *keep, F.coalesce(words, F.array().cast("array<string>")).alias("w")).select(key, *keep, grams.alias("grams"))
-    tf = spoken.select(key, F.explode("grams").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    seen = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    # occurrences and texts per term in one map-side combined pass: every gram once, and every distinct gram of a text once
+    marks = F.concat(
+        F.transform("grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
+    seen = spoken.select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
     vocab = seen.orderBy(F.desc("total"), "term").limit(size).collect()
     if not vocab:
         return docs.select(key, *keep, array_to_vector(F.array(F.lit(0.0))).alias("features"))
