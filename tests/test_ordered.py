@@ -75,3 +75,18 @@ def test_range_slice_ranks_text(spark):
 def test_nan_is_missing(spark):
     df = spark.createDataFrame([("real", float("nan")), ("real", 1.0), ("synth", 1.0)], "side string, v double")
     assert pairs.numeric_view(df, ["v"]).where("v is null").count() == 1
+
+
+@pytest.mark.parametrize("slices", [8, 30])
+def test_ties_are_sliced_by_the_tie_column(spark, slices):
+    v = skewed(9, 1500)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "id long, v double")
+    got = {r.id: r.rn for r in ordered.rank_by_value(df, "v", "id", slices=slices).collect()}
+    for place, i in enumerate(np.lexsort((np.arange(len(v)), v))):
+        assert got[int(i)] == place + 1
+    s = ordered.with_value_slice(df, "v", slices, "id")
+    largest = s.groupBy(ordered.SLICE).count().agg(F.max("count")).first()[0]
+    assert largest < len(v) / 3
+    nxt = {r.id: r.next_id for r in ordered.with_next(df, "v", ["id"], slices=slices, tie="id").collect()}
+    order = [int(i) for i in np.lexsort((np.arange(len(v)), v))]
+    assert all(nxt[a] == b for a, b in zip(order, [*order[1:], None]))

@@ -118,7 +118,7 @@ def test_correlation_is_kept(spark):
     g = G.gen_correlated(df, ["x", "y", "flat"], 3000)
     assert g.agg(F.corr("x", "y")).first()[0] == pytest.approx(want, abs=0.05)
     assert g.agg(F.max(F.abs(F.col("flat") - 5))).first()[0] < 1e-9
-    c = G.gen_copula(df, "id", ["x", "y"], 500)
+    c = G.gen_copula(df, ["x", "y"], 500)
     assert sorted(r.x for r in c.collect()) == sorted(float(v) for v in x)
     assert c.agg(F.corr("x", "y")).first()[0] == pytest.approx(want, abs=0.12)
 

@@ -18,8 +18,8 @@ SLICE = "_slice"
 
 
 def cut_points(df: DataFrame, cols: list[str], slices: int) -> dict[str, list[float]]:
-    """Distinct approximate quantiles per column from mergeable KLL sketches: one pass, and at most ``slices - 1``
-    numbers a column reach the driver. Their error only affects how even the slices are."""
+    """Approximate quantiles per column from mergeable KLL sketches: one pass, and ``slices - 1`` numbers a column reach
+    the driver. Their error only affects how even the slices are. A value that fills several slices is repeated."""
     probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     k = min(8192, max(200, 4 * slices))
     aggs = []
@@ -28,12 +28,12 @@ def cut_points(df: DataFrame, cols: list[str], slices: int) -> dict[str, list[fl
         aggs += [F.count(v).alias(f"n{i}"), F.kll_sketch_agg_double(v, k).alias(f"s{i}")]
     cuts = [F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", probs)).alias(c) for i, c in enumerate(cols)]
     row = df.agg(*aggs).select(*cuts).first()
-    return {c: sorted({x for x in (row[c] or []) if x is not None}) for c in cols}
+    return {c: sorted(x for x in (row[c] or []) if x is not None) for c in cols}
 
 
 def edges(cuts: list[float]) -> list[float]:
     """Cut points as Bucketizer splits, which need at least one inner point."""
-    return [float("-inf"), *([c for c in cuts if abs(c) != float("inf")] or [0.0]), float("inf")]
+    return [float("-inf"), *(sorted({c for c in cuts if abs(c) != float("inf")}) or [0.0]), float("inf")]
 
 
 def slice_columns(df: DataFrame, cols: list[str], slices: int | None = None, prefix: str = SLICE) -> DataFrame:
@@ -45,11 +45,28 @@ def slice_columns(df: DataFrame, cols: list[str], slices: int | None = None, pre
     ).transform(df)
 
 
-def with_value_slice(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
-    """Slice by one numeric or timestamp column."""
-    as_double = numeric_order(df, order)
-    out = slice_columns(df.withColumn("_order_d", as_double), ["_order_d"], slices, "_s")
-    return out.withColumn(SLICE, F.col("_s__order_d").cast("int")).drop("_s__order_d", "_order_d")
+def with_value_slice(df: DataFrame, order: str, slices: int | None = None, tie: str | None = None) -> DataFrame:
+    """Slice by one numeric or timestamp column.
+
+    Equal values cannot be told apart by value. With a numeric ``tie`` column that orders them, the rows of a value
+    frequent enough to fill whole slices are sliced further by it.
+    """
+    slices = slices or width(df.sparkSession)
+    held = df.withColumn("_order_d", numeric_order(df, order))
+    cols = ["_order_d"]
+    if tie:
+        held = held.withColumn("_tie_d", numeric_order(df, tie))
+        cols.append("_tie_d")
+    cuts = cut_points(held, cols, slices)
+    placed = Bucketizer(splitsArray=[edges(cuts[c]) for c in cols], inputCols=cols, outputCols=[f"_s{c}" for c in cols], handleInvalid="keep").transform(held)
+    at = F.col("_s_order_d").cast("long")
+    often = sorted({v for v, w in zip(cuts["_order_d"], cuts["_order_d"][1:]) if v == w}) if tie else []
+    if often:
+        # a frequent value opens its slice: its rows come first, in tie order, then the rest of the slice
+        is_often = F.array_contains(F.array(*[F.lit(v) for v in often]), F.col("_order_d"))
+        span = slices + 2
+        at = at * span + F.when(is_often, F.col("_s_tie_d").cast("long")).otherwise(F.lit(span - 1))
+    return placed.select(*df.columns, at.alias(SLICE))
 
 
 def numeric_order(df: DataFrame, order: str) -> Column:
@@ -124,20 +141,21 @@ def rank_by_hash(df: DataFrame, key: str, tag: str, by: list[str] | None = None,
 
 def rank_by_value(df: DataFrame, order: str, tie: str, by: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Add ``rn`` (1-based) in ascending order of a numeric column."""
-    sliced = with_value_slice(df, order, slices).withColumn("_one", F.lit(1))
+    sliced = with_value_slice(df, order, slices, tie).withColumn("_one", F.lit(1))
     return cumulate(sliced, by or [], [order, tie], {"rn": "_one"}).drop("_one")
 
 
-def with_next(df: DataFrame, order: str, carry: list[str], by: list[str] | None = None, slices: int | None = None) -> DataFrame:
-    """Add ``next_{c}`` for each carried column: the following row in ``order`` within ``by``; NULL at the end."""
+def with_next(df: DataFrame, order: str, carry: list[str], by: list[str] | None = None, slices: int | None = None, tie: str | None = None) -> DataFrame:
+    """Add ``next_{c}`` for each carried column: the following row in ``order`` (then ``tie``) within ``by``; NULL at the end."""
     by = by or []
-    sliced = with_value_slice(df, order, slices)
+    sliced = with_value_slice(df, order, slices, tie)
+    places = [order, tie] if tie else [order]
     keys = [*by, SLICE]
     pack = F.struct(F.lit(True).alias("_is"), *[F.col(c) for c in carry])
-    heads = sliced.groupBy(*keys).agg(F.min_by(pack, F.col(order)).alias("_head"))
+    heads = sliced.groupBy(*keys).agg(F.min_by(pack, F.struct(*places)).alias("_head"))
     across = Window.partitionBy(*_group(by)).orderBy(SLICE)
     heads = heads.select(*keys, F.lead("_head").over(across).alias("_next_head"))
-    inside = Window.partitionBy(*keys).orderBy(order)
+    inside = Window.partitionBy(*keys).orderBy(*places)
     out = sliced.withColumn("_next", F.lead(pack).over(inside)).join(heads, keys)
     nxt = F.coalesce("_next", "_next_head")
     return out.select(*df.columns, nxt.isNotNull().alias("has_next"), *[nxt[c].alias(f"next_{c}") for c in carry])

@@ -290,19 +290,22 @@ def gen_correlated_by_class(real: DataFrame, labels: DataFrame, target: str, col
     return j.select(*labels.columns, *_mixed(cols, lambda i: F.col("mean")[i], lambda i: F.col("low")[i], seed))
 
 
-def gen_copula(real: DataFrame, key: str, cols: list[str], n: int, seed: int = 42) -> DataFrame:
+def gen_copula(real: DataFrame, cols: list[str], n: int, seed: int = 42) -> DataFrame:
     """Rows with the real marginals and about the real rank correlation.
 
     Correlated normal scores are drawn, then each column's r-th smallest score is replaced by the value at the same
-    relative rank of the real column. Ranks are exact and computed in slices; one join on (column, rank).
+    relative rank of the real column. Ranks are exact and computed in slices. Columns are taken without missing values.
     """
+    real = real.dropna(subset=cols)
     scores = gen_correlated(real, cols, n, seed)
     n_real = real.count()
     base = pairs.sliced_long(scores, cols, [ROW]).withColumn("_one", F.lit(1))
     ranked = ordered.cumulate(base, ["column"], ["v", ROW], {"rn": "_one"}).select(ROW, "column", F.floor((F.col("rn") - 1) * n_real / n).alias("idx"))
-    values = pairs.sliced_long(real.select(key, *cols), cols, [key]).withColumn("_one", F.lit(1))
-    pool = ordered.cumulate(values, ["column"], ["v", key], {"rn": "_one"}).select("column", (F.col("rn") - 1).alias("idx"), "v")
-    j = ranked.join(pool, ["column", "idx"])
+    # the real side enters as counts per value, so frequent values are one row each
+    counts = pairs.sliced_long(real.select(*cols), cols, []).groupBy("column", ordered.SLICE, "v").agg(F.count(F.lit(1)).alias("n_v"))
+    cum = ordered.cumulate(counts, ["column"], ["v"], {"upto": "n_v"}, totals=True)
+    iv = cum.select("column", F.col("v").alias("value"), ((F.col("upto") - F.col("n_v")) / F.col("total_upto")).alias("lo"), (F.col("upto") / F.col("total_upto")).alias("hi"))
+    j = draw(ranked, iv, (F.col("idx") + 0.5) / n_real, "v", ["column"])
     return j.groupBy(ROW).agg(*[F.max(F.when(F.col("column") == c, F.col("v"))).alias(c) for c in cols])
 
 

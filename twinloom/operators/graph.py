@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from twinloom.functions import ordered
+from twinloom.functions import ordered, pairs
 
 
 def sequence_edges(df: DataFrame, key: str, order: str, by: list[str] | None = None) -> DataFrame:
     """Both directions of every link between a row and its successor."""
-    nxt = ordered.with_next(df.select(key, *([order] if order != key else []), *(by or [])), order, [key], by).where("has_next")
+    slim = df.select(key, *([order] if order != key else []), *(by or []))
+    tie = key if key != order and pairs.is_numeric(dict(df.dtypes)[key]) else None
+    nxt = ordered.with_next(slim, order, [key], by, tie=tie).where("has_next")
     link = F.array(F.struct(F.col(key).alias("src"), F.col(f"next_{key}").alias("dst")), F.struct(F.col(f"next_{key}").alias("src"), F.col(key).alias("dst")))
     return nxt.select(F.inline(link))
 

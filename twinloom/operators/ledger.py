@@ -38,10 +38,10 @@ def by_dataset(ledger: DataFrame) -> DataFrame:
     return after_reset(ledger).groupBy("dataset").agg(F.count(F.lit(1)).alias("entries"), F.sum("epsilon").alias("consumed"))
 
 
-def timeline(ledger: DataFrame, order: str = "seq", slices: int | None = None) -> DataFrame:
-    """Running epsilon in ledger order, computed slice by slice."""
-    sliced = ordered.with_value_slice(ledger, order, slices)
-    return ordered.cumulate(sliced, [], [order], {"cumulative": "epsilon"})
+def timeline(ledger: DataFrame, order: str = "seq", slices: int | None = None, tie: str = "seq") -> DataFrame:
+    """Running epsilon in ledger order, computed slice by slice; entries of one moment follow ``tie``."""
+    sliced = ordered.with_value_slice(ledger, order, slices, tie if tie != order else None)
+    return ordered.cumulate(sliced, [], [order] if tie == order else [order, tie], {"cumulative": "epsilon"})
 
 
 def sensitivity(columns: DataFrame, token: bool = False) -> DataFrame:

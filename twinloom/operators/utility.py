@@ -130,7 +130,7 @@ def longest_text(real: DataFrame, target: str) -> str | None:
     return best if (row[best] or 0.0) >= 20 else None
 
 
-def text_vectors(docs: DataFrame, key: str, text: str, keep: list[str], size: int = 500, min_df: int = 2) -> DataFrame:
+def text_vectors(docs: DataFrame, text: str, keep: list[str], size: int = 500, min_df: int = 2) -> DataFrame:
     """TF-IDF vectors over the ``size`` most frequent words and word pairs found in at least ``min_df`` texts.
 
     The vocabulary is a top-k report: at most ``size`` terms reach the driver.
@@ -138,7 +138,7 @@ def text_vectors(docs: DataFrame, key: str, text: str, keep: list[str], size: in
     words = tokens(F.col(text))
     two = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     grams = F.concat(F.col("w"), F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>")))
-    spoken = docs.select(key, *keep, F.coalesce(words, F.array().cast("array<string>")).alias("w")).select(key, *keep, grams.alias("grams"))
+    spoken = docs.select(*keep, F.coalesce(words, F.array().cast("array<string>")).alias("w")).select(*keep, grams.alias("grams"))
     # occurrences and texts per term in one map-side combined pass: every gram once, and every distinct gram of a text once
     marks = F.concat(
         F.transform("grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
@@ -146,19 +146,19 @@ def text_vectors(docs: DataFrame, key: str, text: str, keep: list[str], size: in
     seen = spoken.select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
     vocab = seen.orderBy(F.desc("total"), "term").limit(size).collect()
     if not vocab:
-        return docs.select(key, *keep, array_to_vector(F.array(F.lit(0.0))).alias("features"))
+        return docs.select(*keep, array_to_vector(F.array(F.lit(0.0))).alias("features"))
     n = docs.count()
     idf = F.array(*[F.lit(math.log((1 + n) / (1 + r["df"])) + 1) for r in vocab])
     cv = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], inputCol="grams", outputCol="counts")
-    counted = cv.transform(spoken).select(key, *keep, vector_to_array("counts").alias("tf"))
-    weighted = counted.select(key, *keep, F.zip_with("tf", idf, lambda t, i: F.when(t > 0, (1 + F.ln(t)) * i).otherwise(F.lit(0.0))).alias("w"))
+    counted = cv.transform(spoken).select(*keep, vector_to_array("counts").alias("tf"))
+    weighted = counted.select(*keep, F.zip_with("tf", idf, lambda t, i: F.when(t > 0, (1 + F.ln(t)) * i).otherwise(F.lit(0.0))).alias("w"))
     length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
     scaled = weighted.withColumn("length", length).select(
-        key, *keep, F.transform("w", lambda x: F.coalesce(x / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0))).alias("w"))
-    return scaled.select(key, *keep, array_to_vector("w").alias("features"))
+        *keep, F.transform("w", lambda x: F.coalesce(x / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0))).alias("w"))
+    return scaled.select(*keep, array_to_vector("w").alias("features"))
 
 
-def tstr_text(pair: DataFrame, target: str, key: str | None = None) -> DataFrame:
+def tstr_text(pair: DataFrame, target: str) -> DataFrame:
     """A linear classifier on TF-IDF features of the longest text column. Failures are raised, not scored as neutral."""
     real = pair.where(F.col(SIDE) == REAL)
     neutral = _row(pair, method="text", metric=F.lit(None).cast("double"), baseline=F.lit(None).cast("double"), score=NEUTRAL)
@@ -170,11 +170,7 @@ def tstr_text(pair: DataFrame, target: str, key: str | None = None) -> DataFrame
     classes = real.agg(F.approx_count_distinct(target)).first()[0]
     if n_synth < 20 or n_real < 10 or classes > 50:
         return neutral
-    if key is None:
-        key = "_doc"
-        clean = clean.withColumn(key, F.sha2(F.concat_ws("|", SIDE, text, F.col(target).cast("string")), 256))
-        clean = clean.dropDuplicates([key])
-    data = cut(text_vectors(_labelled(clean.select(SIDE, key, text, target), target), key, text, [SIDE, "label"]))
+    data = cut(text_vectors(_labelled(clean.select(SIDE, text, target), target), text, [SIDE, "label"]))
     train, test = data.where(F.col(SIDE) == SYNTH), data.where(F.col(SIDE) == REAL)
     if train.agg(F.approx_count_distinct("label")).first()[0] < 2:
         return neutral

@@ -105,10 +105,10 @@ QUERIES["tstr_regression"] = lambda s, d: utility.tstr_regression(orders_feature
 
 
 def docs_pair(s, d):
-    return T.load_table(s, d, "documents", spread=True).withColumn("side", V.side_of("doc_id")).select("side", "doc_id", "text", "lang")
+    return T.load_table(s, d, "documents", spread=True).withColumn("side", V.side_of("doc_id")).select("side", "text", "lang")
 
 
-QUERIES["tstr_text"] = lambda s, d: utility.tstr_text(docs_pair(s, d), "lang", "doc_id")
+QUERIES["tstr_text"] = lambda s, d: utility.tstr_text(docs_pair(s, d), "lang")
 QUERIES["utility"] = lambda s, d: utility.utility(V.customer_pair(s, d), "c_mktsegment")
 QUERIES["attribute_leak"] = lambda s, d: utility.attribute_leak(V.orders_pair(s, d), "o_orderpriority")
 QUERIES["tstr_fast"] = lambda s, d: utility.tstr_fast(V.orders_pair(s, d), "o_orderstatus")

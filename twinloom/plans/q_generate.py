@@ -168,7 +168,7 @@ SQL["gen_correlated_by_class"] = f"with {LABELS}, {chol_sql('l_returnflag')}, g
 
 def copula(s, d):
     real = T.load_table(s, d, "orders")
-    return rounded(G.gen_copula(real, "o_orderkey", ["o_totalprice", "o_custkey"], real.count()), "o_totalprice", "o_custkey")
+    return rounded(G.gen_copula(real, ["o_totalprice", "o_custkey"], real.count()), "o_totalprice", "o_custkey")
 
 
 QUERIES["gen_copula"] = copula
