@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinloom.functions import fixed
@@ -9,6 +11,7 @@ from twinloom.functions.scalars import r6
 from twinloom.operators import ledger, runs as R
 from twinloom.plans import views as V
 from twinloom.plans.q_compare import rounded
+from twinloom.session import checkpoint_dir
 from twinloom.sources import logs
 
 QUERIES, SQL = {}, {}
@@ -210,7 +213,14 @@ def archive_lines(s, d):
     return a.select(F.when(F.col("seq") % 41 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value"))
 
 
-QUERIES["archive_load"] = lambda s, d: logs.archive_rows(archive_lines(s, d)).groupBy("model_key", "released").agg(
+def written(lines):
+    """Lines as text files in the shared folder."""
+    path = f"{checkpoint_dir(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+QUERIES["archive_load"] = lambda s, d: logs.load_archive(s, written(archive_lines(s, d))).groupBy("model_key", "released").agg(
     F.count(F.lit(1)).alias("n"), r6(F.sum("reward")).alias("sum_reward"), r6(F.sum("privacy")).alias("sum_privacy"),
     r6(F.sum("realism")).alias("sum_realism"), F.sum(F.size("failure_reasons")).alias("n_reasons"), F.sum("meta_rows").alias("sum_rows"))
 SQL["archive_load"] = ARCHIVE + """ select model model_key, released, count(*) n, round(sum(case when seq%53=0 then 0 else round(reward,6) end),6) sum_reward,
@@ -223,7 +233,7 @@ def meta_lines(s, d):
     return V.runs(s, d).select(F.when(F.col("seq") % 29 == 0, F.lit("{broken")).otherwise(text).alias("value"))
 
 
-QUERIES["meta_load"] = lambda s, d: logs.meta_rows(meta_lines(s, d)).groupBy("model_key").agg(
+QUERIES["meta_load"] = lambda s, d: logs.load_meta(s, written(meta_lines(s, d))).groupBy("model_key").agg(
     F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("sum_rows"), F.sum("n_cols").alias("sum_cols"), r6(F.sum("reward")).alias("sum_reward"))
 SQL["meta_load"] = BASE + """ select model model_key, count(*) n, sum(n_rows)::bigint sum_rows, sum(n_cols)::bigint sum_cols, round(sum(round(reward,6)),6) sum_reward
  from runs where seq%29<>0 group by 1"""

@@ -17,8 +17,9 @@ def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
     """JSON lines to rows; lines that are not JSON objects are skipped. Bare NaN and Infinity are accepted."""
     bad = "_corrupt string"
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "true"}
-    parsed = lines.select(F.from_json("value", f"{schema}, {bad}", opts).alias("j"))
-    return parsed.where(F.col("j").isNotNull() & F.col("j._corrupt").isNull()).select("j.*").drop("_corrupt")
+    # inlined from a one-element array, so each line is parsed once however many fields are read
+    parsed = lines.where(~F.trim("value").isin("", "null")).select(F.inline(F.array(F.from_json("value", f"{schema}, {bad}", opts))))
+    return parsed.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
 def archive_rows(lines: DataFrame) -> DataFrame:
