@@ -90,14 +90,14 @@ _CHATS = rf"""select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t,
 SQL = {
     "op1_quality_rules": rf"""
 with d as (select row_number() over () k, doc_id, coalesce(text, '') t from documents),
-w as (select k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+w as (select k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
 win as (select k, i, list_aggregate(ws[i:i+7], 'string_agg', ' ') g from (select k, ws, unnest(range(1, len(ws) - 6)) i from w where len(ws) >= 8)),
 rep as (select k, i from win qualify count(*) over (partition by k, g) > 1),
 cov as (select k, count(distinct j) n from (select k, unnest(range(i, i + 8)) j from rep) group by k),
 m as (select w.k, doc_id, cast(len(ws) as bigint) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars,
   cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) n_symbols,
   cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines, cast(coalesce(n, 0) as bigint) n_repeat_words,
-  len(ls) n_lines, len(list_filter(ws, x -> x in ({_STOP}))) n_stop from w left join cov on w.k = cov.k),
+  len(ls) n_lines, len(list_filter(ws, lambda x: x in ({_STOP}))) n_stop from w left join cov on w.k = cov.k),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or word_chars < 2 * n_words or word_chars > 20 * n_words or 100 * n_symbols > 10 * n_words
