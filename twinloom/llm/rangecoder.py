@@ -44,10 +44,8 @@ class Model:
         self.last = np.zeros(len(self.owner), bool)
         self.last[self.base + self.sizes - 1] = True
         self.count = np.ones(len(self.owner), np.int64)
-        self.low = np.zeros(len(self.owner), np.int64)  # where an id's share begins, and its width
-        self.wide = np.zeros(len(self.owner), np.int64)
-        self.next1, self.sure1 = np.zeros(len(self.owner), np.int32), np.zeros(len(self.owner), np.int8)
-        self.next2, self.sure2 = np.zeros(n << HASH, np.int32), np.zeros(n << HASH, np.int8)
+        self.share = np.zeros(len(self.owner), np.int64)  # of an id: where its share begins, times 2 ** 16, and its width
+        self.known1, self.known2 = np.zeros(len(self.owner), np.int32), np.zeros(n << HASH, np.int32)  # predicted id times 8, and how sure
         start = np.repeat(np.array([[1], *[[1024 + 2560 * i // SURE] for i in range(SURE)]], np.int64), n, axis=1)
         self.trust1, self.trust2 = start.copy().ravel(), start.copy().ravel()
         self.n, self.p1, self.p2 = n, np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -64,7 +62,7 @@ class Model:
         begins = ends - width
         begins -= begins[self.base][self.owner]
         width[self.last] = (1 << SHARE) - begins[self.last]
-        self.low, self.wide = begins, width
+        self.share = begins << 16 | width
         if self.decoding:
             self.find = np.repeat(self.local, width)
 
@@ -75,22 +73,29 @@ class Model:
         self.p1, self.p2, self.block, self.hash_base = self.p1[:n], self.p2[:n], self.block[:n], self.hash_base[:n]
 
     def predict(self) -> None:
-        base = self.base[: self.n]
-        self.at1 = base + self.p1
+        """What each order says next, and the weights of the mix."""
+        self.here = self.base[: self.n]
+        self.at1 = self.here + self.p1
         self.at2 = self.hash_base + ((self.p1 * 40503 ^ self.p2 * 25717) >> 2 & (1 << HASH) - 1)
-        self.g1, self.s1 = self.next1[self.at1], self.sure1[self.at1]
-        self.g2, self.s2 = self.next2[self.at2], self.sure2[self.at2]
-        self.t1, self.t2 = self.s1 * np.int64(self.n) + self.block, self.s2 * np.int64(self.n) + self.block
-        self.f2 = self.trust2[self.t2] << (TOTAL - TRUST)
+        k1, k2 = self.known1.take(self.at1), self.known2.take(self.at2)
+        self.s1, self.s2 = k1 & 7, k2 & 7
+        self.g1, self.g2 = k1 >> 3, k2 >> 3
+        self.t1, self.t2 = self.s1 * self.n + self.block, self.s2 * self.n + self.block
+        self.w1, self.w2 = self.trust1.take(self.t1), self.trust2.take(self.t2)
+        self.f2 = self.w2 << (TOTAL - TRUST)
         rest = (1 << TOTAL) - self.f2
-        self.f1 = rest * self.trust1[self.t1] >> TRUST
+        self.f1 = rest * self.w1 >> TRUST
         self.f0 = rest - self.f1
 
+    def order0(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the order-0 share of x begins and ends."""
+        share = self.share.take(self.here + x)
+        low = share >> 16
+        return low * self.f0 >> SHARE, (low + (share & 0xFFFF)) * self.f0 >> SHARE
+
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.base[: self.n] + x
-        low = self.low[at]
-        begin = low * self.f0 >> SHARE
-        width = ((low + self.wide[at]) * self.f0 >> SHARE) - begin
+        begin, width = self.order0(x)
+        width -= begin
         begin += self.f2 * (self.g2 < x) + self.f1 * (self.g1 < x)
         self.hit1, self.hit2 = self.g1 == x, self.g2 == x
         width += self.f2 * self.hit2 + self.f1 * self.hit1
@@ -99,32 +104,31 @@ class Model:
     def lookup(self, v: np.ndarray) -> np.ndarray:
         """The id whose interval holds v."""
         swap = self.g1 < self.g2
-        a, b = np.where(swap, self.g1, self.g2), np.where(swap, self.g2, self.g1)
-        fa, fb = np.where(swap, self.f1, self.f2), np.where(swap, self.f2, self.f1)
-        equal = self.g1 == self.g2
-        fa, fb = np.where(equal, self.f1 + self.f2, fa), np.where(equal, 0, fb)
-        base = self.base[: self.n]
-        at_a, at_b = base + a, base + b
-        low_a, low_b = self.low[at_a], self.low[at_b]
-        past_a = v >= ((low_a + self.wide[at_a]) * self.f0 >> SHARE) + fa
-        in_a = ~past_a & (v >= low_a * self.f0 >> SHARE)
+        a, b = np.minimum(self.g1, self.g2), np.maximum(self.g1, self.g2)
+        both = self.f1 + self.f2
+        fa = np.where(swap, self.f1, self.f2)
+        fa = np.where(a == b, both, fa)
+        fb = both - fa
+        low, high = self.order0(a)
+        past_a = v >= high + fa
+        in_a = ~past_a & (v >= low)
         v = v - fa * past_a
-        past_b = past_a & (v >= ((low_b + self.wide[at_b]) * self.f0 >> SHARE) + fb)
-        in_b = past_a & ~past_b & (v >= low_b * self.f0 >> SHARE)
+        low, high = self.order0(b)
+        past_b = past_a & (v >= high + fb)
+        in_b = past_a & ~past_b & (v >= low)
         v = v - fb * past_b
         share = np.minimum(((v + 1 << SHARE) - 1) // self.f0, (1 << SHARE) - 1)
-        x = self.find[(self.block << SHARE) + share]
+        x = self.find.take((self.block << SHARE) + share)
         return np.where(in_a, a, np.where(in_b, b, x)).astype(np.int64)
 
     def update(self, x: np.ndarray) -> None:
-        self.trust2[self.t2] += ((self.hit2 * 3584) - self.trust2[self.t2] >> LEARN) + (self.trust2[self.t2] < 32)
-        moved = self.trust1[self.t1]
-        self.trust1[self.t1] = np.where(self.hit2, moved, moved + ((self.hit1 * 3584) - moved >> LEARN) + (moved < 32))
-        for hit, sure, at, nxt, known in ((self.hit1, self.s1, self.at1, self.next1, self.sure1), (self.hit2, self.s2, self.at2, self.next2, self.sure2)):
-            new = ~hit & (sure <= 1)
-            known[at] = np.where(hit, np.minimum(sure + 1, SURE), np.where(new, 1, sure >> 1))
-            nxt[at] = np.where(new, x, nxt[at])
-        self.count[self.base[: self.n] + x] += 1
+        self.trust2[self.t2] = self.w2 + (self.hit2 * 3552 + 32 - self.w2 >> LEARN)
+        self.trust1[self.t1] = np.where(self.hit2, self.w1, self.w1 + (self.hit1 * 3552 + 32 - self.w1 >> LEARN))
+        for hit, sure, guess, at, known in ((self.hit1, self.s1, self.g1, self.at1, self.known1), (self.hit2, self.s2, self.g2, self.at2, self.known2)):
+            kept = np.where(hit, np.minimum(sure + 1, SURE), sure >> 1) + (guess << 3)
+            known[at] = np.where(hit | (sure > 1), kept, (x << 3) + 1)
+        at = self.here + x
+        self.count[at] = self.count.take(at) + 1
         self.seen[: self.n] += 1
         self.p2, self.p1 = self.p1, x
 
