@@ -89,6 +89,16 @@ def with_hash_slice(df: DataFrame, u: str, slices: int | None = None) -> DataFra
     return df.withColumn(SLICE, F.floor(F.col(u) * n).cast("int"))
 
 
+def join_back(rows: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of its (group, slice) in ``borders``. NULL groups and the slice of NULL order values match
+    themselves, so no row is lost."""
+    held = borders.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in borders.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_j{i}"))
+    return rows.join(held, on).drop(*[f"_j{i}" for i in range(len(keys))])
+
+
 def _group(by: list[str]):
     return [F.col(b) for b in by] if by else [F.lit(0)]
 
@@ -122,7 +132,7 @@ def cumulate(
     if next_of:
         local.append(F.lead(next_of).over(inside).alias("_next"))
     kept = [c for c in df.columns if c != SLICE]
-    out = df.select(*df.columns, *local).join(borders, keys)
+    out = join_back(df.select(*df.columns, *local), borders, keys)
     final = [*kept, *[(F.col(f"_b_{o}") + F.col(f"_l_{o}")).alias(o) for o in sums]]
     if totals:
         final += [f"total_{o}" for o in sums]
@@ -156,7 +166,7 @@ def with_next(df: DataFrame, order: str, carry: list[str], by: list[str] | None
     across = Window.partitionBy(*_group(by)).orderBy(SLICE)
     heads = heads.select(*keys, F.lead("_head").over(across).alias("_next_head"))
     inside = Window.partitionBy(*keys).orderBy(*places)
-    out = sliced.withColumn("_next", F.lead(pack).over(inside)).join(heads, keys)
+    out = join_back(sliced.withColumn("_next", F.lead(pack).over(inside)), heads, keys)
     nxt = F.coalesce("_next", "_next_head")
     return out.select(*df.columns, nxt.isNotNull().alias("has_next"), *[nxt[c].alias(f"next_{c}") for c in carry])
 

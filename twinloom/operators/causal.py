@@ -12,13 +12,12 @@ from twinloom.functions.pairs import REAL, SIDE
 from twinloom.functions.scalars import clip
 from twinloom.operators import compare
 
-MAX_COLUMNS = 20
 EDGE = 0.15
 NORMAL_975 = 1.959963984540054  # two-sided 5 % point of the standard normal
 
 
-def usable_columns(pair: DataFrame, target: str | None = None, cols: list[str] | None = None) -> list[str]:
-    """Numeric columns that vary on the real side and hold more than five synthetic values; the target leads when there are too many."""
+def usable_columns(pair: DataFrame, target: str | None = None, cols: list[str] | None = None, limit: int | None = None) -> list[str]:
+    """Numeric columns that vary on the real side and hold more than five synthetic values; with a ``limit`` the target leads."""
     cols = pairs.numeric_columns(pair) if cols is None else cols
     if not cols:
         return []
@@ -28,10 +27,10 @@ def usable_columns(pair: DataFrame, target: str | None = None, cols: list[str] |
         aggs += [F.stddev_samp(F.when(F.col(SIDE) == REAL, F.col(c))).alias(f"s_{c}"), F.count(F.when(F.col(SIDE) != REAL, F.col(c))).alias(f"n_{c}")]
     row = view.agg(*aggs).first()
     kept = [c for c in cols if (row[f"s_{c}"] or 0.0) > 1e-6 and row[f"n_{c}"] > 5]
-    if len(kept) > MAX_COLUMNS:
+    if limit is not None and len(kept) > limit:
         if target in kept:
             kept = [target] + [c for c in kept if c != target]
-        kept = kept[:MAX_COLUMNS]
+        kept = kept[:limit]
     return kept
 
 

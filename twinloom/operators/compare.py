@@ -48,7 +48,7 @@ def ks(pair: DataFrame, cols: list[str] | None = None, slices: int | None = None
     return d.select("column", "ks", (1 - F.col("ks")).alias("score"))
 
 
-def wasserstein(pair: DataFrame, cols: list[str] | None = None, limit: int = 30, slices: int | None = None) -> DataFrame:
+def wasserstein(pair: DataFrame, cols: list[str] | None = None, limit: int | None = None, slices: int | None = None) -> DataFrame:
     """Earth-mover distance against the robust real range p99 - p1; id-like and near-constant columns are skipped."""
     cols = (cols or pairs.numeric_columns(pair))[:limit]
     whole = [c for c, t in pair.dtypes if t in pairs.INTEGRAL]
@@ -59,7 +59,7 @@ def wasserstein(pair: DataFrame, cols: list[str] | None = None, limit: int = 30,
     return kept.select("column", "w1", spread.alias("spread"), clip(1 - 0.5 * F.col("w1") / spread).alias("score"))
 
 
-def wasserstein_range(pair: DataFrame, cols: list[str] | None = None, limit: int = 30, slices: int | None = None) -> DataFrame:
+def wasserstein_range(pair: DataFrame, cols: list[str] | None = None, limit: int | None = None, slices: int | None = None) -> DataFrame:
     """Earth-mover distance against the full real range max - min."""
     cols = (cols or pairs.numeric_columns(pair))[:limit]
     d = cdf_distances(pair, cols, slices).where((F.col("n_r") > 0) & (F.col("n_s") > 0))
@@ -73,7 +73,7 @@ def _jsd(p, q):
     return (p * F.ln(p / m) + q * F.ln(q / m)) / 2
 
 
-def jsd_binned(pair: DataFrame, cols: list[str] | None = None, bins: int = 20, limit: int = 30) -> DataFrame:
+def jsd_binned(pair: DataFrame, cols: list[str] | None = None, bins: int = 20, limit: int | None = None) -> DataFrame:
     """1 - sqrt(JSD) over equal-width bins of the combined range; the last bin is closed."""
     cols = (cols or pairs.numeric_columns(pair))[:limit]
     binned = binned_counts(pair, cols, bins)
@@ -139,7 +139,7 @@ def low_cardinality(df: DataFrame, limit: int = 20) -> list[str]:
     return [c for c in df.columns if c in text or c in narrow]
 
 
-def jsd_categorical(pair: DataFrame, cols: list[str] | None = None, limit: int = 20) -> DataFrame:
+def jsd_categorical(pair: DataFrame, cols: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """1 - sqrt(JSD) over category frequencies (1e-8 smoothing, nats).
 
     Fully disjoint categories score 1 - sqrt(ln 2), about 0.167: the measure's floor.
@@ -201,7 +201,7 @@ def pair_correlations(pair: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def corr_similarity(pair: DataFrame, cols: list[str] | None = None, limit: int = 50) -> DataFrame:
+def corr_similarity(pair: DataFrame, cols: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """1 - min(mean |difference of correlation matrices|, 1), diagonal included."""
     cols = (cols or pairs.numeric_columns(pair))[:limit]
     c = pair_correlations(pair, cols).where((F.col("n_r") >= 2) & (F.col("n_s") >= 2))

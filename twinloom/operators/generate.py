@@ -105,7 +105,9 @@ class Intervals:
         """Add column ``name`` drawn from column ``c``; the table is broadcast only below a counted size."""
         name = name or c
         iv = self.table.where(F.col("column") == c).drop("column", "k")
-        out = draw(rows_, iv, u, "_drawn", self.by, how, small=self.sizes.get(c, 0) <= BROADCAST_ROWS)
+        # an interval is listed in the cells it meets: at most its count and the cells, once if there are no classes
+        listed = self.sizes.get(c, 0) + 16 * width(rows_.sparkSession)
+        out = draw(rows_, iv, u, "_drawn", self.by, how, small=not self.by and listed <= BROADCAST_ROWS)
         return out.select(*rows_.columns, F.col("_drawn").cast(self.types[c]).alias(name))
 
 
@@ -135,11 +137,12 @@ def is_small(real: DataFrame, cols: list[str]) -> dict[str, bool]:
 
 
 def gen_categorical(real: DataFrame, cols: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Each column drawn on its own from its observed frequencies; missing values are not drawn."""
+    """Each column drawn on its own from its observed frequencies; missing values are not drawn. A column without any
+    value stays NULL; there are always n rows."""
     iv = Intervals.fit(real, cols)
     out = rows(real.sparkSession, n)
     for c in cols:
-        out = iv.draw(out, c, rng.uniform(ROW, c, seed))
+        out = iv.draw(out, c, rng.uniform(ROW, c, seed), how="left")
     return out
 
 
@@ -204,9 +207,11 @@ def gen_conditional(real: DataFrame, labels: DataFrame, target: str, numeric: li
     if text or drawn:
         iv = Intervals.fit(real.where(F.col(target).isNotNull()), [*text, *drawn], [target], {c: narrow for c in drawn})
     for c in text:
-        out = iv.draw(out, c, rng.uniform(ROW, f"{c}/cond", seed))
+        out = iv.draw(out, c, rng.uniform(ROW, f"{c}/cond", seed), how="left")
+    if text:
+        out = fall_back(real, labels, out, target, text, seed)
     if numeric:
-        out = out.join(stats, F.col(target) == F.col("_class"))
+        out = out.join(stats, F.col(target) == F.col("_class"), "left")
         for c in drawn:
             out = iv.draw(out, c, rng.uniform(ROW, f"{c}/cond", seed), f"_drawn_{c}", "left")
         cols = []
@@ -217,6 +222,20 @@ def gen_conditional(real: DataFrame, labels: DataFrame, target: str, numeric: li
     return out
 
 
+def fall_back(real: DataFrame, labels: DataFrame, out: DataFrame, target: str, text: list[str], seed: int) -> DataFrame:
+    """Rows of a class that has no value in a column draw it from all classes; without any value it stays NULL."""
+    held = real.groupBy(F.col(target).alias("_class")).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(text)])
+    asked = labels.select(F.col(target).alias("_asked")).distinct().join(held, F.col("_asked") == F.col("_class"), "left")
+    least = asked.agg(*[F.min(F.coalesce(f"_n{i}", F.lit(0))).alias(f"_n{i}") for i in range(len(text))]).first()
+    short = [c for i, c in enumerate(text) if least[f"_n{i}"] == 0]
+    if not short:
+        return out
+    whole = Intervals.fit(real, short)
+    for c in short:
+        out = whole.draw(out, c, rng.uniform(ROW, f"{c}/all", seed), f"_all_{c}", "left")
+    return out.select(*[F.coalesce(c, f"_all_{c}").alias(c) if c in short else c for c in out.columns if c not in [f"_all_{x}" for x in short]])
+
+
 def gen_ids(generated: DataFrame) -> DataFrame:
     """Synthetic file names from the row number."""
     return generated.withColumn("synthetic_id", F.concat(F.lit("synth_"), F.substring(F.md5(F.col(ROW).cast("string")), 1, 8), F.lit(".png")))

@@ -11,7 +11,7 @@ from twinloom.functions.pairs import INTEGRAL, is_numeric
 
 CATALOGUE_SCHEMA = (
     "dataset string, ordinal int, column string, kind string, n_rows long, n_nonnull long, n_distinct long, "
-    "avg_len double, lo double, hi double, frac_gap double"
+    "avg_len double, lo double, hi double, off_whole long"
 )
 NARROW = 60
 
@@ -59,12 +59,12 @@ def catalogue(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
                 (F.avg(F.length(c)) if k == "string" else F.max(nul)).alias(f"l{i}"),
                 (F.min(F.col(c).cast("double")) if num else F.max(nul)).alias(f"lo{i}"),
                 (F.max(F.col(c).cast("double")) if num else F.max(nul)).alias(f"hi{i}"),
-                (F.max(F.abs(F.col(c) - F.round(c, 0))).cast("double") if num else F.max(nul)).alias(f"g{i}"),
+                (F.count_if(F.abs(F.col(c) - F.round(c, 0)) >= 0.01) if num else F.max(F.lit(None).cast("long"))).alias(f"g{i}"),
             ]
             rows.append(F.struct(
                 F.lit(name).alias("dataset"), F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(k).alias("kind"), F.col("n").alias("n_rows"),
                 F.col(f"c{i}").alias("n_nonnull"), F.col(f"d{i}").alias("n_distinct"), F.col(f"l{i}").alias("avg_len"),
-                F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.col(f"g{i}").alias("frac_gap")))
+                F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.col(f"g{i}").alias("off_whole")))
         one = df.agg(*aggs).select(F.inline(F.array(*rows)))
         first = one if first is None else first.unionAll(one)
     stats = [r.asDict() for r in first.collect()]
@@ -106,13 +106,13 @@ def discrete_columns(cat: DataFrame, contracts: DataFrame, limit: int = 20) -> D
 
 
 def infer_modality(cat: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
-    """A valid declared modality wins; long text makes text; many pixel-like numeric columns make image; else tabular."""
+    """A valid declared modality wins; long text makes text; many pixel-like numeric columns (the median cell is a whole number) make image; else tabular."""
     num = is_numeric_kind()
     per = cat.groupBy("dataset").agg(
         F.max(F.coalesce(F.col("avg_len") > 50, F.lit(False)) & (F.col("kind") == "string")).alias("long_text"),
         F.count(F.lit(1)).alias("n_cols"), F.count_if(num).alias("n_num"),
-        F.min(F.when(num, F.col("lo"))).alias("lo"), F.max(F.when(num, F.col("hi"))).alias("hi"), F.max(F.when(num, F.col("frac_gap"))).alias("gap"))
-    pixel = (F.col("n_cols") > 200) & (F.col("n_num") / F.col("n_cols") > 0.95) & (F.col("lo") >= 0) & (F.col("hi") <= 255) & (F.col("gap") < 0.01)
+        F.min(F.when(num, F.col("lo"))).alias("lo"), F.max(F.when(num, F.col("hi"))).alias("hi"), (F.sum(F.when(num, F.col("n_nonnull") - 2 * F.col("off_whole"))) > 0).alias("whole"))
+    pixel = (F.col("n_cols") > 200) & (F.col("n_num") / F.col("n_cols") > 0.95) & (F.col("lo") >= 0) & (F.col("hi") <= 255) & F.col("whole")
     guess = F.when(F.col("long_text"), "text").when(pixel, "image").otherwise("tabular")
     if contracts is None:
         return per.select("dataset", guess.alias("modality"))

@@ -70,7 +70,7 @@ def markov_score(pair: DataFrame, col: str, order: str, by: list[str] | None = N
 
 def autocorr(pair: DataFrame, order: str, cols: list[str] | None = None, by: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Per column: lag-1 autocorrelation on both sides and 1 - min(|difference|, 1). Missing values are skipped, not lagged over."""
-    cols = (cols or [c for c in pairs.numeric_columns(pair) if c != order])[:10]
+    cols = cols or [c for c in pairs.numeric_columns(pair) if c != order]
     keep = [SIDE, order, *(by or [])]
     long = pairs.unpivot(pairs.numeric_view(pair, cols, keep), cols, keep).where(F.col("v").isNotNull())
     lagged = ordered.with_next(long, order, ["v"], ["column", SIDE, *(by or [])], slices)

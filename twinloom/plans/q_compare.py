@@ -88,7 +88,9 @@ CAT_JSD = """, tot as (select "column", sum(r) n_r, sum(s) n_s, count(*) k from
  pq as (select g."column", (r/n_r+1e-8)/(1+k*1e-8) p, (s/n_s+1e-8)/(1+k*1e-8) q from g join tot on g."column"=tot."column"),
  jsd as (select "column", sqrt(greatest(0,sum((p*ln(p/((p+q)/2))+q*ln(q/((p+q)/2)))/2))) distance from pq group by 1)"""
 QUERIES["jsd_categorical"] = lambda s, d: rounded(compare.jsd_categorical(V.lineitem_pair(s, d)), "distance", "score")
-SQL["jsd_categorical"] = counts_sql(V.LINEITEM_PAIR_SQL, "lineitem_pair", CATS) + CAT_JSD + """
+NARROW_SQL = """, few as (select "column" from long group by 1 having "column" in ('l_returnflag','l_linestatus') or count(distinct v) filter (where side='real') <= 20),
+ g as (select "column", v, count(*) filter (where side='real') r, count(*) filter (where side='synth') s from long where "column" in (from few) group by all)"""
+SQL["jsd_categorical"] = f"with {V.LINEITEM_PAIR_SQL}, long as {cats_sql('lineitem_pair', [c for c, _ in V.columns_of('lineitem')])}" + NARROW_SQL + CAT_JSD + """
  select "column", round(distance,6) distance, round(1-distance,6) score from jsd"""
 
 CHI = """, gg as (select "column", r+1 r, s+1 s from g), tot2 as (select "column", sum(r) n_r, sum(s) n_s, count(*) k from gg group by 1),

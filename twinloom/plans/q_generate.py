@@ -264,7 +264,7 @@ def gen_text(s, d):
 
 QUERIES["gen_text"] = gen_text
 ALEN = "al as (select greatest(3, floor(avg(c)))::bigint k from (select d.doc_id, count(s.sentence) c from documents d left join sents s on s.doc_id=d.doc_id where d.text is not null group by 1))"
-OPEN = f"replace(replace({pick_sql(X.OPENERS, 'row_id', 'opener')}, '{{}}-year', (floor({u_sql('row_id', 'age')}*24)*3+18)::bigint::varchar||'-year'), '{{}}', {pick_sql(X.GROUPS, 'row_id', 'group')})"
+OPEN = f"replace(replace({pick_sql(X.OPENERS, 'row_id', 'opener')}, '{{0}}', (floor({u_sql('row_id', 'case')}*9000)+1000)::bigint::varchar), '{{1}}', {pick_sql(X.WRITERS, 'row_id', 'writer')})"
 SQL["gen_text"] = f"""with {POOL}, {ALEN}, {base_sql('documents')}, {iv_sql('ivl', 'documents', 'lang')}, lab as (select row_id, value lang from (select row_id, {u_sql('row_id', 'lang')} u from base) join ivl on u>=lo and u<hi),
  sz as (select lang, count(*) m from pool group by 1),
  r as (select row_id, lab.lang, m, least(greatest(k+floor({u_sql('row_id', 'length')}*5)-2,3), m)::int kk, least(floor({u_sql('row_id', 'start')}*m)::bigint, m-1) st from lab join sz on sz.lang=lab.lang, al),
@@ -274,7 +274,7 @@ SQL["gen_text"] = f"""with {POOL}, {ALEN}, {base_sql('documents')}, {iv_sql('ivl
  select r.row_id, lang, kk n_sentences, {OPEN.replace('row_id', 'r.row_id')}||' '||body as "text" from r join g on g.row_id=r.row_id"""
 
 QUERIES["tfidf"] = lambda s, d: rounded(X.tfidf(T.load_table(s, d, "documents", spread=True), "doc_id", "text"), "weight")
-SQL["tfidf"] = """with tk as (select doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text),'[^a-z0-9]+',' ','g')),' '), lambda t: length(t)>=2)) term from documents),
+SQL["tfidf"] = """with tk as (select doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text),'[^\\p{L}\\p{N}]+',' ','g')),' '), lambda t: length(t)>=2)) term from documents),
  tf as (select doc_id, term, count(*) tf from tk group by 1,2), df as (select term, count(*) df from tf group by 1),
  w as (select doc_id, tf.term, (1+ln(tf))*(ln((1+(select count(*) from documents))/(1+df)::double)+1) w from tf join df on tf.term=df.term)
  select doc_id, term, round(w/sqrt(sum(w*w) over (partition by doc_id)),4) weight from w"""

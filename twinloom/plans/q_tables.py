@@ -81,10 +81,11 @@ def csv_roundtrip(s, d):
 
 
 QUERIES["csv_roundtrip"] = csv_roundtrip
-DIGEST_ROW = {
-    "customer": "concat_ws('|', c_custkey::varchar, c_name, c_nationkey::varchar, (round(c_acctbal*10000))::decimal(38,0)::varchar, c_mktsegment)",
-    "orders": "concat_ws('|', o_orderkey::varchar, o_custkey::varchar, o_orderstatus, (round(o_totalprice*10000))::decimal(38,0)::varchar, epoch_us(o_orderdate)::varchar, o_orderpriority)",
+DIGEST_CELLS = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "epoch_us(o_orderdate)", "o_orderpriority"],
 }
+DIGEST_ROW = {t: " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in cells) for t, cells in DIGEST_CELLS.items()}
 
 
 def digest_sql(t, alias=""):
@@ -125,9 +126,9 @@ QUERIES["discrete_columns"] = lambda s, d: roles.discrete_columns(cat(s, d), con
 SQL["discrete_columns"] = CAT + """ select c.dataset, ordinal, c."column" from cat c left join contracts k on c.dataset=k.dataset
  where case when k.discrete is not null then list_contains(k.discrete, c."column") else kind='string' or (kind='int' and n_distinct<=20) end"""
 
-MODALITY = """, md0 as (select dataset, coalesce(bool_or(kind='string' and avg_len>50),false) lt, count(*) n, count(*) filter (where kind in ('int','float')) nn, min(lo) lo, max(hi) hi, max(frac_gap) g from cat group by 1),
+MODALITY = """, md0 as (select dataset, coalesce(bool_or(kind='string' and avg_len>50),false) lt, count(*) n, count(*) filter (where kind in ('int','float')) nn, min(lo) lo, max(hi) hi, sum(n_nonnull-2*off_whole) g from cat group by 1),
  md as (select m.dataset, case when k.modality in ('tabular','text','image','graph') then k.modality when lt then 'text'
-   when n>200 and nn*1.0/n>0.95 and lo>=0 and hi<=255 and g<0.01 then 'image' else 'tabular' end modality from md0 m left join contracts k on m.dataset=k.dataset)"""
+   when n>200 and nn*1.0/n>0.95 and lo>=0 and hi<=255 and g>0 then 'image' else 'tabular' end modality from md0 m left join contracts k on m.dataset=k.dataset)"""
 QUERIES["infer_modality"] = lambda s, d: roles.infer_modality(cat(s, d), con(s))
 SQL["infer_modality"] = CAT + MODALITY + " select dataset, modality from md"
 

@@ -148,7 +148,7 @@ def catalogue_sql() -> str:
             parts.append(
                 f"select '{t}' dataset, {i} ordinal, '{c}' \"column\", '{k}' kind, count(*) n_rows, count({c}) n_nonnull, count(distinct {c}) n_distinct, "
                 + (f"avg(length({c}))" if k == "string" else "null::double") + " avg_len, "
-                + (f"min({c})::double lo, max({c})::double hi, max(abs({c}-round({c},0)))::double frac_gap" if num else "null::double lo, null::double hi, null::double frac_gap")
+                + (f"min({c})::double lo, max({c})::double hi, count(*) filter (where abs({c}-round({c},0))>=0.01) off_whole" if num else "null::double lo, null::double hi, null::bigint off_whole")
                 + f" from {t}")
     return "cat as (" + " union all ".join(parts) + ")"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,12 +31,14 @@ def build_session(master: str | None = None, app: str = "twinloom", shuffle_part
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only when none is named (tests)."""
+    """The cluster's shared checkpoint folder; a private one only for a local master that names none (tests)."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not named:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="twinloom-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -53,6 +56,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def width(spark: SparkSession, cap: int = 2000) -> int:
-    """How many ordered slices to cut a column into: the session's shuffle width, within ``cap``."""
-    return max(2, min(cap, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def width(spark: SparkSession) -> int:
+    """How many ordered slices to cut a column into: the session's shuffle width."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -23,18 +23,20 @@ def load_table(spark: SparkSession, folder: str, name: str, spread: bool = False
     return nan_to_null(df)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
-    """CSV scan with a declared schema. Rows that do not parse raise; blank lines are skipped.
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None, header: bool = True) -> DataFrame:
+    """CSV scan with a declared schema, or with ``schema=None`` inferred types. Rows that do not parse raise; blank lines
+    are skipped; quoted cells may hold line ends and doubled quotes.
 
     A file without a header row needs ``header=False``: otherwise its first record is lost.
     """
-    reader = spark.read.schema(schema).option("header", header).option("mode", "FAILFAST").option("multiLine", False)
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("inferSchema", True)
+    reader = reader.option("header", header).option("escape", '"').option("mode", "FAILFAST").option("multiLine", True)
     return nan_to_null(reader.csv(path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Released table as CSV part files with a header; nothing is pulled to the driver."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def preview(df: DataFrame, key: str, k: int = 8) -> DataFrame:
@@ -42,24 +44,22 @@ def preview(df: DataFrame, key: str, k: int = 8) -> DataFrame:
     return df.orderBy(key).limit(k)
 
 
-def table_digest(df: DataFrame, scale: int = 4) -> DataFrame:
+def table_digest(df: DataFrame) -> DataFrame:
     """Order-independent content digest: row count and the summed words of each row's SHA-256.
 
     Sums combine map-side, so no group of rows is ever gathered. Equal rows count every time they occur.
-    Fractions enter at ``scale`` decimals and timestamps as epoch microseconds.
+    Fractions enter with all their digits, timestamps as epoch microseconds; each cell is led by its length, and NULL by ``-``.
     """
     cells = []
     for c, t in df.dtypes:
-        if t in FRACTIONAL:
-            text = F.round(F.col(c) * 10**scale).cast("decimal(38,0)").cast("string")
-        elif t == "timestamp_ntz":
+        if t == "timestamp_ntz":
             text = F.unix_micros(F.col(c).cast("timestamp")).cast("string")
         elif t == "timestamp":
             text = F.unix_micros(c).cast("string")
         else:
-            text = F.col(c).cast("string")
-        cells.append(F.coalesce(text, F.lit("\\N")))
-    row = F.sha2(F.concat_ws("|", *cells), 256)
+            text = F.col(c).cast("string")  # a fraction has the digits that tell it from its neighbours
+        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    row = F.sha2(F.concat(*cells), 256)
     words = [F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
     sums = df.select(*[w.alias(f"w{i}") for i, w in enumerate(words)]).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(4)]
