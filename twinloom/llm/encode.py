@@ -13,7 +13,7 @@ import numpy as np
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.tiktoken"
 #: Chunks and words a worker remembers; a full memory is emptied, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bytes of text cut into chunks at a time.
 PIECE = 1 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

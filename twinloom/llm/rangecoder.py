@@ -27,7 +27,7 @@ LEARN = 5  # a trust moves by 2 ** -LEARN of what it missed
 SURE = 7  # longest run of confirmations that is told apart
 HASH = 12  # bits of the order-2 table
 BLOCK = 8192
-WIDTH = 1024  # blocks wished for side by side
+WIDTH = 512  # blocks wished for side by side
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 S16, S48, STOTAL = np.uint64(16), np.uint64(48), np.uint64(TOTAL)
 
@@ -40,7 +40,7 @@ class Model:
         self.sizes, self.decoding = sizes.astype(np.int64), decoding
         self.base = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.owner = np.repeat(np.arange(n), self.sizes)
-        self.local = (np.arange(len(self.owner)) - self.base[self.owner]).astype(np.int32)
+        self.local = (np.arange(len(self.owner)) - self.base[self.owner]).astype(np.uint16)
         self.last = np.zeros(len(self.owner), bool)
         self.last[self.base + self.sizes - 1] = True
         self.count = np.ones(len(self.owner), np.int64)
@@ -64,7 +64,7 @@ class Model:
         width[self.last] = (1 << SHARE) - begins[self.last]
         self.share = begins << 16 | width
         if self.decoding:
-            self.find = np.repeat(self.local, width)
+            self.find = np.repeat(self.local, width)  # two bytes for each share of each block
 
     def keep(self, n: int) -> None:
         """Go on with the first n blocks; the others have ended."""
@@ -153,7 +153,7 @@ def encode(ids: np.ndarray) -> bytes:
     lists, ranks = zip(*(np.unique(p, return_inverse=True) for p in parts))
     model = Model(np.array([len(x) for x in lists]), False)
     last = len(parts[-1])
-    grid = np.zeros((long, len(parts)), np.int64)
+    grid = np.zeros((long, len(parts)), np.uint16)  # a block has fewer different ids than 2 ** 16
     for b, r in enumerate(ranks):
         grid[: len(r), b] = r
     width = 2 * long + 64
@@ -170,7 +170,7 @@ def encode(ids: np.ndarray) -> bytes:
             model.refresh()
         if t % 256 == 0 and at.max() + 256 * 6 > out.shape[1]:
             out = np.pad(out, ((0, 0), (0, width)))
-        x = grid[t, :n_on]
+        x = grid[t, :n_on].astype(np.int64)
         model.predict()
         begin, wide = model.interval(x)
         r = span[:n_on] >> STOTAL
@@ -218,16 +218,16 @@ def decode(segment: bytes) -> np.ndarray:
         sizes.append(size)
         sums.append(crc)
     model = Model(np.array([len(x) for x in lists]), True)
-    words = np.zeros((n_blocks, max(map(len, codes)) + 8), np.uint64)
+    words = np.zeros((n_blocks, max(map(len, codes)) + 8), np.uint16)
     for b, c in enumerate(codes):
         words[b, : len(c)] = c
     long, last, n_on = sizes[0], sizes[-1], n_blocks
     low, span = np.zeros(n_blocks, np.uint64), np.full(n_blocks, 2**64 - 1, np.uint64)
     code = np.zeros(n_blocks, np.uint64)
     for k in range(4):
-        code = code << S16 | words[:, k]
+        code = code << S16 | words[:, k].astype(np.uint64)
     pos = np.full(n_blocks, 4)
-    grid = np.zeros((long, n_blocks), np.int64)
+    grid = np.zeros((long, n_blocks), np.uint16)
     for t in range(long):
         if t == last and last < long:
             n_on -= 1
@@ -248,7 +248,7 @@ def decode(segment: bytes) -> np.ndarray:
         while len(i):
             a, s = lo[i], sp[i]
             s = np.where((a ^ a + s) < TOP, s, (~a + np.uint64(1)) & BOTTOM - np.uint64(1))
-            co[i] = co[i] << S16 | words[i, np.minimum(pos[i], words.shape[1] - 1)]
+            co[i] = co[i] << S16 | words[i, np.minimum(pos[i], words.shape[1] - 1)].astype(np.uint64)
             pos[i] += 1
             lo[i], sp[i] = a << S16, s << S16
             a, s = lo[i], sp[i]

@@ -26,7 +26,7 @@ from twinloom.llm.encode import WORDS
 from twinloom.session import checkpoint_dir
 
 END = 1
-SEGMENT_IDS = 1 << 23
+SEGMENT_IDS = 1 << 22
 WRITTEN = "part int, segment int, n_ids long, keys binary, sizes binary, data binary"
 READ = "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
