@@ -114,6 +114,7 @@ def test_chunks_give_whole_text_ids(docs):
     whole = Tokenizer.from_file(encode.located(encode.WORDS))
     texts = [r["text"] for r in docs.limit(60).collect()]
     texts += ["", "It's, THE end. ok,", "a,'s b.'t", "H\u0331i \u0130x e\u0301.", "<|endoftext|> <|ENDOFTEXT|>", "x\u00a0y\u2028z 12.5, 3.", "\x00\x85 \x1c a", "tab\tnew\nline\r\x0b\x0c."]
+    texts += ["~", "a~b ~ ~~ x", "<|endoftext|>~ a<|startoftext|>b", "x \u0301 ~ \u0301~", "~. .~ ~~~ \ufeffa"]
     old = encode.PIECE, encode.REMEMBERED
     for encode.PIECE, encode.REMEMBERED in (old, (50, 40)):
         got = encode.WordBpe(encode.WORDS).many([t.encode() for t in texts])
