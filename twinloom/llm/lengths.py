@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from twinloom.session import cut
+
 #: Lengths in one range of the suffix sums, at the least.
 RANGE = 1024
 
@@ -39,7 +41,7 @@ def histogram(counts: DataFrame) -> DataFrame:
     tokens that a context limit of this length keeps (``kept``), all tokens (``n_all``), and the rank interval of its
     documents from below (``rank_from`` to ``rank_to``, 0-based, end exclusive)."""
     part = F.floor(F.col("n_tokens") / RANGE)
-    held = counts.withColumn("_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("_r", part)
+    held = cut(counts).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("_r", part)  # read twice; texts are encoded once
     sums = held.groupBy("_r").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     after = Window.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy()
