@@ -20,7 +20,7 @@ def table(spark, n=240):
 @pytest.mark.parametrize("modality,temporal", [("tabular", False), ("graph", True)])
 def test_release_writes_its_records(spark, tmp_path, modality, temporal):
     c = Contract("demo", "outcome", modality, is_temporal=temporal)
-    out = P.release(table(spark), c, "id", str(tmp_path), trees=5)
+    out = P.release(table(spark), c, "id", str(tmp_path), sweep_trials=0, trees=5)
     r = out.first()
     assert 0 <= r["reward"] <= 1 and 0 <= r["privacy"] <= 1
     assert r["published"] == (not r["forced"])
@@ -46,6 +46,31 @@ def test_exhausted_budget_stops_the_release(spark, tmp_path):
         P.release(table(spark), Contract("demo", "outcome"), "id", str(tmp_path), ledger=spent)
 
 
+def test_a_second_release_reads_what_the_first_wrote(spark, tmp_path):
+    real = table(spark, 120).withColumns({"day": F.expr("timestamp'2024-01-01' + make_interval(0,0,0,cast(id % 9 as int))"), "flag": F.col("id") % 3 == 0, "name": F.concat(F.lit("n"), F.col("id") % 5)})
+    c, path = Contract("demo", "outcome", "tabular", discrete=("outcome",)), str(tmp_path)
+    first = P.release(real, c, "id", path, sweep_trials=2, trees=5, publish_forced=True).first()
+    ledger = L.load(spark, f"{path}/ledger")
+    assert L.remaining(ledger).first()["consumed"] == pytest.approx(first["epsilon"])
+    written = T.read_csv(spark, json.loads(spark.read.text(f"{path}/receipts").first()[0])["outputFile"]["path"], real.schema)
+    assert written.where("day is null or flag is null or name is null").count() == 0 and written.select("day").distinct().count() > 1
+    held = logs.load_history(spark, f"{path}/archive")
+    assert held.select("seq").distinct().count() == first["attempts"] == held.where("n_rows = 120 and model <> ''").count()
+    second = P.release(real, c, "id", path, sweep_trials=0, trees=5, publish_forced=True).first()
+    assert L.remaining(L.load(spark, f"{path}/ledger")).first()["consumed"] == pytest.approx(first["epsilon"] + second["epsilon"])
+    assert logs.load_history(spark, f"{path}/archive").count() == first["attempts"] + second["attempts"]
+    spark.createDataFrame([("demo", 99.0)], "dataset string, epsilon double").transform(lambda d: L.append(d, f"{path}/ledger") or d)
+    with pytest.raises(L.BudgetExhausted):
+        P.release(real, c, "id", path)
+    L.reset(spark, f"{path}/ledger")
+    assert L.remaining(L.load(spark, f"{path}/ledger")).first()["consumed"] == 0
+    assert logs.load_history(spark, f"{path}/none") is None and L.load(spark, f"{path}/none").count() == 0
+    q = stream.publish(stream.entries(spark, f"{path}/ledger"), f"{path}/totals", f"{path}/ck2")
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(f"{path}/totals").first()["entries"] == 3
+
+
 @pytest.mark.parametrize("key", ["tabddpm", "ctgan", "gnn", "diffusion", "ensemble"])
 def test_every_generator_fills_the_schema(spark, key):
     real = table(spark, 120)
@@ -66,7 +91,8 @@ def test_text_generator(spark):
 
 
 def test_sweep(spark):
-    assert P.sweep(table(spark, 50), "id", "outcome", ["amount"], 3.0).count() == 0
+    few = P.sweep(table(spark, 50), "id", "outcome", ["amount"], 3.0, unswept=2.0).collect()
+    assert [(r.epsilon, r.best, r.score) for r in few] == [(2.0, True, None)]
     rows = P.sweep(table(spark), "id", "outcome", ["amount", "score"], 3.0, 3).orderBy("trial").collect()
     assert [round(r.epsilon, 4) for r in rows] == [0.1, round(0.1 * 30**0.5, 4), 3.0]
     assert sum(r.best for r in rows) == 1 and max(rows, key=lambda r: r.score).best

@@ -49,7 +49,7 @@ def with_value_slice(df: DataFrame, order: str, slices: int | None = None, tie:
     """Slice by one numeric or timestamp column.
 
     Equal values cannot be told apart by value. With a numeric ``tie`` column that orders them, the rows of a value
-    frequent enough to fill whole slices are sliced further by it.
+    frequent enough to fill whole slices are sliced further by it. Rows without an order value come first, in tie order.
     """
     slices = slices or width(df.sparkSession)
     held = df.withColumn("_order_d", numeric_order(df, order))
@@ -59,13 +59,13 @@ def with_value_slice(df: DataFrame, order: str, slices: int | None = None, tie:
         cols.append("_tie_d")
     cuts = cut_points(held, cols, slices)
     placed = Bucketizer(splitsArray=[edges(cuts[c]) for c in cols], inputCols=cols, outputCols=[f"_s{c}" for c in cols], handleInvalid="keep").transform(held)
-    at = F.col("_s_order_d").cast("long")
-    often = sorted({v for v, w in zip(cuts["_order_d"], cuts["_order_d"][1:]) if v == w}) if tie else []
-    if often:
+    at = F.coalesce(F.col("_s_order_d").cast("long"), F.lit(-1))
+    if tie:
         # a frequent value opens its slice: its rows come first, in tie order, then the rest of the slice
-        is_often = F.array_contains(F.array(*[F.lit(v) for v in often]), F.col("_order_d"))
-        span = slices + 2
-        at = at * span + F.when(is_often, F.col("_s_tie_d").cast("long")).otherwise(F.lit(span - 1))
+        often = sorted({v for v, w in zip(cuts["_order_d"], cuts["_order_d"][1:]) if v == w})
+        split = F.col("_order_d").isNull() | F.array_contains(F.array(*[F.lit(v) for v in often]).cast("array<double>"), F.col("_order_d"))
+        span = slices + 3
+        at = at * span + F.when(split, F.coalesce(F.col("_s_tie_d").cast("long") + 1, F.lit(0))).otherwise(F.lit(span - 1))
     return placed.select(*df.columns, at.alias(SLICE))
 
 

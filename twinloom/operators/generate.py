@@ -21,6 +21,7 @@ from twinloom.session import cut, width
 
 ROW = "row_id"
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def rows(spark: SparkSession, n: int) -> DataFrame:
@@ -61,8 +62,10 @@ def gen_numeric(real: DataFrame, cols: list[str], n: int, epsilon: float = 1.0,
     return rows(real.sparkSession, n).select(ROW, *[numeric_column(c, stats[c], epsilon, n, seed) for c in cols])
 
 
-def gen_gaussian(spark: SparkSession, cols: list[str], n: int, seed: int = 42) -> DataFrame:
-    return rows(spark, n).select(ROW, *[rng.normal(ROW, c, seed).alias(c) for c in cols])
+def gen_gaussian(real: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """The baseline table: for every row of the real one, a standard normal in place of each non-key cell. A missing cell
+    stays missing, so the baseline has the real table's gaps."""
+    return real.select(key, *[F.when(F.col(c).isNotNull(), rng.normal(key, c, seed)).alias(c) for c in real.columns if c != key])
 
 
 def interval_table(real: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
@@ -130,12 +133,6 @@ def draw(draws: DataFrame, intervals: DataFrame, u: Column, name: str, by: list[
     return out.select(*draws.columns, name)
 
 
-def is_small(real: DataFrame, cols: list[str]) -> dict[str, bool]:
-    """Which columns have few enough distinct values for their interval table to be broadcast."""
-    row = real.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    return {c: row[c] <= BROADCAST_ROWS for c in cols}
-
-
 def gen_categorical(real: DataFrame, cols: list[str], n: int, seed: int = 42) -> DataFrame:
     """Each column drawn on its own from its observed frequencies; missing values are not drawn. A column without any
     value stays NULL; there are always n rows."""
@@ -236,9 +233,9 @@ def fall_back(real: DataFrame, labels: DataFrame, out: DataFrame, target: str, t
     return out.select(*[F.coalesce(c, f"_all_{c}").alias(c) if c in short else c for c in out.columns if c not in [f"_all_{x}" for x in short]])
 
 
-def gen_ids(generated: DataFrame) -> DataFrame:
-    """Synthetic file names from the row number."""
-    return generated.withColumn("synthetic_id", F.concat(F.lit("synth_"), F.substring(F.md5(F.col(ROW).cast("string")), 1, 8), F.lit(".png")))
+def gen_ids(generated: DataFrame, key: str = ROW) -> DataFrame:
+    """Synthetic file names from the row number, or from another key."""
+    return generated.withColumn("synthetic_id", F.concat(F.lit("synth_"), F.substring(F.md5(F.col(key).cast("string")), 1, 8), F.lit(".png")))
 
 
 def gen_metadata(real: DataFrame, path_col: str | None, categorical: list[str], numeric: list[str], n: int, epsilon: float = 1.0, seed: int = 42) -> DataFrame:
@@ -304,7 +301,8 @@ def gen_correlated(real: DataFrame, cols: list[str], n: int, seed: int = 42) ->
 def gen_correlated_by_class(real: DataFrame, labels: DataFrame, target: str, cols: list[str], seed: int = 42) -> DataFrame:
     """The same within each class; every class row carries its own factor."""
     fit = covariance(real, cols, [target]).select(F.col(target).alias("_class"), "mean", lower_factor("cov").alias("low"))
-    small = is_small(real, [target])[target]
+    classes = real.agg(F.count_distinct(target)).first()[0]
+    small = 8 * classes * len(cols) * (len(cols) + 1) <= BROADCAST_BYTES  # a mean and a factor each
     j = labels.join(F.broadcast(fit) if small else fit, F.col(target) == F.col("_class"))
     return j.select(*labels.columns, *_mixed(cols, lambda i: F.col("mean")[i], lambda i: F.col("low")[i], seed))
 

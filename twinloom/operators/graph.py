@@ -8,9 +8,13 @@ from twinloom.functions import ordered, pairs
 
 
 def sequence_edges(df: DataFrame, key: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """Both directions of every link between a row and its successor."""
+    """Both directions of every link between a row and its successor. Rows of one order value follow their key; a key that
+    is no number is replaced by its hash there, so that a frequent value can be split."""
     slim = df.select(key, *([order] if order != key else []), *(by or []))
-    tie = key if key != order and pairs.is_numeric(dict(df.dtypes)[key]) else None
+    tie = None
+    if key != order:
+        tie = key if pairs.is_numeric(dict(df.dtypes)[key]) else "_tie"
+        slim = slim if tie == key else slim.withColumn(tie, F.xxhash64(key))
     nxt = ordered.with_next(slim, order, [key], by, tie=tie).where("has_next")
     link = F.array(F.struct(F.col(key).alias("src"), F.col(f"next_{key}").alias("dst")), F.struct(F.col(f"next_{key}").alias("src"), F.col(key).alias("dst")))
     return nxt.select(F.inline(link))

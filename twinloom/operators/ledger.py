@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinloom.functions import fixed, ordered
 
 SPEND, RESET = "spend", "reset"
+SCHEMA = "seq long, ts timestamp, dataset string, kind string, epsilon double"
 
 
 class BudgetExhausted(RuntimeError):
     """Raised by a caller that finds no budget left."""
 
 
+def moment() -> Column:
+    """Place of a new entry: microseconds since the epoch, so later writers follow earlier ones without reading the ledger."""
+    return F.unix_micros(F.current_timestamp())
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger below a path; no entries where nothing was written yet."""
+    try:
+        return spark.read.schema(SCHEMA).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
+
+
+def append(entries: DataFrame, path: str) -> None:
+    """Write (dataset, epsilon) rows as spending."""
+    rows = entries.select(moment().alias("seq"), F.current_timestamp().alias("ts"), "dataset", F.lit(SPEND).alias("kind"), "epsilon")
+    rows.write.mode("append").json(path)
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Write a reset marker: spending before it no longer counts, and stays on record."""
+    mark = spark.range(1).select(moment().alias("seq"), F.current_timestamp().alias("ts"), F.lit(None).cast("string").alias("dataset"), F.lit(RESET).alias("kind"), F.lit(0.0).alias("epsilon"))
+    mark.write.mode("append").json(path)
+
+
 def after_reset(ledger: DataFrame) -> DataFrame:
     """Entries that count: those after the last reset marker."""
     last = ledger.where(F.col("kind") == RESET).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("s"))

@@ -219,8 +219,8 @@ class Compressor:
 
 
 def compress_wide(df: DataFrame, keep: list[str], trigger: int = 100, components: int = 50) -> DataFrame:
-    """Numeric columns as components when there are more than ``trigger`` of them, else unchanged."""
+    """Numeric columns as components when there are more than ``trigger`` of them, else unchanged. All others are carried."""
     num = [c for c in pairs.numeric_columns(df) if c not in keep]
     if len(num) <= trigger:
         return df
-    return Compressor.fit(df, num, components).transform(df, keep)
+    return Compressor.fit(df, num, components).transform(df, [*keep, *[c for c in df.columns if c not in num and c not in keep]])

@@ -242,6 +242,17 @@ def meta_select(profiles: DataFrame, history: DataFrame, key: str = "dataset") -
     )
 
 
+def best_model_for_size(profiles: DataFrame, meta: DataFrame, key: str = "dataset") -> DataFrame:
+    """(key, model) from the meta store (n_rows, model_key, reward): the best mean reward on similar sizes, the smaller name of
+    equals; NULL below three lines or without neighbours."""
+    enough = meta.limit(fixed.MIN_HISTORY).agg((F.count(F.lit(1)) >= fixed.MIN_HISTORY).alias("enough"))
+    lines = meta.select(F.col("model_key").alias("model"), "n_rows", "reward", F.lit(0.0).alias("epsilon"), F.lit(0).alias("seq"))
+    per = similar_size_models(profiles, lines, key)
+    top = per.groupBy(key).agg(F.max("mean_reward").alias("_top"))
+    best = per.join(top, key).where(F.col("mean_reward") == F.col("_top")).groupBy(key).agg(F.min("model").alias("model"))
+    return profiles.select(key).join(best, key, "left").select(key, F.when(enough.scalar(), F.col("model")).alias("model"))
+
+
 def reward_by_model(history: DataFrame) -> DataFrame:
     return history.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("reward"), 4).alias("mean_reward"))
 

@@ -121,8 +121,8 @@ SQL["gen_conditional"] = f"with {LABELS}, {CLASS_STATS}, {iv_sql('ivs', 'lineite
     " from b join cs on k=b.l_returnflag join ivs on ivs.l_returnflag=b.l_returnflag and us>=ivs.lo and us<ivs.hi " + \
     " ".join(f"left join iv_{c} on d_{c}<30 and iv_{c}.l_returnflag=b.l_returnflag and u_{c}>=iv_{c}.lo and u_{c}<iv_{c}.hi" for c in NUM)
 
-QUERIES["gen_ids"] = lambda s, d: G.gen_ids(G.rows(s, n_rows(s, d, "lineitem")))
-SQL["gen_ids"] = f"with {base_sql('lineitem')} select row_id, 'synth_'||substr(md5(row_id::varchar),1,8)||'.png' synthetic_id from base"
+QUERIES["gen_ids"] = lambda s, d: G.gen_ids(T.load_table(s, d, "pages").select("page_id", "url"), "page_id")
+SQL["gen_ids"] = "select page_id, url, 'synth_'||substr(md5(page_id::varchar),1,8)||'.png' synthetic_id from pages"
 
 
 def metadata(s, d):
@@ -136,9 +136,9 @@ SQL["gen_metadata"] = f"with demo as ({TABLE_SQL['demo_metadata']}), {base_sql('
     ", b as (select row_id, " + ", ".join(f"{u_sql('row_id', c)} u_{c}" for c in MCATS) + " from base) select row_id, " + ", ".join(f"iv_{c}.value {c}" for c in MCATS) + \
     f", 'synth_'||substr(md5(row_id::varchar),1,8)||'.png' image_path, round({numeric_sql('age')},4) age from b " + " ".join(f"join iv_{c} on u_{c}>=iv_{c}.lo and u_{c}<iv_{c}.hi" for c in MCATS) + ", st"
 
-QUERIES["gen_gaussian"] = lambda s, d: rounded(G.gen_gaussian(s, ["a", "b", "c"], n_rows(s, d, "orders")), "a", "b", "c")
-GAUSS = ", ".join(f"round({normal_sql('row_id', c)},4) {c}" for c in "abc")
-SQL["gen_gaussian"] = f"with {base_sql('orders')} select row_id, {GAUSS} from base"
+GAUSS = [c for c, _ in V.columns_of("orders") if c != "o_orderkey"]
+QUERIES["gen_gaussian"] = lambda s, d: rounded(G.gen_gaussian(T.load_table(s, d, "orders"), "o_orderkey"), *GAUSS)
+SQL["gen_gaussian"] = "select o_orderkey, " + ", ".join(f"case when {c} is not null then round({normal_sql('o_orderkey', c)},4) end {c}" for c in GAUSS) + " from orders"
 
 QUERIES["gen_correlated"] = lambda s, d: rounded(G.gen_correlated(li(s, d), NUM, n_rows(s, d, "lineitem")), *NUM)
 A, B, C = NUM

@@ -138,9 +138,6 @@ META = PROFILES_SQL + """, simi as (select p.dataset, h.model, count(*) n, avg(h
 QUERIES["meta_select"] = lambda s, d: rounded(R.meta_select(dataset_profiles(s, d), V.runs(s, d)), "mean_reward", "epsilon")
 SQL["meta_select"] = BASE + META + " select dataset, confident, model, round(mean_reward,6) mean_reward, round(epsilon,6) epsilon, n_similar from ms"
 
-QUERIES["best_model_for_size"] = lambda s, d: R.meta_select(dataset_profiles(s, d), V.runs(s, d)).select("dataset", "model")
-SQL["best_model_for_size"] = BASE + META + " select dataset, model from ms"
-
 QUERIES["choose_model"] = lambda s, d: rounded(R.choose_model(dataset_profiles(s, d), R.archive(V.runs(s, d))), "epsilon")
 SQL["choose_model"] = HIST + META + """ select m.dataset, confident, coalesce(m.model, r.chosen) model,
  round(case when confident then least(m.epsilon, r.epsilon_cap) else r.epsilon_chosen end,6) epsilon
@@ -157,6 +154,15 @@ QUERIES["budget_timeline"] = lambda s, d: rounded(ledger.timeline(V.ledger(s, d)
 SQL["budget_timeline"] = "with " + V.LEDGER_SQL + """ select seq, dataset, round(epsilon,6) epsilon,
  round(sum(epsilon) over (order by ts rows unbounded preceding),6) cumulative from ledger"""
 
+def gappy_ledger(s, d):
+    """The ledger with every seventh entry's time missing."""
+    return V.ledger(s, d).withColumn("ts", F.when(F.col("seq") % 7 != 0, F.col("ts")))
+
+
+QUERIES["budget_timeline_nulls"] = lambda s, d: rounded(ledger.timeline(gappy_ledger(s, d), "ts").select("seq", "dataset", "epsilon", "cumulative"), "epsilon", "cumulative")
+SQL["budget_timeline_nulls"] = "with " + V.LEDGER_SQL + """, gl as (select * replace (case when seq%7<>0 then ts end as ts) from ledger) select seq, dataset, round(epsilon,6) epsilon,
+ round(sum(epsilon) over (order by ts nulls first, seq rows unbounded preceding),6) cumulative from gl"""
+
 QUERIES["history_kpis"] = lambda s, d: rounded(R.history_kpis(R.gate(V.runs(s, d)), 100000.0), "mean_privacy", "epsilon_spent", "budget_remaining")
 SQL["history_kpis"] = GATED + """ select count(*) runs, count(*) filter (where released) approved, round(avg(privacy),6) mean_privacy,
  round(sum(epsilon),6) epsilon_spent, round(greatest(0,100000.0-sum(epsilon)),6) budget_remaining from gated"""
@@ -237,3 +243,9 @@ QUERIES["meta_load"] = lambda s, d: logs.load_meta(s, written(meta_lines(s, d)))
     F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("sum_rows"), F.sum("n_cols").alias("sum_cols"), r6(F.sum("reward")).alias("sum_reward"))
 SQL["meta_load"] = BASE + """ select model model_key, count(*) n, sum(n_rows)::bigint sum_rows, sum(n_cols)::bigint sum_cols, round(sum(round(reward,6)),6) sum_reward
  from runs where seq%29<>0 group by 1"""
+
+QUERIES["best_model_for_size"] = lambda s, d: R.best_model_for_size(dataset_profiles(s, d), logs.load_meta(s, written(meta_lines(s, d))))
+SQL["best_model_for_size"] = BASE + PROFILES_SQL + """, lines as (select n_rows, model, round(reward,6) reward from runs where seq%29<>0),
+ simi as (select p.dataset, h.model, avg(h.reward) mr from prof p join lines h on h.n_rows*1.0/greatest(p.n_rows,1) between 0.5 and 2.0 group by all)
+ select p.dataset, case when (select count(*) from lines)>=3 then s.model end model
+ from prof p left join (select * from simi qualify row_number() over (partition by dataset order by mr desc, model)=1) s on p.dataset=s.dataset"""

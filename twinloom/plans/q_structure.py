@@ -27,6 +27,16 @@ SQL["markov_score"] = f"""with {V.EVENTS_PAIR_SQL}, {EDGES}, l as (select sum(r*
 QUERIES["markov_by_entity"] = lambda s, d: rounded(temporal.transitions(V.events_pair(s, d), "value", "ts", ["user_id"]), "p")
 SQL["markov_by_entity"] = f"with {V.EVENTS_PAIR_SQL}, {EDGES.replace('select side, event_id, ts', 'select side, user_id, ts').replace('partition by side', 'partition by side, user_id')} select state, next_state, r, s, round(p,6) p from tr"
 
+# by day: orders of one day follow their key
+DAILY = f"with {V.ORDERS_PAIR_SQL}"
+QUERIES["markov_by_day"] = lambda s, d: rounded(temporal.transitions(V.orders_pair(s, d), "o_totalprice", "o_orderdate", tie="o_orderkey"), "p")
+SQL["markov_by_day"] = DAILY + ", " + EDGES.replace("events_pair", "orders_pair").replace('"value"', "o_totalprice").replace("select side, event_id, ts", "select side, o_orderkey, o_orderdate").replace(
+    "order by ts", "order by o_orderdate, o_orderkey") + " select state, next_state, r, s, round(p,6) p from tr"
+QUERIES["autocorr_by_day"] = lambda s, d: rounded(temporal.autocorr(V.orders_pair(s, d), "o_orderdate", ["o_totalprice", "o_custkey"], tie="o_orderkey"), "ac_real", "ac_synth", "score")
+SQL["autocorr_by_day"] = DAILY + """, long as (select side, o_orderdate, o_orderkey, unnest([{'c':'o_totalprice','v':o_totalprice},{'c':'o_custkey','v':o_custkey::double}]) x from orders_pair),
+ lg as (select x.c "column", side, x.v v, lead(x.v) over (partition by x.c, side order by o_orderdate, o_orderkey) nv from long), a as (select "column", corr(v,nv) filter (where side='real') r, corr(v,nv) filter (where side='synth') s from lg group by 1)
+ select "column", round(r,6) ac_real, round(s,6) ac_synth, round(1-least(1,abs(r-s)),6) score from a"""
+
 
 def gappy(s, d):
     """Events with a tenth of the values missing."""

@@ -113,12 +113,16 @@ def cat(s, d):
     return roles.catalogue(s, V.all_tables(s, d))
 
 
+def names(s, d):
+    return roles.schema_catalogue(s, V.all_tables(s, d))
+
+
 def con(s):
     return roles.contracts_frame(s, V.contracts())
 
 
 CAT = f"with {V.catalogue_sql()}, {V.contracts_sql()}"
-QUERIES["target_present"] = lambda s, d: roles.target_present(cat(s, d), con(s))
+QUERIES["target_present"] = lambda s, d: roles.target_present(names(s, d), con(s))
 SQL["target_present"] = CAT + """ select k.dataset, k.target, coalesce(bool_or(c."column"=k.target),false) has_target, count(*) filter (where not coalesce(c."column"=k.target,false)) n_features
  from contracts k join cat c on c.dataset=k.dataset group by 1,2"""
 
@@ -152,10 +156,10 @@ NUMK = "kind in ('int','float')"
 TIME = f"""tc as (select dataset, coalesce({first_sql(like_sql(fixed.TIME_WORDS) + " and kind in ('int','float','string','timestamp')")}, {first_sql(NUMK)}) time_col,
  {first_sql(like_sql(fixed.TIME_WORDS_GENERATOR) + " and kind in ('int','float','string','timestamp')")} generator_time_col from cat group by 1)"""
 QUERIES["detect_time_col"] = lambda s, d: (lambda c: roles.detect_time_column(c).join(
-    roles.detect_time_column(c, fixed.TIME_WORDS_GENERATOR, False).withColumnRenamed("time_col", "generator_time_col"), "dataset"))(cat(s, d))
+    roles.detect_time_column(c, fixed.TIME_WORDS_GENERATOR, False).withColumnRenamed("time_col", "generator_time_col"), "dataset"))(names(s, d))
 SQL["detect_time_col"] = CAT + ", " + TIME + " select dataset, time_col, generator_time_col from tc"
 
-QUERIES["detect_entity_col"] = lambda s, d: roles.detect_entity_column(cat(s, d))
+QUERIES["detect_entity_col"] = lambda s, d: roles.detect_entity_column(names(s, d))
 SQL["detect_entity_col"] = CAT + ", " + TIME + f""" select c.dataset, any_value(time_col) time_col, {first_sql(like_sql(fixed.ENTITY_WORDS) + ' and not coalesce("column"=time_col,false)')} entity_col
  from cat c join tc on c.dataset=tc.dataset group by 1"""
 
@@ -164,7 +168,7 @@ SQL["detect_text_col"] = CAT + """, x as (select c.*, kind='string' and not coal
  select dataset, case when max(avg_len) filter (where ok)>=20 then arg_max("column", (avg_len,-ordinal)) filter (where ok) end longest,
  arg_min("column", ordinal) filter (where kind='string' and avg_len>50) first_long from x group by 1"""
 
-QUERIES["detect_path_col"] = lambda s, d: roles.detect_path_column(cat(s, d))
+QUERIES["detect_path_col"] = lambda s, d: roles.detect_path_column(names(s, d))
 SQL["detect_path_col"] = CAT + f" select dataset, {first_sql(like_sql(fixed.PATH_WORDS))} path_col from cat group by 1"
 
 QUERIES["pick_sensitive"] = lambda s, d: roles.pick_sensitive(cat(s, d), con(s))
@@ -180,7 +184,7 @@ def sens_case():
     return c + " else 0 end"
 
 
-QUERIES["sensitivity"] = lambda s, d: ledger.sensitivity(cat(s, d))
+QUERIES["sensitivity"] = lambda s, d: ledger.sensitivity(names(s, d))
 SQL["sensitivity"] = CAT + f""" select dataset, (['low','medium','high','critical'])[r+1] sensitivity, ([10.0,3.0,1.0,0.5])[r+1]::double epsilon_cap
  from (select dataset, max({sens_case()}) r from cat group by 1)"""
 
@@ -249,8 +253,8 @@ SQL["profile"] = " union all ".join(profile_sql(t, targets().get(t)) for t in V.
 
 def meta_all(s, d):
     out = None
-    for t in ("lineitem", "orders", "customer", "events", "documents"):
-        one = profile.meta_features(T.load_table(s, d, t), t, targets()[t])
+    for t in V.TABLES:
+        one = profile.meta_features(T.load_table(s, d, t), t, targets().get(t))
         out = one if out is None else out.unionAll(one)
     return rounded(out, "sparsity", "imbalance", "mean_cardinality")
 
@@ -259,12 +263,12 @@ def meta_sql(t):
     cats = [c for c, k in V.columns_of(t) if k not in ("int", "float")]
     cols = V.columns_of(t)
     nulls = "+".join(f"(count(*)-count({c}))" for c, _ in cols)
-    return f"""select p.dataset, n_rows, n_cols, n_numeric, n_categorical, sparsity, imbalance, has_missing, round(mc,6) mean_cardinality from ({profile_sql(t, targets()[t])}) p,
- (select (case when ({nulls})/(count(*)*{len(cols)}.0)>0.01 then 1.0 else 0.0 end)::double has_missing, ({'+'.join(f'count(distinct {c})' for c in cats)})/{len(cats)}.0 mc from {t})"""
+    return f"""select p.dataset, n_rows, n_cols, n_numeric, n_categorical, sparsity, imbalance, has_missing, round(mc,6) mean_cardinality from ({profile_sql(t, targets().get(t))}) p,
+ (select (case when ({nulls})/(count(*)*{len(cols)}.0)>0.01 then 1.0 else 0.0 end)::double has_missing, ({'+'.join(f'count(distinct {c})' for c in cats) or '0'})/{max(len(cats), 1)}.0 mc from {t})"""
 
 
 QUERIES["meta_features"] = meta_all
-SQL["meta_features"] = " union all ".join(meta_sql(t) for t in ("lineitem", "orders", "customer", "events", "documents"))
+SQL["meta_features"] = " union all ".join(meta_sql(t) for t in V.TABLES)
 
 QUERIES["sparsity"] = lambda s, d: rounded(profile.sparsity(sparse_orders(s, d)), "null_frac", "zero_frac", "sparsity")
 SQL["sparsity"] = f"""with {SPARSE_SQL}, x as (select ((count(*)-count(o_totalprice))+(count(*)-count(o_orderstatus)))/(count(*)*3.0) nf,

@@ -32,7 +32,7 @@ class Roles:
 
 
 def roles_of(real: DataFrame, contract: R.Contract, key: str) -> tuple[Roles, DataFrame]:
-    """Roles from the column catalogue of the table; timestamps are not generated."""
+    """Roles from the column catalogue of the table. Times, dates, booleans and other text are drawn like discrete columns."""
     spark = real.sparkSession
     cat = R.catalogue(spark, {contract.name: real})
     con = R.contracts_frame(spark, [contract])
@@ -41,7 +41,9 @@ def roles_of(real: DataFrame, contract: R.Contract, key: str) -> tuple[Roles, Da
     time = R.detect_time_column(cat, fixed.TIME_WORDS_GENERATOR, False).first()["time_col"]
     path = R.detect_path_column(cat).first()["path_col"]
     numeric = [c for c in pairs.numeric_columns(real) if c not in discrete and c != contract.target]
-    text = [c for c in real.columns if c in discrete and c not in (contract.target, long_text, path)]
+    numbers = set(pairs.numeric_columns(real))
+    drawn = [c for c, t in real.dtypes if c in discrete or (c not in numbers and t != "binary" and "<" not in t)]
+    text = [c for c in drawn if c not in (contract.target, key)]
     return Roles(key, contract.target if contract.target in real.columns else None, numeric, text, long_text, time, path), cat
 
 
@@ -72,13 +74,13 @@ def sequential(real, roles, epsilon, n, seed=42):
 
 def metadata(real, roles, epsilon, n, seed=42):
     cats = [*roles.text, *([roles.target] if roles.target else [])]
-    return G.gen_metadata(real, roles.path, cats, roles.numeric, n, epsilon, seed)
+    return G.gen_metadata(real, roles.path, [c for c in cats if c != roles.path], roles.numeric, n, epsilon, seed)
 
 
 def written(real, roles, epsilon, n, seed=42):
-    label = roles.target or roles.text[0]
+    label = roles.target or next(c for c in roles.text if c != roles.long_text)
     texts = X.gen_text(real, roles.key, roles.long_text, label, n, seed).select(G.ROW, label, F.col("text").alias(roles.long_text))
-    rest = [c for c in roles.text if c != label]
+    rest = [c for c in roles.text if c not in (label, roles.long_text)]
     return G.gen_conditional(real, texts, label, roles.numeric, rest, seed)
 
 
@@ -92,30 +94,31 @@ def ensemble(real, roles, epsilon, n, seed=42):
 GENERATORS = {"tabddpm": correlated, "ctgan": class_correlated, "gnn": sequential, "diffusion": metadata, "llm": written, "ensemble": ensemble}
 
 
-def sweep(real: DataFrame, key: str, target: str | None, numeric: list[str], cap: float, trials: int = 5, generator=None, seed: int = 42) -> DataFrame:
-    """Score every candidate epsilon; ``best`` marks the one to use. Below 100 rows nothing is swept.
+def sweep(real: DataFrame, key: str, target: str | None, numeric: list[str], cap: float, trials: int = 5, generator=None, seed: int = 42, roles: Roles | None = None, unswept: float = 1.0) -> DataFrame:
+    """Score every candidate epsilon of a generator; ``best`` marks the one to use. Below 100 rows nothing is swept: the one
+    row holds ``unswept`` without scores.
 
     Distances of all candidates are searched in one go, each candidate being a part of its own; one small forest is
     fitted per candidate.
     """
     spark = real.sparkSession
     if real.limit(100).count() < 100:
-        return spark.createDataFrame([], "trial long, epsilon double, mia_score double, tstr_score double, score double, best boolean")
+        return spark.createDataFrame([(0, float(unswept), None, None, None, True)], "trial long, epsilon double, mia_score double, tstr_score double, score double, best boolean")
     eps = attacks.epsilon_candidates(cap, trials)
     train = cut(real.where(rng.uniform(key, "holdout", seed) < 0.7))
     hold = real.where(rng.uniform(key, "holdout", seed) >= 0.7)
     n = train.count()
-    roles = Roles(key, target, numeric, [])
+    roles = roles or Roles(key, target, numeric, [])
+    asked = [*numeric, *([target] if target else [])]
     sides, lifts = None, []
     for i, e in enumerate(eps):
         # a stream of its own per candidate
-        synth = cut((generator or sequential)(train, roles, e, n, seed + i))
+        synth = cut((generator or sequential)(train, roles, e, n, seed + i).select(G.ROW, *asked))
         s = synth.select(F.lit(SYNTH).alias(SIDE), F.col(G.ROW).cast("long").alias("_key"), *[F.col(c).cast("double").alias(c) for c in numeric])
         r = real.select(F.lit(REAL).alias(SIDE), F.col(key).cast("long").alias("_key"), *[F.col(c).cast("double").alias(c) for c in numeric])
         both = r.unionByName(s).withColumn("part", F.lit(i).cast("long"))
         sides = both if sides is None else sides.unionByName(both)
-        cols = [*numeric, *([target] if target else [])]
-        lifts.append(utility.tstr_fast(pairs.make_pair(hold.select(*cols), synth.select(*cols)), target).first()["score"])
+        lifts.append(utility.tstr_fast(pairs.make_pair(hold.select(*asked), synth.select(*asked)), target).first()["score"])
     near = attacks.mia_fast(sides, "_key", numeric, part="part")
     table = spark.createDataFrame([(i, float(e), float(u)) for i, (e, u) in enumerate(zip(eps, lifts))], "trial long, epsilon double, tstr_score double")
     out = table.join(near.select(F.col("part").alias("trial"), F.col("score").alias("mia_score")), "trial")
@@ -132,6 +135,14 @@ def finish(real: DataFrame, synth: DataFrame, roles: Roles, balance: bool = True
     return prepare.enforce(ranged, real)
 
 
+def coherence(pair: DataFrame, order: str, cols: list[str]) -> float:
+    """Mean Markov coherence of the columns in the order of one of them. Rows of one order value, which have no order of
+    their own, follow a hash of the row; so do their slices."""
+    placed = cut(pair.select(pairs.SIDE, F.col(order).cast("double").alias("_at"), F.xxhash64(*pair.columns).alias("_tie"), *cols))
+    scores = [temporal.markov_score(placed, c, "_at", tie="_tie").first()["score"] for c in cols]
+    return sum(scores) / len(scores)
+
+
 def evaluate(real: DataFrame, synth: DataFrame, roles: Roles, contract: R.Contract, sensitive: str | None, trees: int = 100) -> dict:
     """All scores of one attempt as a flat dict."""
     keyed = pairs.make_pair(real.withColumn("_key", F.col(roles.key).cast("string")), synth.withColumn("_key", F.lit(None).cast("string")))
@@ -145,10 +156,9 @@ def evaluate(real: DataFrame, synth: DataFrame, roles: Roles, contract: R.Contra
         "realism": compare.realism(pair).first()["realism"], "diversity": profile.diversity(pair).first()["diversity"] if num else 0.5,
         "causal": c["score"], "temporal": None,
     }
-    if (contract.is_temporal or contract.modality == "graph") and (roles.time in num or num):
+    if (contract.is_temporal or contract.modality == "graph") and num:
         t = roles.time if roles.time in num else num[0]
-        ranked = pair.withColumn("_at", F.col(t).cast("double"))
-        scores["temporal"] = temporal.autocorr(ranked, "_at", num).agg(F.coalesce(F.avg("score"), F.lit(temporal.NEUTRAL_AUTOCORR))).first()[0]
+        scores["temporal"] = coherence(pair, t, [c for c in num if c != t] or num)
     return {k: (float(v) if v is not None else None) for k, v in scores.items()}
 
 
@@ -160,18 +170,17 @@ RUN_SCHEMA = (
 
 def release(
     real: DataFrame, contract: R.Contract, key: str, out_dir: str, history: DataFrame | None = None, ledger: DataFrame | None = None,
-    n_output: int | None = None, sweep_trials: int = 0, trees: int = 100, publish_forced: bool = False, seed: int = 42,
+    n_output: int | None = None, sweep_trials: int = 5, trees: int = 100, publish_forced: bool = False, seed: int = 42,
 ) -> DataFrame:
     """Generate, judge and (when a gate passes) publish. One row describes the chosen attempt.
 
     The first passing attempt of the model chain is chosen. When none passes, the best one is reported as forced and
-    only published if ``publish_forced`` is set.
+    only published if ``publish_forced`` is set. The ledger and the history of earlier releases into ``out_dir`` count
+    unless others are given. Each attempt sweeps epsilon with its own generator.
     """
     spark = real.sparkSession
-    if ledger is not None:
-        budget = L.require_budget(ledger)
-    else:
-        budget = fixed.PRIVACY_BUDGET
+    budget = L.require_budget(ledger if ledger is not None else L.load(spark, f"{out_dir}/ledger"))
+    history = history if history is not None else logs.load_history(spark, f"{out_dir}/archive")
     roles, cat = roles_of(real, contract, key)
     con = R.contracts_frame(spark, [contract])
     level = L.sensitivity(cat).first()
@@ -190,11 +199,11 @@ def release(
         model, epsilon = pick["routed"], pick["epsilon_routed"]
     chain = [r["candidate"] for r in runs.model_chain(meta.withColumn("model", F.lit(model))).orderBy("position").collect()]
     n = n_output or m["n_rows"]
-    if sweep_trials and roles.numeric:
-        best = sweep(real, key, roles.target, roles.numeric, level["epsilon_cap"], sweep_trials).where("best").first()
-        epsilon = best["epsilon"] if best else epsilon
-    attempts, tables = [], {}
+    attempts, tables, start = [], {}, epsilon
     for i, name in enumerate(chain):
+        if sweep_trials and roles.numeric:
+            trials = sweep(real, key, roles.target, roles.numeric, level["epsilon_cap"], sweep_trials, GENERATORS[name], seed, roles, start)
+            epsilon = trials.where("best").first()["epsilon"]
         synth = cut(finish(real, GENERATORS[name](real, roles, epsilon, n, seed), roles))
         scores = evaluate(real, synth, roles, contract, sensitive["sensitive"] if sensitive else None, trees)
         tables[i] = synth
@@ -214,12 +223,12 @@ def release(
         path = f"{out_dir}/synthetic_output_{contract.name}_{stamp}"
         T.write_csv(tables[row["attempt"]], path)
         digest = T.table_digest(tables[row["attempt"]]).first()["digest"]
-        spent = final.select(F.current_timestamp().alias("ts"), "dataset", F.lit(L.SPEND).alias("kind"), "epsilon")
-        logs.append_json(spent, f"{out_dir}/ledger")
-        dressed = final.withColumns({"ts": F.current_timestamp(), "output_path": F.lit(path), "sha256": F.lit(digest), "budget_remaining": F.lit(max(0.0, budget - epsilon))})
+        L.append(final, f"{out_dir}/ledger")
+        dressed = final.withColumns({"ts": F.current_timestamp(), "output_path": F.lit(path), "sha256": F.lit(digest), "budget_remaining": F.lit(max(0.0, budget - row["epsilon"]))})
         logs.write_receipts(dressed, f"{out_dir}/receipts")
     logs.append_json(logs.audit_record(final), f"{out_dir}/audit")
-    history_rows = table.select(F.col("model").alias("model_key"), "reward", "privacy", "utility", "realism", "diversity", "epsilon", "dataset", "released", "failure_reasons", F.col("n_rows").alias("meta_rows"), F.col("n_cols").alias("meta_cols"))
+    history_rows = table.select(F.col("model").alias("model_key"), "reward", "privacy", "utility", "realism", "diversity", "epsilon", "dataset", "released", "failure_reasons", F.col("n_rows").alias("meta_rows"), F.col("n_cols").alias("meta_cols"),
+                                (L.moment() + F.col("attempt")).alias("seq"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
     logs.append_json(history_rows, f"{out_dir}/archive")
     logs.append_json(table.select("n_rows", "n_cols", F.col("model").alias("model_key"), "reward"), f"{out_dir}/meta")
     return final.select(
@@ -230,6 +239,6 @@ def release(
 
 def report(spark: SparkSession, d: str) -> DataFrame:
     """The release of the customer table, judged attempt by attempt, into the shared folder."""
-    real = T.load_table(spark, d, "customer").drop("c_name")
+    real = T.load_table(spark, d, "customer")
     contract = R.Contract("customer", "c_mktsegment", "tabular", discrete=("c_mktsegment", "c_nationkey"))
-    return release(real, contract, "c_custkey", f"{checkpoint_dir(spark)}/release-{uuid.uuid4().hex}", trees=20)
+    return release(real, contract, "c_custkey", f"{checkpoint_dir(spark)}/release-{uuid.uuid4().hex}")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinloom.functions.scalars import finite_or
 
 ARCHIVE_SCHEMA = (
     "model_key string, reward double, privacy double, utility double, realism double, diversity double, epsilon double, "
-    "dataset string, released boolean, failure_reasons array<string>, timestamp string, meta_rows long, meta_cols long"
+    "dataset string, released boolean, failure_reasons array<string>, timestamp string, meta_rows long, meta_cols long, seq long"
 )
 META_SCHEMA = "n_rows long, n_cols long, model_key string, reward double"
 
@@ -30,7 +31,7 @@ def archive_rows(lines: DataFrame) -> DataFrame:
         F.coalesce("model_key", F.lit("")).alias("model_key"), finite_or(F.col("reward"), 0.0).alias("reward"), *zero,
         F.coalesce("dataset", F.lit("")).alias("dataset"), F.coalesce("released", F.lit(False)).alias("released"),
         F.coalesce("failure_reasons", F.array().cast("array<string>")).alias("failure_reasons"), F.coalesce("timestamp", F.lit("")).alias("timestamp"),
-        "meta_rows", "meta_cols",
+        "meta_rows", "meta_cols", F.coalesce("seq", F.unix_micros(F.try_to_timestamp("timestamp")), F.lit(0).cast("long")).alias("seq"),
     )
 
 
@@ -39,6 +40,21 @@ def meta_rows(lines: DataFrame) -> DataFrame:
     return parse_lines(lines, META_SCHEMA).dropna()
 
 
+def history(archive: DataFrame) -> DataFrame:
+    """Archive rows under the names that routing, avoidance and model choice read."""
+    return archive.withColumnsRenamed({"model_key": "model", "meta_rows": "n_rows", "meta_cols": "n_cols"})
+
+
+def load_history(spark: SparkSession, path: str) -> DataFrame | None:
+    """The runs below a path in that form; None where nothing was written yet."""
+    try:
+        return history(load_archive(spark, path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def load_archive(spark: SparkSession, path: str) -> DataFrame:
     return archive_rows(spark.read.text(path))
 

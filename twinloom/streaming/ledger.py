@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from twinloom.operators.ledger import SPEND
-
-LEDGER_SCHEMA = "ts timestamp, dataset string, kind string, epsilon double"
+from twinloom.operators.ledger import SCHEMA, SPEND
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """New ledger files as they are appended."""
-    return spark.readStream.schema(LEDGER_SCHEMA).json(path)
+    return spark.readStream.schema(SCHEMA).json(path)
 
 
 def spend_by_dataset(stream: DataFrame) -> DataFrame:
@@ -21,8 +19,19 @@ def spend_by_dataset(stream: DataFrame) -> DataFrame:
 
 
 def follow(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep the totals in a queryable in-memory table; the checkpoint belongs in the cluster's shared folder."""
+    """Keep the totals in a queryable in-memory table, a row per dataset, for looking at; ``publish`` is for a cluster. The
+    checkpoint belongs in the cluster's shared folder."""
     return (
         spend_by_dataset(stream).writeStream.outputMode("complete").format("memory").queryName(name)
         .option("checkpointLocation", checkpoint).start()
     )
+
+
+def publish(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the totals of each micro-batch as a table of its own, ``batch=<n>`` below ``path``. A batch that is run again
+    replaces its own table."""
+
+    def write(totals: DataFrame, batch: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return spend_by_dataset(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).start()
