@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tools.check import rows_of
-from twinloom.llm import chat, components, decontaminate, encode, lengths, mixing, pii, quality, queries, rangecoder, simhash, tokens, urls, warc
+from twinloom.llm import chat, components, decontaminate, encode, lengths, mixing, near, pii, quality, queries, rangecoder, simhash, tokens, urls, warc
 from twinloom.plans.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -221,6 +221,37 @@ def test_components_of_a_long_chain(spark):
 
 
 # ---- chat
+def test_near_dedup_reaches_its_similarity(spark, odd):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(5)
+    text = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    texts = []
+    for n in (60, 120, 241, 700):
+        for _ in range(6):
+            whole = text(n)
+            texts.append(whole)
+            for edits in (1, 2, n // 40, n // 12):  # the last ones fall below the similarity or close to it
+                other = list(texts[-1] if edits == 2 else whole)  # a chain of copies too
+                for at in rng.choice(n, edits, replace=False):
+                    other[at] = "changed"
+                texts.append(other)
+    texts = [" ".join(t) for t in texts] + [texts[0][0].upper(), "Copy me", "copy  me", None, ""]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(grams):
+        for j in range(i):
+            if len(a & grams[j]) * 5 >= len(a | grams[j]) * 4 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in enumerate(texts)], DOCS)
+    want = sorted(min(i for i, r in enumerate(root) if r == c) for c in set(root))
+    assert len(want) < len(texts) - 40
+    assert sorted(r["doc_id"] for r in P.near_dedup(spark, df, FOLDER).collect()) == want
+    left = near.survivors(odd)
+    assert left.columns == odd.columns and left.count() == len({" ".join((t or "").split()) for t in ODD})
+    assert near.survivors(odd.limit(0)).count() == 0
+
+
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a <b> \\l", 1.0), ("t", 3, 1, "assistant", None, 5.0), ("t", 4, 2, "user", "x", 1.0), ("t", 5, 4, "assistant", "</turn>\n", 9.0), (None, 1, 99, "a>b", "z", None)]
     df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")

@@ -98,18 +98,28 @@ def classed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with all its columns: the smallest key (NULL only if there is no other; equal keys: the
-    smallest hash of the row). Only ids and fingerprints are grouped; the texts of those that go are never moved twice."""
+def ordered(docs: DataFrame, key: str) -> tuple[Column, Column]:
+    """A hash of the row, and (n, id, tag), whose smallest stays in a group."""
     tag = F.xxhash64(*docs.columns)
-    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("id"), tag.alias("tag"))
-    prints = cut(fingerprints(docs, text, [order.alias("o")]))
-    first = cut(grouped(prints, F.col("o")).select("first.id", "first.tag").distinct())
+    return tag, F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("id"), tag.alias("tag"))
+
+
+def remaining(docs: DataFrame, prints: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` that ``first`` (column ``first``) names, each once; ``prints`` has ``o`` of every row."""
+    first = cut(first.select("first.id", "first.tag").distinct())
     # rows alike in every column share key and tag: one of them stays
     alike = prints.groupBy("o.id", "o.tag").count().where("count > 1")
     alike = alike.join(first.select(F.col("id").alias("_i"), F.col("tag").alias("_t")), same(F.col("id"), F.col("_i")) & (F.col("tag") == F.col("_t")), "left_semi")
-    held = docs.withColumn("_tag", tag)
+    held = docs.withColumn("_tag", F.xxhash64(*docs.columns))
     kept = held.join(first, same(F.col(key), F.col("id")) & (F.col("_tag") == F.col("tag")), "left_semi")
     if not alike.isEmpty():
         kept = kept.dropDuplicates([key, "_tag"])
     return kept.drop("_tag")
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, with all its columns: the smallest key (NULL only if there is no other; equal keys: the
+    smallest hash of the row). Only ids and fingerprints are grouped; the texts of those that go are never moved twice."""
+    _, order = ordered(docs, key)
+    prints = cut(fingerprints(docs, text, [order.alias("o")]))
+    return remaining(docs, prints, grouped(prints, F.col("o")), key)
