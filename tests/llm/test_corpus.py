@@ -296,6 +296,29 @@ def test_bootstrap_finds_unseen_numbers(spark, odd):
     assert pii.reported(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind,known,unseen", [
+    ("email", [f"user{i}@mail.example" for i in range(9)], ["someone@intranet"]),
+    ("ip", [f"10.0.{i}.7" for i in range(9)], ["256.1.1.1"]),
+    ("card", [f"4111 1111 1111 {1000 + i}" for i in range(90) if pii.luhn(f"411111111111{1000 + i}")], ["4111 1111 1111 1112"]),
+    ("phone", [f"+49 30 1234 {500 + i}" for i in range(40)], ["555-123-4567", "(555) 123-4567", "(555)123-4567", "020 7946 0958", "5551234567", "01 23 45 67 89"]),
+])
+def test_bootstrap_finds_each_kind_in_sentences(spark, kind, known, unseen):
+    texts = [f"you may reach them under {x} now" for x in known]
+    at = len("you may reach them under ")
+    new = [f"you may reach them under {x}{end}" for x in unseen for end in (" now", ".", ". Then", ", or", "")]
+    df = spark.createDataFrame(list(enumerate(texts + new)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.reported(df).collect()}
+    ends = [at + len(x) for x in unseen for _ in range(5)]
+    assert [got[len(texts) + i]["spans"] for i in range(len(new))] == [f"{kind}:{at}:{e}" for e in ends]
+    assert all(got[len(texts) + i][f"n_{kind}"] == 0 for i in range(len(new)))
+
+
+def test_candidates_end_where_the_number_ends():
+    for t in ["1.2.3.4.5", "256.1.1.1.5", "555-123-45678", "12-34-5", "123456", "1234567890123456789012"]:
+        assert not [x for x in pii.near_spans(t, []) if x[0] in (1, 3)], t
+    assert pii.near_spans("9 " * 5000 + "12 34 " * 5000 + "1" * 50_000, [])[-1][0] in (2, 3)
+
+
 # ---- URLs
 def test_urls_by_hand(spark):
     rules = [("org", "/", "allow"), ("a.org", "/x", "block"), ("b.a.org", "/", "allow"), ("b.a.org", "/x/y", "block"), ("", "", "block"), ("a-b.org", "/", "block")]

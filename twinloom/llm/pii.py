@@ -38,10 +38,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Strings of nearly the same shape.
 NEAR = {
-    "email": re.compile(r"(?<![^\s<>\"'(),;:])[^\s<>\"'(),;:@]{1,64}+@[^\s<>\"'(),;:@]{2,255}+"),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){3}(?![0-9.])"),
+    "email": re.compile(r"(?<![^\s<>\"'(),;:])[^\s<>\"'(),;:@]{1,64}+@[^\s<>\"'(),;:@]{1,254}[^\s<>\"'(),;:@.!?]"),
+    "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){3}(?!\.?[0-9])"),
     "card": re.compile(r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){11,19}+(?![0-9-])"),
-    "phone": re.compile(r"(?<![0-9(.+-])\(?[0-9]{2,4}+\)?[\x20.-]?(?:[0-9]{2,4}+[\x20.-]){1,3}+[0-9]{2,4}+(?![0-9.-])"),
+    "phone": re.compile(r"(?<![0-9(.+-])(?:(?:\([0-9]{2,4}\)[\x20.-]?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}|[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){2,4})(?![.-]?[0-9])|[0-9]{7,15}+(?![.-]?[0-9]))"),
 }
 WORD = re.compile(r"\S+")
 
