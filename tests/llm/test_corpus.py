@@ -313,6 +313,14 @@ def test_bootstrap_finds_each_kind_in_sentences(spark, kind, known, unseen):
     assert all(got[len(texts) + i][f"n_{kind}"] == 0 for i in range(len(new)))
 
 
+def test_seeds_written_differently_are_found(spark):
+    texts = ["ring +49 30 1234 567 today", "fax: 49 30 1234 567 only", "host 1.23.4.5 is up", "version 1.2.3.405 is out"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.reported(df).collect()}
+    assert got == {0: "phone:5:20", 1: "phone:5:19", 2: "ip:5:13", 3: ""}
+    assert pii.instance(1, "1.23.4.5") != pii.instance(1, "12.3.4.5") and pii.instance(3, "+49 30 1") == pii.instance(3, "49-301")
+
+
 def test_candidates_end_where_the_number_ends():
     for t in ["1.2.3.4.5", "256.1.1.1.5", "555-123-45678", "12-34-5", "123456", "1234567890123456789012"]:
         assert not [x for x in pii.near_spans(t, []) if x[0] in (1, 3)], t

@@ -6,7 +6,7 @@ down (a number with a wrong check digit, a phone without a country code, an addr
 around them. Contexts of a kind are patterns: the word before, the two before, the word after, and before with after. On
 the graph of patterns and instances Spark scores in rounds: a pattern is as good as the share of its instances that are
 believed to be of the kind, given ``SUPPORT`` different believed ones; an instance is believed as far as its best patterns
-say. Candidates that good patterns hold are added. A pattern that also holds many other things scores low, so
+say. Candidates that good patterns hold are added, and those that are a seed of another place, written differently. A pattern that also holds many other things scores low, so
 clean texts gain nothing.
 
 Texts never move; edges of the graph are combined before each shuffle, and a word that precedes a third of all instances
@@ -112,8 +112,8 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 def instance(kind: int, value: str) -> int:
-    """A number that stands for a string: strings themselves are not written."""
-    plain = value.lower() if kind == 0 else digits_of(value)
+    """A number that stands for a string: strings themselves are not written. The dots of an address tell it from others."""
+    plain = value.lower() if kind < 2 else digits_of(value)
     return int.from_bytes(hashlib.blake2b(f"{kind} {plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -145,7 +145,7 @@ KIND_TYPE = pa.list_(
 
 
 def believed(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, enough: float = BELIEVED) -> DataFrame:
-    """(kind, instance): the unseen instances that good patterns hold."""
+    """(kind, instance): the seeds, and the unseen instances that good patterns hold."""
     one = found.select(F.explode("found").alias("f")).select("f.kind", "f.instance", "f.seed", F.explode("f.patterns").alias("pattern"))
     edges = cut(one.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")))
     belief = edges.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
@@ -162,8 +162,7 @@ def believed(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, eno
         belief = edges.where("seed").select("kind", "instance", F.lit(1.0).alias("belief")).distinct().unionByName(fresh).groupBy("kind", "instance").agg(F.max("belief").alias("belief"))
         rest = edges.select("kind", "instance").distinct().join(belief, ["kind", "instance"], "left_anti").withColumn("belief", F.lit(0.0))
         belief = belief.unionByName(rest)
-    seeds = edges.where("seed").select("kind", "instance").distinct()
-    return cut(belief.where(F.col("belief") >= enough).select("kind", "instance").join(seeds, ["kind", "instance"], "left_anti"))
+    return cut(belief.where(F.col("belief") >= enough).select("kind", "instance"))
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
