@@ -440,3 +440,16 @@ def test_pipeline_stages(spark, docs):
             assert set(ids) <= {r["doc_id"] for r in rows} and max(map(ids.count, ids)) <= 3
         held = spark.createDataFrame(out.collect(), docs.schema)
     assert P.run(spark, FOLDER).count() == held.count()
+
+
+def test_token_files_keep_the_training_order(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rows = [(i, f"text {i}", None, f"s{i % 3}", None) for i in range(300)]
+    sorted_rows = spark.createDataFrame(rows, DOCS).orderBy(F.hash("doc_id"), "doc_id")
+    want = [r["doc_id"] for r in sorted_rows.collect()]
+    assert want != sorted(want)
+    # many files of uneven size, which a scan reads in another order
+    sorted_rows.repartitionByRange(9, F.hash("doc_id"), "doc_id").sortWithinPartitions(F.hash("doc_id"), "doc_id").write.parquet(f"{tmp_path}/sorted")
+    for df in (spark.read.parquet(f"{tmp_path}/sorted"), sorted_rows):
+        assert [r["doc_id"] for r in P.token_output(spark, df, FOLDER).orderBy("start").collect()] == want

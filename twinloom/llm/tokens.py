@@ -1,6 +1,6 @@
 """Token ids of a corpus as checksummed segments, coded by ``rangecoder``.
 
-Documents are dealt by ranges of their id and sorted; each task encodes its texts, appends the end id to each, and
+Documents are dealt by ranges of their id (or of another order that is asked for) and sorted; each task encodes its texts, appends the end id to each, and
 codes runs of whole documents as segments of about ``SEGMENT_IDS`` ids. Spark writes the segments (one binary cell
 each, with the index of their documents) to a folder that all executors share, so tasks can be run again. Reading decodes
 each segment alone; where a segment begins in the whole stream is a running sum over (range, segment), of which there
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from twinloom.llm import rangecoder
 from twinloom.llm.encode import WORDS
@@ -31,10 +31,11 @@ WRITTEN = "part int, segment int, n_ids long, keys binary, sizes binary, data bi
 READ = "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str = WORDS, end: int = END, key: str = "doc_id", text: str = "text") -> None:
-    held = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
-    placed = held.repartitionByRange(*order).sortWithinPartitions(*order)
+def write(docs: DataFrame, folder: str, vocabulary: str = WORDS, end: int = END, key: str = "doc_id", text: str = "text", order: list[Column] | None = None) -> None:
+    """``order`` replaces the order by id: columns of ``docs``."""
+    held = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *[c.alias(f"o{i}") for i, c in enumerate(order or [])])
+    order = [f"o{i}" for i in range(len(order))] if order else [F.col("k").asc_nulls_first(), F.xxhash64("t")]
+    placed = held.repartitionByRange(*order).sortWithinPartitions(*order).select("k", "t")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from twinloom.llm.encode import word_bpe
@@ -97,9 +98,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(starts, ["part", "segment"]).select("doc_id", (F.col("_a") + F.col("_b") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def written(docs: DataFrame, folder: str | None = None, vocabulary: str = WORDS, end: int = END) -> DataFrame:
+def row_order(docs: DataFrame) -> list[Column]:
+    """Columns by which the rows of ``docs`` stand as they were written: number of the part file (names sort as
+    text up to five digits only), file and row of a plain scan; the place of the row in any other table."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return [F.monotonically_increasing_id()]
+    path = F.col("_metadata.file_path")
+    return [F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).try_cast("long"), path, F.col("_metadata.row_index")]
+
+
+def written(docs: DataFrame, folder: str | None = None, vocabulary: str = WORDS, end: int = END, order: list[Column] | None = None) -> DataFrame:
     """Write the corpus and read it back."""
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write(docs, folder, vocabulary, end)
+    write(docs, folder, vocabulary, end, order=order)
     return read(spark, folder)
