@@ -75,6 +75,28 @@ def test_a_second_release_reads_what_the_first_wrote(spark, tmp_path, monkeypatc
     assert spark.read.parquet(f"{path}/totals").first()["entries"] == 3
 
 
+def test_a_release_sweeps_with_the_generator_of_its_attempt(spark, tmp_path, monkeypatch):
+    asked, swept, plain = [], [], P.sweep
+
+    def noted(*a):
+        asked.append(a)
+        swept.append(plain(*a))
+        return swept[-1]
+
+    monkeypatch.setattr(P, "evaluate", lambda *a: GOOD)
+    monkeypatch.setattr(P, "sweep", noted)
+    r = P.release(table(spark, 120), Contract("demo", "outcome"), "id", str(tmp_path), sweep_trials=2).first()
+    assert len(asked) == r["attempts"] == 1 and asked[0][5] == 2 and asked[0][6] is P.GENERATORS[r["model"]]
+    assert swept[0].count() == 2 and r["epsilon"] == swept[0].where("best").first()["epsilon"]
+
+
+def test_the_report_is_a_whole_release(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(P, "release", lambda *a, **k: asked.append((a, k)))
+    P.report(spark, "/root/testdata/sf0.001")
+    assert len(asked[0][0]) == 4 and not asked[0][1]
+
+
 @pytest.mark.parametrize("key", ["tabddpm", "ctgan", "gnn", "diffusion", "ensemble"])
 def test_every_generator_fills_the_schema(spark, key):
     real = table(spark, 120)
