@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinloom.llm import decontaminate, mixing, near, quality, tokens
+from twinloom.llm import decontaminate, mixing, quality, simhash, tokens
 from twinloom.llm.common import table, words
 from twinloom.session import checkpoint_dir
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: similarity of at least 0.8 on five-word shingles."""
-    return near.survivors(docs)
+    """One document of each group of near-duplicates: fingerprints of three-word shingles linked at two bits or fewer."""
+    return simhash.survivors(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
