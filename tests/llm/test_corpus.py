@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tools.check import rows_of
-from twinloom.llm import chat, components, decontaminate, encode, lengths, mixing, near, pii, quality, queries, rangecoder, simhash, tokens, urls, warc
+from twinloom.llm import chat, components, decontaminate, encode, lengths, mixing, pii, quality, queries, rangecoder, simhash, tokens, urls, warc
+from twinloom.llm.common import words
 from twinloom.plans.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -71,6 +72,15 @@ def test_quality_by_hand(spark, odd, docs):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_verdicts_can_be_filtered(spark, docs):
+    """A filter on the verdict stays above the measures: each is worked out once."""
+    judged = quality.judge(docs)
+    want = sorted(r["doc_id"] for r in judged.collect() if r["kept"] and r["n_words"] > 50)
+    kept = judged.where("kept and n_words > 50")
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    assert len(kept._jdf.queryExecution().optimizedPlan().toString()) < 3 * len(judged._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_quality_clashing_names(spark):
     df = spark.createDataFrame([(1, "the cat and the dog " * 2, 5, "z")], "doc_id long, text string, n_words int, _h string")
     assert quality.judge(df).first()["n_words"] == 10
@@ -165,7 +175,7 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_components(prints):
+def brute_components(prints, most=2):
     root = list(range(len(prints)))
 
     def find(i):
@@ -175,7 +185,7 @@ def brute_components(prints):
 
     for i, a in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 2:
+            if (a ^ prints[j]).bit_count() <= most:
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(prints))]
 
@@ -197,20 +207,27 @@ def test_simhash_by_hand(spark, docs, odd):
     assert simhash.classed(docs.limit(0)).count() == 0
 
 
-def test_links_are_complete(spark):
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 4])
+@pytest.mark.parametrize("bucket", [0, 3, 1000])
+def test_links_are_complete(spark, most, bucket):
+    """All values hot, some hot, none hot: the same components as brute force, and no link that is too long."""
     rng = np.random.default_rng(3)
-    start = int(rng.integers(1 << 62))
+    start = int(rng.integers(1 << 62)) | 1 << 63
     prints = {0, start}
-    for _ in range(150):
+    for _ in range(60):
         p = list(prints)[int(rng.integers(len(prints)))]
-        for b in rng.integers(0, 64, int(rng.integers(1, 5))):
+        for b in rng.integers(0, 64, int(rng.integers(1, most + 3))):
             p ^= 1 << int(b)
         prints.add(p)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    roots = {r["node"]: r["root"] for r in components.components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))).collect()}
-    got = [roots.get(s, s) for s in signed]
-    want = brute_components(prints)
+    links = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), most, bucket).collect()
+    assert all(((r["a"] ^ r["b"]) & ((1 << 64) - 1)).bit_count() <= most and r["a"] < r["b"] for r in links)
+    root = {s: s for s in signed}
+    for r in links:
+        one, two = root[r["a"]], root[r["b"]]
+        root = {k: one if v == two else v for k, v in root.items()}
+    got, want = [root[s] for s in signed], brute_components(prints, most)
     assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
 
 
@@ -221,37 +238,6 @@ def test_components_of_a_long_chain(spark):
 
 
 # ---- chat
-def test_near_dedup_reaches_its_similarity(spark, odd):
-    import corpus_pipeline as P
-
-    rng = np.random.default_rng(5)
-    text = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
-    texts = []
-    for n in (60, 120, 241, 700):
-        for _ in range(6):
-            whole = text(n)
-            texts.append(whole)
-            for edits in (1, 2, n // 40, n // 12):  # the last ones fall below the similarity or close to it
-                other = list(texts[-1] if edits == 2 else whole)  # a chain of copies too
-                for at in rng.choice(n, edits, replace=False):
-                    other[at] = "changed"
-                texts.append(other)
-    texts = [" ".join(t) for t in texts] + [texts[0][0].upper(), "Copy me", "copy  me", None, ""]
-    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
-    root = list(range(len(texts)))
-    for i, a in enumerate(grams):
-        for j in range(i):
-            if len(a & grams[j]) * 5 >= len(a | grams[j]) * 4 and root[i] != root[j]:
-                root = [root[j] if r == root[i] else r for r in root]
-    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in enumerate(texts)], DOCS)
-    want = sorted(min(i for i, r in enumerate(root) if r == c) for c in set(root))
-    assert len(want) < len(texts) - 40
-    assert sorted(r["doc_id"] for r in P.near_dedup(spark, df, FOLDER).collect()) == want
-    left = near.survivors(odd)
-    assert left.columns == odd.columns and left.count() == len({" ".join((t or "").split()) for t in ODD})
-    assert near.survivors(odd.limit(0)).count() == 0
-
-
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a <b> \\l", 1.0), ("t", 3, 1, "assistant", None, 5.0), ("t", 4, 2, "user", "x", 1.0), ("t", 5, 4, "assistant", "</turn>\n", 9.0), (None, 1, 99, "a>b", "z", None)]
     df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
@@ -418,6 +404,22 @@ def test_length_histogram_by_hand(spark, docs, odd):
 
 
 # ---- pipeline
+@pytest.mark.parametrize("extra", ["id", "tag", "_tag", "i", "g", "row", "t", "fp", "_task", "_row", "a b.c", "m"])
+def test_stages_keep_other_columns(spark, extra):
+    import corpus_pipeline as P
+
+    kind = "map<string,int>" if extra == "m" else "string"
+    text = " ".join(f"the word{i} of" for i in range(40))
+    value = {"x": 1} if extra == "m" else "kept"
+    rows = [(1, text, "en", "s", 9, value), (2, text, "en", "s", 9, value), (2, text, "en", "s", 9, value), (None, " ".join(f"and a thing{i}" for i in range(40)), None, None, None, None)]
+    df = spark.createDataFrame(rows, f"{DOCS}, `{extra}` {kind}")
+    for name, stage in P.STAGES[:3]:
+        out = stage(spark, df, FOLDER)
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert len(got) == (2 if name == "near_dedup" else 4) and all(r[5] == (value if r[0] is not None else None) for r in got), name
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as P
 
@@ -426,20 +428,32 @@ def test_pipeline_stages(spark, docs):
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, held, FOLDER)
         assert out.columns == docs.columns
-        ids = sorted(r["doc_id"] for r in out.collect())
+        given = out.collect()
+        ids = [r["doc_id"] for r in given]
         rows = held.collect()
         if name == "quality_rules":
-            assert ids == kept
+            assert sorted(ids) == kept
         elif name == "near_dedup":
             roots = brute_components([brute_print(r["text"]) for r in rows])
-            assert ids == sorted({c: min(r["doc_id"] for r, k in zip(rows, roots) if k == c) for c in set(roots)}.values())
+            assert sorted(ids) == sorted({c: min(r["doc_id"] for r, k in zip(rows, roots) if k == c) for c in set(roots)}.values())
         elif name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
-            assert ids == sorted(r["doc_id"] for r in rows if not brute_hits(r["text"], items)[1])
+            assert sorted(ids) == sorted(r["doc_id"] for r in rows if not brute_hits(r["text"], items)[1])
         else:
-            assert set(ids) <= {r["doc_id"] for r in rows} and max(map(ids.count, ids)) <= 3
-        held = spark.createDataFrame(out.collect(), docs.schema)
-    assert P.run(spark, FOLDER).count() == held.count()
+            plan = mixing.planned(held, F.size(words(F.col("text")))).collect()
+            want = [(c["position"], r["source"], r["doc_id"]) for r in plan for c in r["_mix_copies"] if 2 * c["words"] >= r["_mix_size"]]
+            assert ids == [w[-1] for w in sorted(want)]
+        held = spark.createDataFrame(given, docs.schema)
+    from tokenizers import Tokenizer
+
+    enc = Tokenizer.from_file(encode.located(encode.WORDS))
+    back = sorted((r.asDict() for r in P.run(spark, FOLDER).collect()), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in back] == ids
+    at = 0
+    for r, d in zip(back, given):
+        assert r["start"] == at
+        at += r["n_tokens"]
+        assert r["ids_crc32"] == zlib.crc32(np.array([*enc.encode(d["text"] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
 
 
 def test_token_files_keep_the_training_order(spark, tmp_path):

@@ -20,3 +20,8 @@ def words(text: Column) -> Column:
 def same(a: Column, b: Column) -> Column:
     """Equality that also holds for two NULLs; Spark still joins on it by hash."""
     return a.eqNullSafe(b)
+
+
+def whole(df: DataFrame) -> Column:
+    """A row as one struct; ``select("row.*")`` gives the columns back."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])

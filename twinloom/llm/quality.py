@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twinloom.llm.common import words
+from twinloom.llm.common import whole, words
 
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -99,6 +99,8 @@ def measured(docs: DataFrame, keys: list[str], text: str = "text", stop_words: l
     covered = F.transform("_at", lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", k + 1) - i, F.lit(WINDOW))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
     held = held.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)))
+    # the task number keeps a caller's filter above the measures; moved below them, it would work each out many times
+    held = held.withColumn("n_words", n + F.least(F.spark_partition_id(), F.lit(0)))
     names = [*MEASURES, "n_stop", "n_lines"]
     return held.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(m).cast("long").alias(m) for m in names])
 
@@ -125,9 +127,8 @@ def verdicts(rules: tuple[Rule, ...]) -> list[Column]:
     return [base.alias("base_failed"), kept.alias("kept"), reasons.alias("reasons")]
 
 
-def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their columns as they were."""
-    whole = docs.withColumn("_row", F.struct(*docs.columns))
-    # the task number keeps the optimizer from moving the test below the measures, where each would be worked out many times
-    held = measured(whole, ["_row"], text).select("_row", verdicts(rules)[1].alias("_kept"), F.spark_partition_id().alias("_task"))
-    return held.where((F.col("_task") >= 0) & F.col("_kept")).select("_row.*")
+def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their columns as they were. The stop words known are those of four
+    languages (``STOP_WORDS``); pass a list, or rules without that one, for texts in others."""
+    held = measured(docs.select(whole(docs).alias("row"), docs[f"`{text}`"].alias("t")), ["row"], "t", stop_words)
+    return held.where(verdicts(rules)[1]).select("row.*")
