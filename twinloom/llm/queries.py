@@ -1,10 +1,10 @@
-"""The ten operators and the pipeline as registered queries over the given tables, with SQL where SQL can say it."""
+"""The operators and the pipeline as registered queries over the given tables, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinloom.llm import chat, decontaminate, encode, lengths, mixing, pii, quality, simhash, tokens, urls, warc
+from twinloom.llm import chat, decontaminate, encode, lengths, merkle, mixing, pii, quality, simhash, tokens, topk, trie, urls, warc
 from twinloom.llm.common import table, words
 
 #: (host, path, verdict)
@@ -69,6 +69,18 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return lengths.histogram(lengths.lengths(table(spark, d, "documents"), encode.BYTES))
 
 
+def op11_topk_search(spark: SparkSession, d: str) -> DataFrame:
+    return topk.search(table(spark, d, "embeddings"), F.col("id") % topk.EVERY == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.manifest(table(spark, d, "documents"), merkle.fifth)
+
+
+def op13_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.report(table(spark, d, "conversations"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,13 +91,29 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_decontamination, op3_token_output, op4_simhash, op5_chat_formatting, op6_pii, op7_url_filters,
-        op8_source_mixing, op9_warc, op10_token_counts, pipeline,
+        op8_source_mixing, op9_warc, op10_token_counts, op11_topk_search, op12_merkle_manifest, op13_prefix_trie, pipeline,
     )
 }
 
 _STOP = ", ".join("'" + w + "'" for w in sorted({x for w in quality.STOP_WORDS for x in (w, w.capitalize())}))
 _CHATS = rf"""select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t, role, text from conversations
   union all select -7, x.turn, x.role, '\### Assistant: </turn> ok', x.role, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) x(turn, role)"""
+#: CRC-32 by its table of 256 remainders: a list ``t`` to join with, and the checksum of a decimal number.
+_CRC = """tab as (select list(c order by i) t from (select i, list_reduce(list_prepend(i, [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) c from range(256) r(i)))"""
+
+
+def _crc(number: str) -> str:
+    letters = f"list_transform(string_split(cast({number} as varchar), ''), lambda x: cast(ord(x) as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {letters}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint)"
+
+
+def _cell(c: str) -> str:
+    return f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')"
+
+
+_LEAF = " || ".join(_cell(c) for c in merkle.FIELDS)
+_LOW = _LEAF.replace(_cell("text"), _cell("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
 
 SQL = {
     "op1_quality_rules": rf"""
@@ -153,4 +181,41 @@ x as (select h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((v >>
   from (select h, i, cast(concat('0x', substr(h, i + 1, 5)) as int) v, unnest([15, 10, 5, 0]) s from (select h, unnest([0, 5, 10, 15, 20, 25, 30, 35]) i from (select distinct h from p))) group by h)
 select page_id, cast(n as bigint) payload_bytes, x.d payload_digest, case when page_id = m then 'response' else 'revisit' end record_type,
   case when page_id = m then null else m end refers_to from p join o on p.h = o.h join x on p.h = x.h""",
+    "op11_topk_search": """
+with v as (select row_number() over () k, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) w from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.k qk, q.vec_id query_id, c.vec_id, cast(list_inner_product(q.w, c.w) as bigint) score from v q join v c on c.k <> q.k where q.vec_id % 20 = 0)
+select query_id, row_number() over (partition by qk order by score desc, vec_id) rank, vec_id, score from s qualify rank <= 20""",
+    "op12_merkle_manifest": f"""
+with recursive {_CRC},
+l as (select row_number() over () k, doc_id, source, sha256({_LEAF}) leaf, case when {_crc("doc_id")} % 5 = 0 then sha256({_LOW}) end other from documents, tab),
+p as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 slot, count(*) over (partition by source) n from l),
+t as (select 0 lv, source, slot, leaf h, n from p
+  union all select lv + 1, source, slot // 16, sha256(string_agg(h, '' order by slot)), (n + 15) // 16 from t where n > 1 group by lv, source, slot // 16, n),
+sub as (select source, h subroot, row_number() over (order by source nulls first) - 1 slot, count(*) over () n from t where n = 1),
+u as (select 0 lv, slot, subroot h, n from sub union all select lv + 1, slot // 16, sha256(string_agg(h, '' order by slot)), (n + 15) // 16 from u where n > 1 group by lv, slot // 16, n),
+ts as (select lv, source, slot, coalesce(string_agg(h, '') over (partition by lv, source, slot // 16 order by slot rows between unbounded preceding and 1 preceding), '') b,
+  coalesce(string_agg(h, '') over (partition by lv, source, slot // 16 order by slot rows between 1 following and unbounded following), '') a from t where n > 1),
+us as (select lv, slot, coalesce(string_agg(h, '') over (partition by lv, slot // 16 order by slot rows between unbounded preceding and 1 preceding), '') b,
+  coalesce(string_agg(h, '') over (partition by lv, slot // 16 order by slot rows between 1 following and unbounded following), '') a from u where n > 1),
+way as (select k, ts.lv, b, a from p join ts on ts.source is not distinct from p.source and ts.slot = p.slot >> cast(4 * ts.lv as bigint)
+  union all select k, 1000 + us.lv, b, a from p join sub on sub.source is not distinct from p.source join us on us.slot = sub.slot >> cast(4 * us.lv as bigint)),
+g as (select k, string_agg(b || a, '' order by lv) proof, list({{'b': b, 'h': '', 'a': a}} order by lv) steps from way group by k),
+f as (select p.*, subroot, (select h from u where n = 1) root, sha256(coalesce(proof, '')) proof_sha256,
+  list_reduce(list_prepend({{'b': '', 'h': coalesce(other, leaf), 'a': ''}}, coalesce(steps, [])), lambda x, y: {{'b': '', 'h': sha256(y.b || x.h || y.a), 'a': ''}}).h folded_root
+  from p join sub on sub.source is not distinct from p.source left join g on g.k = p.k)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified from f""",
+    "op13_prefix_trie": f"""
+with {_CRC},
+c as (select conv_id, list({{'r': r, 't': t}} order by turn nulls first, r, sha256(octet_length(encode(r)) || ':' || r || t)) l
+  from (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations where conv_id is not null) group by conv_id),
+h as (select conv_id, l, {_crc("conv_id")} % 6 h from c, tab),
+r as (select x.conv_id, list_concat(coalesce(y.l[1:x.h], []), x.l[x.h + 1:]) l from h x left join c y on y.conv_id = x.conv_id - x.conv_id % 100),
+p as (select conv_id, d, l[1:d] p, d = len(l) last from (select conv_id, l, unnest(range(0, len(l) + 1)) d from r)),
+n as (select p, d, min(conv_id) conv_id, count(*) m, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (last), '')) ends from p group by p, d),
+k as (select p[1:d - 1] p, d - 1 d, count(*) kids from n where d > 0 group by 1, 2),
+s as (select p[1:e] p, e d, count(*) filter (kids is null) leaves, sum(case when d > 0 then (m - 1) * length(p[d].t) else 0 end) saved
+  from (select n.p, n.d, m, kids, unnest(range(0, n.d + 1)) e from n left join k on k.d = n.d and k.p = n.p) group by 1, 2)
+select n.conv_id, n.d depth, o.conv_id parent_conv_id, n.m n_convs, coalesce(kids, 0) n_children, leaves n_leaves, cast(saved as bigint) saved_tokens, n.ends ends_sha256
+from n join s on s.d = n.d and s.p = n.p left join k on k.d = n.d and k.p = n.p left join n o on o.d = n.d - 1 and o.p = n.p[1:n.d - 1]""",
 }
