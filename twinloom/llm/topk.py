@@ -196,9 +196,10 @@ def in_group(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         order = np.argsort(~upper, axis=1, kind="stable")
         for step in range(len(rows)):
             block = order[:, step]
-            want = reaches(upper[np.arange(len(q)), block], first[block], kth, kth_id)
-            if not want.any():
+            bound = upper[np.arange(len(q)), block]
+            if (bound < kth).all():  # at equal bounds a later block may hold smaller ids
                 break
+            want = reaches(bound, first[block], kth, kth_id)
             for b in np.unique(block[want]):
                 at = np.flatnonzero(want & (block == b))
                 w = np.frombuffer(rows[b]["w"], "<i8").reshape(len(ids[b]), rows[b]["dims"])
