@@ -112,7 +112,10 @@ def test_decontamination_by_hand(spark):
     for most in (decontaminate.BLOCK_BYTES, 60):  # in one block, and in many
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.judged(df, bench, most=most).collect()}
         assert got == want
-    assert decontaminate.clean(df, bench).columns == df.columns
+    left = sorted(i for i, w in want.items() if not w[1])
+    for most in (decontaminate.BLOCK_BYTES, 20):
+        got = decontaminate.clean(df, bench, most=most)
+        assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == left
     assert {r["n_hit"] for r in decontaminate.judged(df, bench.limit(0)).collect()} == {0}
     assert decontaminate.judged(df.limit(0), bench).count() == 0
 
@@ -404,7 +407,7 @@ def test_length_histogram_by_hand(spark, docs, odd):
 
 
 # ---- pipeline
-@pytest.mark.parametrize("extra", ["id", "tag", "_tag", "i", "g", "row", "t", "fp", "_task", "_row", "a b.c", "m"])
+@pytest.mark.parametrize("extra", ["id", "tag", "_tag", "i", "g", "row", "t", "fp", "_task", "_row", "a b.c", "m", "_dec", "dec", "c0"])
 def test_stages_keep_other_columns(spark, extra):
     import corpus_pipeline as P
 

@@ -6,12 +6,13 @@ a match cannot do without is one shingle: the window's rarest. A first pass coun
 (a window with a shingle that never occurs is out); a second pass looks up each document's shingles among the prefixes,
 places the window by the shingle's offset, drops placements that stick out of the document, and compares all words.
 
-Documents never move: both passes run where they are read, and only counts per shingle are shuffled. The items are
-sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass per block over all documents, so any number
-of items is exact with bounded memory; usual benchmarks are one block.
+Documents never move: both passes run where they are read, and only counts per shingle are shuffled. Items that are alike
+count once and are sent to the tasks in blocks of about ``BLOCK_BYTES`` of text (a longer item is a block of its own); usual
+benchmarks are one block. If there are more, documents are written once with row numbers, and each block is read, sent,
+used and dropped before the next: a pass writes the hits of the documents it hit, and these are merged by row in the end.
 
 NULL and empty texts have no words and no hits; an item without words has no windows; equal items all count; an empty
-benchmark leaves every document clean. Rows that repeat are judged each. Columns whose names begin with ``_dec`` are reserved.
+benchmark leaves every document clean. Rows that repeat are judged each. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from twinloom.session import cut
+
 WINDOW = 10
 SHINGLE = 5
 BLOCK_BYTES = 8 << 20
@@ -133,30 +136,52 @@ def counted(docs: DataFrame, text: str, items: Items) -> dict[tuple[int, int], i
     return {(r["k"], int(items.shingles[r["k"]][r["i"]])): r["n"] for r in rows}
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> list[Items]:
-    """The items in blocks of at most ``most`` bytes of text (a longer item is a block of its own). Read one block at a
-    time, by hash."""
-    held = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).where(F.octet_length("t") > 0)
+def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[Items]:
+    """The different items in blocks by hash, one at a time: what the driver holds is one block."""
+    held = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    held = cut(held.where(F.octet_length("t") > 0).distinct())
     total = held.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = -(-2 * total // most) if total > most else 1
-    out = []
     for k in range(n):
         part = held if n == 1 else held.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         got = Items([(r["i"], bytes(r["t"])) for r in part.collect()])
         if got.windows:
-            out.append(got)
-    return out
+            yield got
+
+
+FOUND = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items:array<string>,spans:binary>"
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_dec``: n_words, n_hit, n_items, items (sorted)."""
-    found = docs.withColumn("_dec", F.lit(None).cast("struct<n_words:bigint,n_hit:bigint,n_items:bigint,items:array<string>,spans:binary>"))
-    for items in blocks(benchmark, item, item_text, most):
-        items.choose(counted(docs, text, items))
-        found = passed(found, text, items)
-    body = F.coalesce(F.col(text), F.lit(""))
-    none = F.struct(n_words(body).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(b"").alias("spans"))
-    return found.withColumn("_dec", F.coalesce("_dec", none))
+    """``docs`` under the column names c0, c1, ... and ``dec``: n_words, n_hit, n_items, items (sorted)."""
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    body = f"c{docs.columns.index(text)}"
+    none = F.struct(n_words(F.coalesce(F.col(body), F.lit(""))).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(b"").alias("spans"))
+    queue = blocks(benchmark, item, item_text, most)
+    block, following = next(queue, None), next(queue, None)
+    if block is None:
+        return flat.withColumn("dec", none)
+    if following is None:
+        return passed(flat, body, block, False)
+    held = cut(flat.withColumn("row", F.monotonically_increasing_id()))
+    narrow, hits = held.select("row", body), []
+    while block is not None:
+        hits.append(cut(passed(narrow, body, block, True).select("row", "dec")))
+        block, following = following, next(queue, None)
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.union(h)
+    merged = every.groupBy("row").applyInArrow(joined, f"row long, dec {FOUND}").withColumnRenamed("row", "at")
+    return held.join(merged, F.col("row") == F.col("at"), "left").select(*flat.columns, F.coalesce("dec", none).alias("dec"))
+
+
+def joined(part: pa.Table) -> pa.Table:
+    """What the passes found in one document: one row per block that hit it."""
+    rows = part.column("dec").to_pylist()
+    bits = np.bitwise_or.reduce([np.frombuffer(r["spans"], np.uint8) for r in rows])
+    items = sorted(set().union(*(r["items"] for r in rows)))
+    out = {"n_words": rows[0]["n_words"], "n_hit": int(np.bitwise_count(bits).sum()), "n_items": len(items), "items": items, "spans": bits.tobytes()}
+    return pa.table({"row": part.column("row")[:1], "dec": pa.array([out], part.schema.field("dec").type)})
 
 
 def n_words(body: Column) -> Column:
@@ -164,38 +189,38 @@ def n_words(body: Column) -> Column:
     return F.regexp_count(body, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
 
 
-def passed(docs: DataFrame, text: str, items: Items) -> DataFrame:
-    """One pass: each document against one block of items, added to what earlier blocks found."""
+def passed(docs: DataFrame, text: str, items: Items, hit_only: bool) -> DataFrame:
+    """One pass: ``docs`` with ``dec``, each document compared with one block of items; with ``hit_only`` those it hits."""
+    items.choose(counted(docs, text, items))
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.binary())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         for b in batches:
-            at = b.schema.get_field_index("_dec")
             texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
             out = []
-            for t, before in zip(texts, b.column(at).to_pylist()):
+            for t in texts:
                 ids = held.numbers(t or b"")
                 hit, found = held.hits(ids)
-                if before:
-                    hit |= np.unpackbits(np.frombuffer(before["spans"], np.uint8), count=len(ids)).astype(bool)
-                    found |= set(before["items"])
-                out.append({"n_words": len(ids), "n_hit": int(hit.sum()), "n_items": len(found), "items": sorted(found), "spans": np.packbits(hit).tobytes() if found else np.zeros(-(-len(ids) // 8), np.uint8).tobytes()})
-            yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
+                out.append({"n_words": len(ids), "n_hit": int(hit.sum()), "n_items": len(found), "items": sorted(found), "spans": np.packbits(hit).tobytes() if hit_only else b""})
+            b = b.append_column("dec", pa.array(out, kind))
+            yield b.filter(pa.array([bool(r["n_hit"]) for r in out], pa.bool_())) if hit_only else b
 
-    return docs.mapInArrow(compared, docs.schema)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(compared, f"{columns}, dec {FOUND}")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     held = marked(docs.select(key, text), benchmark, text, **options)
-    names = F.sha2(F.array_join("_dec.items", ",").cast("binary"), 256)
-    return held.select(key, "_dec.n_words", "_dec.n_hit", "_dec.n_items", names.alias("items_sha256"), (F.col("_dec.n_hit") > 0).alias("contaminated"))
+    names = F.sha2(F.array_join("dec.items", ",").cast("binary"), 256)
+    return held.select(F.col("c0").alias(key), "dec.n_words", "dec.n_hit", "dec.n_items", names.alias("items_sha256"), (F.col("dec.n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that no item occurs in."""
-    return marked(docs, benchmark, text, **options).where(F.col("_dec.n_hit") == 0).select(*docs.columns)
+    return marked(docs, benchmark, text, **options).where(F.col("dec.n_hit") == 0).drop("dec").toDF(*docs.columns)
 
 
 def digest(items: list[str]) -> str:
