@@ -9,22 +9,23 @@ def frame(spark, m):
     return spark.createDataFrame([(x.tolist(),) for x in m], "x array<double>")
 
 
-@pytest.mark.parametrize("d,per_cell", [(1, 4), (3, 2), (5, 8)])
-def test_grid_against_brute_force(spark, d, per_cell):
+@pytest.mark.parametrize("d,page", [(1, 40), (2, 16), (5, 32), (10, 1024), (30, 50)])
+def test_index_against_brute_force(spark, d, page):
     r = np.random.default_rng(d)
     q = np.round(r.normal(size=(400, d)), 2)
     ref = np.round(r.normal(size=(600, d)), 2)
     ref[:200] = 0.25  # a third of the reference is one point
     q[:150] = 0.3
     cols = [F.col("x")[i] for i in range(d)]
-    grid = proximity.build(proximity.as_points(frame(spark, ref), cols), d, per_cell)
+    index = proximity.build(proximity.as_points(frame(spark, ref), cols), d, page)
     points = proximity.as_points(frame(spark, q), cols)
+    radius = 0.5 * d**0.5
     dist = np.sqrt(((q[:, None, :] - ref[None]) ** 2).sum(-1))
-    near = {tuple(x.x): x.distance for x in proximity.nearest(points, grid).collect()}
-    close = {tuple(x.x): x.close for x in proximity.count_within(points, grid, 0.5).collect()}
+    near = {tuple(x.x): x.distance for x in proximity.nearest(points, index).collect()}
+    close = {tuple(x.x): x.close for x in proximity.count_within(points, index, radius).collect()}
     for i, x in enumerate(q):
         assert near[tuple(x.tolist())] == pytest.approx(dist[i].min(), abs=1e-12)
-        assert min(close[tuple(x.tolist())], 2) == min((dist[i] < 0.5).sum(), 2)
+        assert min(close[tuple(x.tolist())], 2) == min((dist[i] < radius).sum(), 2)
 
 
 def test_no_reference_points(spark):

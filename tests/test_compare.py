@@ -113,3 +113,59 @@ def test_wide_moments_match_narrow_ones(spark, monkeypatch):
     monkeypatch.setattr(m, "WIDE", 1)
     wide = read()
     assert narrow.keys() == wide.keys() and all(narrow[k] == pytest.approx(wide[k]) for k in narrow)
+
+
+def brute_skeleton(x, cols):
+    """Level-wise search with partial correlations from regression residuals."""
+    from itertools import combinations
+
+    n, d = x.shape
+
+    def parts(a, b, s):
+        z = np.column_stack([np.ones(n), *[x[:, k] for k in s]])
+        r = [x[:, c] - z @ np.linalg.lstsq(z, x[:, c], rcond=None)[0] for c in (a, b)]
+        rho = float(np.clip(r[0] @ r[1] / math.sqrt((r[0] @ r[0]) * (r[1] @ r[1])), -1 + 1e-12, 1 - 1e-12))
+        return abs(math.atanh(rho)) * math.sqrt(max(n - len(s) - 3, 1)) <= causal.NORMAL_975
+
+    beside = {i: set(range(d)) - {i} for i in range(d)}
+    orders = []
+    for order in range(d - 1):
+        still = {i: set(s) for i, s in beside.items()}
+        for a in range(d):
+            for b in still[a]:
+                if any(parts(a, b, s) for s in combinations(sorted(still[a] - {b}), order)):
+                    beside[a].discard(b)
+                    beside[b].discard(a)
+        orders.append(sum(map(len, beside.values())) // 2)
+    return {(cols[a], cols[b]) for a in beside for b in beside[a] if a < b}, orders
+
+
+@pytest.mark.parametrize("seed,d", [(0, 3), (1, 5), (2, 8), (3, 8)])
+def test_skeleton_of_every_order(spark, seed, d):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(400, d))
+    for j in range(1, d):
+        for i in range(j):
+            if r.random() < 0.6:
+                x[:, j] += r.normal() * x[:, i]
+    cols = [f"c{i}" for i in range(d)]
+    want, orders = brute_skeleton(x, cols)
+    rows = [("real", *map(float, v)) for v in x] + [("synth", *map(float, v)) for v in x[::-1]]
+    df = spark.createDataFrame(rows, "side string, " + ", ".join(f"{c} double" for c in cols))
+    got = causal.causal_skeleton(df, cols=cols).collect()
+    for side in ("real", "synth"):
+        assert {(g["a"], g["b"]) for g in got if g["side"] == side} == want
+    if d == 8:
+        assert orders[2] > orders[-1] or orders[1] > orders[2]  # sets of more than one column decide something
+
+
+def test_skeleton_without_an_inverse(spark):
+    """A column that is the sum of others, and one that repeats another: no crash, the same edges twice."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(200, 4))
+    x = np.column_stack([x, x[:, 0] + x[:, 1], x[:, 2]])
+    cols = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([(s, *map(float, v)) for s in ("real", "synth") for v in x], "side string, " + ", ".join(f"{c} double" for c in cols))
+    seen = [sorted(map(tuple, causal.causal_skeleton(df, cols=cols).collect())) for _ in range(2)]
+    assert seen[0] == seen[1]
+    assert {(a, b) for s, a, b in seen[0] if s == "real"} == {(a, b) for s, a, b in seen[0] if s == "synth"}

@@ -55,6 +55,32 @@ def test_balanced_counts(spark):
     assert thin.select("id").distinct().count() == thin.count()
 
 
+def test_rows_without_a_class_are_not_drawn(spark):
+    df = people(spark)
+    some = df.unionByName(df.withColumn("cls", F.lit(None).cast("string")))
+    count = lambda d: {r.cls: r["count"] for r in prepare.balance_classes(d, "cls", "id").groupBy("cls").count().collect()}
+    assert count(some) == count(df) and None not in count(some)
+
+
+def test_a_word_of_every_text(spark, monkeypatch):
+    """Frequent terms go the broadcast way: the same weights, and no join key with a row per text."""
+    texts = [f"everywhere word{i % 50} word{i % 7} rare{i}" for i in range(400)] + [None, "", "everywhere everywhere"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {(r["id"], r["term"]): r["weight"] for r in X.tfidf(df, "id", "text").collect()}
+    monkeypatch.setattr(X, "HEAVY_TEXTS", 100)
+    monkeypatch.setattr(X, "HEAVY_PARTS", 10)
+    split = X.tfidf(df, "id", "text")
+    assert "BroadcastHashJoin" in split._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["term"]): r["weight"] for r in split.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_wide_values_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, f"{i % 30}" + "x" * 3000) for i in range(60)], "id long, t string")
+    held = G.Intervals.fit(df, ["t"])
+    assert held.sizes["t"][0] == 30 and held.sizes["t"][1] >= 3000
+
+
 def test_splits(spark):
     s = prepare.split_stratified(people(spark), "id", "cls")
     for r in s.groupBy("cls").agg(F.avg((F.col("part") == "train").cast("double")).alias("f"), F.count("*").alias("n")).collect():

@@ -26,11 +26,11 @@ def nearest_distance(pair: DataFrame, key: str, cols: list[str], fill: bool = Fa
     real, synth = view.where(F.col(SIDE) == REAL), view.where(F.col(SIDE) == SYNTH)
     sc = Scaler.fit(real, cols)
     coords = [sc.scaled(c) for c in cols]
-    grid = proximity.build(proximity.as_points(synth, coords), len(cols))
+    index = proximity.build(proximity.as_points(synth, coords), len(cols))
     rows = real.select(F.col("_id").alias(key), F.array(*coords).alias("x"))
-    if grid is None:
+    if index is None:
         return rows.select(key, F.lit(None).cast("double").alias("distance"))
-    found = proximity.nearest(proximity.as_points(real, coords), grid)
+    found = proximity.nearest(proximity.as_points(real, coords), index)
     return rows.join(found.select("x", "distance"), "x").select(key, "distance")
 
 
@@ -46,11 +46,11 @@ def split_distances(pair: DataFrame, key: str, cols: list[str], train: float, fi
     sc = Scaler.fit(real.where("_train"), cols)
     coords = [sc.scaled(c) for c in cols]
     p = F.col(part) if part else None
-    grid = proximity.build(proximity.as_points(synth, coords, part=p), len(cols))
-    if grid is None:
+    index = proximity.build(proximity.as_points(synth, coords, part=p), len(cols))
+    if index is None:
         return None
     points = proximity.as_points(real, coords, {"n_train": F.col("_train").cast("long"), "n_hold": (~F.col("_train")).cast("long")}, p)
-    found = proximity.nearest(points, grid)
+    found = proximity.nearest(points, index)
     return cut(found.groupBy("part", "distance").agg(F.sum("n_train").alias("n_train"), F.sum("n_hold").alias("n_hold")))
 
 
@@ -99,10 +99,10 @@ def singling_out(pair: DataFrame, cols: list[str] | None = None, radius: float =
     real, synth = view.where(F.col(SIDE) == REAL), view.where(F.col(SIDE) == SYNTH)
     sc = Scaler.fit(real, cols)
     coords = [sc.scaled(c) for c in cols]
-    grid = proximity.build(proximity.as_points(real, coords), len(cols))
-    if grid is None:
+    index = proximity.build(proximity.as_points(real, coords), len(cols))
+    if index is None:
         return safe
-    counted = proximity.count_within(proximity.as_points(synth, coords, {"n": F.lit(1)}), grid, radius)
+    counted = proximity.count_within(proximity.as_points(synth, coords, {"n": F.lit(1)}), index, radius)
     one = counted.agg(F.coalesce(F.sum(F.when(F.col("close") == 1, F.col("n"))), F.lit(0)).alias("n_singled"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_checked"))
     rate = F.col("n_singled") / F.greatest(F.col("n_checked"), F.lit(1))
     return one.select(clip(1 - rate).alias("safety_score"), rate.alias("singling_out_rate"), "n_singled", "n_checked")

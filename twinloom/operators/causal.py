@@ -1,19 +1,27 @@
-"""Causal fidelity: correlation edges and an order-bounded conditional-independence skeleton.
+"""Causal fidelity: correlation edges and the skeleton that conditional independence leaves.
 
-Only the d x d correlation matrices (d <= 20 columns) are worked on after one distributed pass over the rows.
+One distributed pass over the rows gives the d x d correlation matrices; the search tests sets of columns against them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from itertools import combinations, islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from twinloom.functions import pairs
 from twinloom.functions.pairs import REAL, SIDE
 from twinloom.functions.scalars import clip
 from twinloom.operators import compare
+from twinloom.session import width
 
 EDGE = 0.15
 NORMAL_975 = 1.959963984540054  # two-sided 5 % point of the standard normal
+#: Conditioning sets inverted at once.
+SETS = 4096
 
 
 def usable_columns(pair: DataFrame, target: str | None = None, cols: list[str] | None = None, limit: int | None = None) -> list[str]:
@@ -51,39 +59,103 @@ def correlation_fidelity(pair: DataFrame, target: str | None = None, cols: list[
         F.when(lost, F.lit(0.0)).otherwise(F.col("tp") / F.greatest(F.col("n_edges_real"), F.lit(1))).alias("edge_overlap"))
 
 
-def _partial(xy: Column, xz: Column, yz: Column) -> Column:
-    den = F.sqrt((1 - xz * xz) * (1 - yz * yz))
-    return F.coalesce((xy - xz * yz) / F.nullif(F.when(~F.isnan(den), den), F.lit(0.0)), F.lit(0.0))
+def partial(corr: np.ndarray, a: int, b: int, sets: np.ndarray) -> np.ndarray:
+    """Partial correlation of columns ``a`` and ``b`` given each row of ``sets``, from the inverse of the small matrix; 0 where
+    there is none."""
+    idx = np.concatenate([np.full((len(sets), 1), a), np.full((len(sets), 1), b), sets], axis=1)
+    small = corr[idx[:, :, None], idx[:, None, :]]
+    try:
+        inverse = np.linalg.inv(small)
+    except np.linalg.LinAlgError:  # one of them has no inverse: each on its own
+        inverse = np.full_like(small, np.nan)
+        for i, m in enumerate(small):
+            if np.linalg.matrix_rank(m) == len(m):
+                inverse[i] = np.linalg.inv(m)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rho = -inverse[:, 0, 1] / np.sqrt(inverse[:, 0, 0] * inverse[:, 1, 1])
+    return np.where(np.isfinite(rho), rho, 0.0)
+
+
+def independent(rho: np.ndarray, n: float, order: int) -> np.ndarray:
+    """Fisher z test at the 5 % level."""
+    safe = np.clip(rho, -1 + 1e-12, 1 - 1e-12)
+    return 0.5 * np.abs(np.log((1 + safe) / (1 - safe))) * np.sqrt(max(n - order - 3, 1)) <= NORMAL_975
 
 
-def _independent(rho: Column, n: Column, order: int) -> Column:
-    """Fisher z test at the 5 % level."""
-    safe = F.least(F.greatest(rho, F.lit(-1 + 1e-12)), F.lit(1 - 1e-12))
-    return 0.5 * F.abs(F.ln((1 + safe) / (1 - safe))) * F.sqrt(F.greatest(n - order - 3, F.lit(1))) <= NORMAL_975
+def parted(corr: np.ndarray, n: float, a: int, b: int, first: int, others: list[int], order: int) -> bool:
+    """Does a set of ``order`` columns that opens with ``first`` and goes on in ``others`` make a and b independent?"""
+    rest = combinations(others, order - 1)
+    while sets := list(islice(rest, SETS)):
+        if independent(partial(corr, a, b, np.array([(first, *s) for s in sets], np.int64)), n, order).any():
+            return True
+    return False
 
 
 def skeleton(corr: DataFrame) -> DataFrame:
-    """(side, a, b) with a < b: pairs no conditioning set of at most two other columns makes independent.
+    """(side, a, b) with a < b: the level-wise search, stable in the order of columns.
 
-    ``corr`` is (side, a, b, rho, n). Partial correlations of order one and two come from equi-joins of the matrix
-    with itself; its size is bounded by the column limit, not by the rows.
+    ``corr`` is (side, a, b, rho, n). At each order, a pair still joined is tested given every set of that many other
+    neighbours of either column, the neighbours being those at the start of the order; pairs found independent go
+    together at its end. The search ends when no column has neighbours enough, so no order is left out. Tests are dealt
+    out by (pair, first column of the set): a pair with many sets is many tasks. The driver holds one d x d matrix a side
+    and the edges. Where a matrix has no inverse the partial correlation is 0.
     """
-    m = corr.select(SIDE, "a", "b", "rho", "n")
-    edge = m.where(F.col("a") < F.col("b"))
-    z0 = edge.where(_independent(F.col("rho"), F.col("n"), 0)).select(SIDE, "a", "b")
-    ac = m.select(SIDE, "a", F.col("b").alias("c"), F.col("rho").alias("ac"))
-    bc = m.select(SIDE, F.col("a").alias("b"), F.col("b").alias("c"), F.col("rho").alias("bc"))
-    full = m.where(F.col("a") != F.col("b"))
-    p1 = full.join(ac, [SIDE, "a"]).join(bc, [SIDE, "b", "c"]).where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")))
-    p1 = p1.select(SIDE, "a", "b", "c", "n", _partial(F.col("rho"), F.col("ac"), F.col("bc")).alias("p"))
-    z1 = p1.where((F.col("a") < F.col("b")) & _independent(F.col("p"), F.col("n"), 1)).select(SIDE, "a", "b")
-    ad = p1.select(SIDE, "a", F.col("b").alias("d"), "c", F.col("p").alias("ad"))
-    bd = p1.select(SIDE, F.col("a").alias("b"), F.col("b").alias("d"), "c", F.col("p").alias("bd"))
-    p2 = p1.where(F.col("a") < F.col("b")).join(ad, [SIDE, "a", "c"]).join(bd, [SIDE, "b", "c", "d"]).where(
-        (F.col("d") != F.col("a")) & (F.col("d") != F.col("b")) & (F.col("c") < F.col("d")))
-    z2 = p2.where(_independent(_partial(F.col("p"), F.col("ad"), F.col("bd")), F.col("n"), 2)).select(SIDE, "a", "b")
-    cut = z0.unionByName(z1).unionByName(z2).distinct()
-    return edge.join(cut, [SIDE, "a", "b"], "left_anti").select(SIDE, "a", "b")
+    spark = corr.sparkSession
+    sides: dict[str, dict] = {}
+    for r in corr.select(SIDE, "a", "b", "rho", "n").collect():  # d x d rows a side
+        sides.setdefault(r[SIDE], {})[(r["a"], r["b"])] = (r["rho"], r["n"])
+    held, edges = {}, set()
+    for side, cells in sides.items():
+        names = sorted({a for a, _ in cells})
+        m = np.eye(len(names))
+        for (a, b), (rho, _) in cells.items():
+            if a != b:
+                m[names.index(a), names.index(b)] = np.nan if rho is None else rho
+        n = np.array([[cells.get((a, b), (0, 0))[1] or 0 for b in names] for a in names], float)
+        held[side] = (names, m, n)
+        for i in range(len(names)):
+            for j in range(i + 1, len(names)):
+                if not independent(np.nan_to_num(m[i, j]), n[i, j], 0):
+                    edges.add((side, i, j))
+    sent = {s: (np.nan_to_num(m), n) for s, (_, m, n) in held.items()}
+    order = 1
+    while True:
+        beside: dict[tuple[str, int], set[int]] = {}
+        for s, i, j in edges:
+            beside.setdefault((s, i), set()).add(j)
+            beside.setdefault((s, j), set()).add(i)
+        work = []
+        for s, i, j in sorted(edges):
+            seen = set()
+            for own, other in ((i, j), (j, i)):
+                near = sorted(beside[s, own] - {other})
+                for k in range(len(near) - order + 1):
+                    if (job := (near[k], tuple(near[k + 1 :]))) not in seen:
+                        seen.add(job)
+                        work.append((s, i, j, *job))
+        if not work:
+            break
+        edges -= found_independent(spark, work, sent, order)
+        order += 1
+    out = [(s, held[s][0][i], held[s][0][j]) for s, i, j in sorted(edges)]
+    return spark.createDataFrame(out, f"{SIDE} string, a string, b string")
+
+
+def found_independent(spark, work: list[tuple], sent: dict, order: int) -> set[tuple[str, int, int]]:
+    """The pairs that one of the given tests parts; the tests run in tasks."""
+    jobs = spark.createDataFrame([(s, i, j, k, list(rest)) for s, i, j, k, rest in work], "side string, i int, j int, first int, rest array<int>")
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = []
+            for s, i, j, first, rest in zip(*[c.to_pylist() for c in b.columns]):
+                m, n = sent[s]
+                if (s, i, j) not in gone and parted(m, n[i, j], i, j, first, rest, order):
+                    gone.append((s, i, j))
+            yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in gone], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["side", "i", "j"])
+
+    dealt = jobs.repartition(width(spark), "side", "i", "j", "first")
+    return {(r["side"], r["i"], r["j"]) for r in dealt.mapInArrow(tested, "side string, i int, j int").distinct().collect()}
 
 
 def causal_skeleton(pair: DataFrame, target: str | None = None, cols: list[str] | None = None) -> DataFrame:

@@ -90,7 +90,7 @@ class Intervals:
     """Interval tables of several columns, written once, with the number of rows of each."""
 
     table: DataFrame
-    sizes: dict[str, int]
+    sizes: dict[str, tuple[int, int]]
     types: dict[str, str]
     by: list[str]
 
@@ -101,16 +101,18 @@ class Intervals:
         for c, limit in (below or {}).items():
             table = table.where((F.col("column") != c) | (F.col("k") < limit))
         table = cut(table)
-        sizes = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return Intervals(table, sizes, dict(real.dtypes), by or [])
+        counted = table.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(F.col("value").cast("string"))).alias("widest")).collect()
+        return Intervals(table, {r["column"]: (r["n"], (r["widest"] or 0) + 32) for r in counted}, dict(real.dtypes), by or [])
 
     def draw(self, rows_: DataFrame, c: str, u: Column, name: str | None = None, how: str = "inner") -> DataFrame:
         """Add column ``name`` drawn from column ``c``; the table is broadcast only below a counted size."""
         name = name or c
         iv = self.table.where(F.col("column") == c).drop("column", "k")
         # an interval is listed in the cells it meets: at most its count and the cells, once if there are no classes
-        listed = self.sizes.get(c, 0) + 16 * width(rows_.sparkSession)
-        out = draw(rows_, iv, u, "_drawn", self.by, how, small=not self.by and listed <= BROADCAST_ROWS)
+        n, widest = self.sizes.get(c, (0, 0))
+        listed = n + 16 * width(rows_.sparkSession)
+        small = not self.by and listed <= BROADCAST_ROWS and listed * widest <= BROADCAST_BYTES
+        out = draw(rows_, iv, u, "_drawn", self.by, how, small=small)
         return out.select(*rows_.columns, F.col("_drawn").cast(self.types[c]).alias(name))
 
 

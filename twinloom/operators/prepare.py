@@ -154,7 +154,7 @@ def balance_classes(df: DataFrame, target: str, key: str, seed: int = 42) -> Dat
 
     Large classes are thinned without replacement, small ones are drawn with replacement. Ranks inside a class are
     computed over slices of a keyed hash, and draw slots come from the rows themselves (four per row), so a class that
-    holds most of the table is still spread over all tasks.
+    holds most of the table is still spread over all tasks. Rows without a class belong to none: they are not drawn.
     """
     sizes = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("_n_c"))
     whole = sizes.agg(F.greatest(F.floor(F.sum("_n_c") / F.count(F.lit(1))), F.lit(1)).alias("per")).scalar()

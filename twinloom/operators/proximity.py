@@ -1,28 +1,30 @@
 """Exact nearest-point and radius queries between two large point sets, without pairing everything with everything.
 
-The reference points are put on an equal-depth grid over (up to) three of their columns, with coarser levels above it.
-Every cell keeps its count and its tight bounds in all columns. A query point walks down the levels and keeps only the
-cells that can still matter: for the nearest point those whose closest corner is no farther than the best farthest
-corner seen; for a radius count those the circle cuts. Each level is one equi-join on the parent cell. The answer is
-exact whatever the grid; the grid only decides how much is pruned. Equal points are collapsed to one with a weight
-first, so copies cost nothing.
+Distinct reference points are ordered by a tree of median splits over all columns (fitted on a bounded sample; it only decides
+how close neighbours stand) and cut into pages of consecutive points. A page keeps its points as one array, its tight bounds
+in every column and its total weight. A query point compares itself with page bounds, visits the page with the closest
+bounds first, and then, in one or two waves, only those whose bounds lie within the best distance so far. Inside a page, blocks of
+``BLOCK`` points have bounds too and are taken in the order of their distance until none can matter. Page bounds are met in
+chunks of ``CHUNK`` and queries in batches of ``BATCH``, so a task holds a page and a batch, whatever the tables hold. The
+answer is exact; equal points are collapsed to one with a weight first, so copies cost nothing.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from twinloom.functions import ordered
-from twinloom.session import cut
+from twinloom.session import cut, width
 
-GRID_DIMS = 3
-POINTS_PER_CELL = 16
-MAX_BITS = 10
-STEP = 2  # bits per level: 64 children a cell on three columns
+PAGE, BLOCK = 1024, 16
+CHUNK, BATCH = 4096, 1024
+SAMPLE, MOST_LEAVES = 32_768, 4096
+#: Pages of the second wave; the third takes what still can matter. With few pages one wave does for both.
+SECOND, FEW = 8, 64
 
 
 def as_points(df: DataFrame, cols: list[Column], weights: dict[str, Column] | None = None, part: Column | None = None) -> DataFrame:
@@ -33,135 +35,272 @@ def as_points(df: DataFrame, cols: list[Column], weights: dict[str, Column] | No
 
 
 @dataclass(frozen=True)
-class Grid:
-    """An indexed reference set: leaf points with their cell keys, one summary per level, coarse to fine."""
-
-    points: DataFrame
-    levels: list[tuple[int, DataFrame]]
-    cuts: list[list[float]]
-    dims: list[int]
-    bits: int
+class Index:
+    """``pages``: (part, page, n, xs, ws); ``bounds``: (part, chunk, page, lo, hi, w); both are written tables."""
+
+    pages: DataFrame
+    bounds: DataFrame
     d: int
+    waves: list[Column]
+
+
+# ---- the tree of median splits
+def split(x: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
+    """Nodes (column, cut, left, right); a negative child is leaf -child - 1. Leaves are numbered from left to right."""
+    nodes: list[tuple[int, float, int, int]] = []
+    made = 0
+
+    def grow(part: np.ndarray, want: int) -> int:
+        nonlocal made
+        spread = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(1)
+        if want < 2 or spread.max(initial=0.0) <= 0.0:
+            made += 1
+            return -made
+        j = int(spread.argmax())
+        middle = float(np.quantile(part[:, j], 0.5, method="lower"))
+        if middle >= part[:, j].max():  # more than half are the largest value
+            middle = float(part[:, j][part[:, j] < middle].max())
+        at = len(nodes)
+        nodes.append((j, middle, 0, 0))
+        left = grow(part[part[:, j] <= middle], want // 2)
+        nodes[at] = (j, middle, left, grow(part[part[:, j] > middle], want - want // 2))
+        return at
+
+    grow(x, leaves)
+    return nodes
+
+
+def leaf_of(x: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.ndarray:
+    out = np.zeros(len(x), np.int64)
+    todo = [(0, np.arange(len(x)))] if nodes else []
+    while todo:
+        node, rows = todo.pop()
+        j, middle, left, right = nodes[node]
+        low = x[rows, j] <= middle
+        for child, some in ((left, rows[low]), (right, rows[~low])):
+            if child < 0:
+                out[some] = -child - 1
+            elif len(some):
+                todo.append((child, some))
+    return out
 
-    def key(self, bits: int) -> Column:
-        return pack([F.shiftright(f"_g{j}", self.bits - bits) for j in range(len(self.dims))])
 
-    def locate(self, df: DataFrame) -> DataFrame:
-        return locate(df, self.dims, self.cuts)
+def arranged(x: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in blocks of at most ``size`` by median splits of the widest column."""
+    if len(rows) <= size:
+        return [rows]
+    part = x[rows]
+    j = int((part.max(axis=0) - part.min(axis=0)).argmax())
+    order = rows[np.argsort(part[:, j], kind="stable")]
+    half = -(-len(order) // (2 * size)) * size
+    return [*arranged(x, order[:half], size), *arranged(x, order[half:], size)]
 
 
-def pack(idx: list[Column]) -> Column:
-    """Part number and cell numbers in one long: MAX_BITS bits a column."""
-    out = F.shiftleft(F.col("part"), MAX_BITS * GRID_DIMS)
-    for j, i in enumerate(idx):
-        out = out + F.shiftleft(i.cast("long"), MAX_BITS * j)
-    return out
+def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, d)
 
 
-def locate(df: DataFrame, dims: list[int], cuts: list[list[float]]) -> DataFrame:
-    ins, outs = [f"_x{j}" for j in range(len(dims))], [f"_o{j}" for j in range(len(dims))]
-    wide = df.select("*", *[F.col("x")[i].alias(c) for i, c in zip(dims, ins)])
-    b = Bucketizer(splitsArray=[ordered.edges(c) for c in cuts], inputCols=ins, outputCols=outs, handleInvalid="keep").transform(wide)
-    return b.select(*df.columns, *[F.col(o).cast("int").alias(f"_g{j}") for j, o in enumerate(outs)])
+PAGES = "part long, page long, n int, xs binary, ws binary, lo array<double>, hi array<double>, w long"
 
 
-def build(points: DataFrame, d: int, points_per_cell: int = POINTS_PER_CELL) -> Grid | None:
-    """Index (part, x, w); None when there are no points. Counts and cut points are the only things sent to the driver."""
+def build(points: DataFrame, d: int, page: int = PAGE) -> Index | None:
+    """Index (part, x, w); None when there are no points. A bounded sample reaches the driver."""
     points = cut(points)
-    look = points.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col("x")[i]).alias(f"d{i}") for i in range(d)]).first()
-    if not look["n"]:
+    n = points.count()
+    if not n:
         return None
-    dims = sorted(sorted(range(d), key=lambda i: -look[f"d{i}"])[:GRID_DIMS])
-    bits = max(1, min(MAX_BITS, math.ceil(math.log2(max(2.0, look["n"] / points_per_cell)) / len(dims))))
-    flat = points.select(*[F.col("x")[i].alias(f"x{i}") for i in dims])
-    found = ordered.cut_points(flat, [f"x{i}" for i in dims], 2**bits)
-    cuts = [found[f"x{i}"] for i in dims]
-    grid = Grid(None, [], cuts, dims, bits, d)
-    keyed = grid.locate(points)
-    sizes = sorted({bits, *range(1, bits, STEP)})
-    leaf = keyed.select("part", "x", "w", *[grid.key(b).alias(f"k{b}") for b in sizes])
-    levels, finer = [], None
-    for b in reversed(sizes):
-        ups = [f"k{a}" for a in sizes if a <= b]
-        if finer is None:
-            aggs = [F.sum("w").alias("cw"), F.array(*[F.min(F.col("x")[i]) for i in range(d)]).alias("lo"), F.array(*[F.max(F.col("x")[i]) for i in range(d)]).alias("hi")]
-            finer = leaf.groupBy("part", *ups).agg(*aggs)
-        else:
-            aggs = [F.sum("cw").alias("cw"), F.array(*[F.min(F.col("lo")[i]) for i in range(d)]).alias("lo"), F.array(*[F.max(F.col("hi")[i]) for i in range(d)]).alias("hi")]
-            finer = finer.groupBy("part", *ups).agg(*aggs)
-        levels.append((b, finer))
-    return Grid(leaf, list(reversed(levels)), cuts, dims, bits, d)
-
-
-def _near2(x: Column, lo: Column, hi: Column, d: int) -> Column:
-    """Squared distance from x to the closest place of a box; rounding is monotone, so never above a member's distance."""
-    terms = [F.greatest(lo[i] - x[i], x[i] - hi[i], F.lit(0.0)) for i in range(d)]
-    return sum((t * t for t in terms[1:]), terms[0] * terms[0])
-
-
-def _far2(x: Column, lo: Column, hi: Column, d: int) -> Column:
-    terms = [F.greatest(F.abs(x[i] - lo[i]), F.abs(hi[i] - x[i])) for i in range(d)]
-    return sum((t * t for t in terms[1:]), terms[0] * terms[0])
-
-
-def distance2(x: Column, y: Column, d: int) -> Column:
-    terms = [x[i] - y[i] for i in range(d)]
-    return sum((t * t for t in terms[1:]), terms[0] * terms[0])
-
-
-def _top(queries: DataFrame, grid: Grid) -> DataFrame:
-    """Query points next to the coarsest cells of their part: at most 2**GRID_DIMS cells a part, so a broadcast of
-    known size; parts are a caller's few variants (such as sweep candidates)."""
-    b, summary = grid.levels[0]
-    tops = summary.select(F.col("part"), F.col(f"k{b}").alias("cell"), "cw", "lo", "hi")
-    return queries.join(F.broadcast(tops), "part")
-
-
-def nearest(queries: DataFrame, grid: Grid) -> DataFrame:
+    leaves = max(1, min(MOST_LEAVES, -(-n // page)))
+    sample = points.orderBy(F.xxhash64("part", "x"), "part", "x").limit(SAMPLE).select("x").collect()
+    nodes = split(np.array([r["x"] for r in sample], float).reshape(-1, d), leaves)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("leaf", pa.array(leaf_of(matrix(b.column(b.schema.get_field_index("x")), d), nodes)))
+
+    kept = points.select("part", "x", F.col("w").cast("long").alias("w")).mapInArrow(placed, "part long, x array<double>, w long, leaf long")
+    ranged = kept.repartitionByRange(max(1, min(width(points.sparkSession), leaves)), "part", "leaf", "x").sortWithinPartitions("part", "leaf", "x")
+    ranged = ranged.select("part", "leaf", "x", "w", F.spark_partition_id().cast("long").alias("p"))
+
+    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number, key = [], 0, None
+
+        def made() -> pa.RecordBatch:
+            x, w = np.array([r[0] for r in held], float).reshape(-1, d), np.array([r[1] for r in held], np.int64)
+            order = np.concatenate(arranged(x, np.arange(len(x)), BLOCK))
+            cols = [[key[0]], [(key[2] << 32) + number], [len(x)], [x[order].tobytes()], [w[order].tobytes()], [x.min(axis=0).tolist()], [x.max(axis=0).tolist()], [int(w.sum())]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in PAGES.split(", ")])
+
+        for b in batches:
+            for part, leaf, x, w, p in zip(*[c.to_pylist() for c in b.columns]):
+                if held and (key[:2] != (part, leaf) or len(held) == page):
+                    yield made()
+                    held, number = [], number + 1
+                key = (part, leaf, p)
+                held.append((x, w))
+        if held:
+            yield made()
+
+    pages = cut(ranged.mapInArrow(paged, PAGES))
+    near = Window.partitionBy("part", "p").orderBy("page")
+    chunk = F.shiftleft(F.shiftright("page", 32), 16) + F.floor((F.row_number().over(near) - 1) / CHUNK)
+    bounds = cut(pages.select("part", "page", "lo", "hi", "w", F.shiftright("page", 32).alias("p")).withColumn("chunk", chunk).drop("p"))
+    place = F.col("place")
+    return Index(pages, bounds, d, [F.lit(True)] if leaves <= FEW else [place <= SECOND, place > SECOND])
+
+
+# ---- distances to boxes and points; rounding is monotone, so a box is never farther than its points
+def near2(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(lo)))
+    for j in range(x.shape[1]):
+        t = np.maximum(np.maximum(lo[None, :, j] - x[:, None, j], x[:, None, j] - hi[None, :, j]), 0.0)
+        out += t * t
+    return out
+
+
+def far2(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(lo)))
+    for j in range(x.shape[1]):
+        t = np.maximum(np.abs(x[:, None, j] - lo[None, :, j]), np.abs(hi[None, :, j] - x[:, None, j]))
+        out += t * t
+    return out
+
+
+class Blocks:
+    """A page's points in blocks of ``BLOCK``, the last one filled up with weightless points far away."""
+
+    def __init__(self, xs: bytes, ws: bytes, d: int):
+        x, w = np.frombuffer(xs, float).reshape(-1, d), np.frombuffer(ws, np.int64)
+        rest = -len(x) % BLOCK
+        self.x = np.concatenate([x, np.full((rest, d), np.inf)]).reshape(-1, BLOCK, d)
+        self.w = np.concatenate([w, np.zeros(rest, np.int64)]).reshape(-1, BLOCK)
+        self.lo = self.x.min(axis=1)
+        self.hi = np.where(np.isinf(self.x), -np.inf, self.x).max(axis=1)
+
+    def distances2(self, x: np.ndarray, block: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), BLOCK))
+        held = self.x[block]
+        for j in range(x.shape[1]):
+            t = held[:, :, j] - x[:, None, j]
+            out += t * t
+        return out
+
+
+def nearest_in(x: np.ndarray, blocks: Blocks, best: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearest point of a page, or ``best`` where that is no farther."""
+    best, box = best.copy(), near2(x, blocks.lo, blocks.hi)
+    order = np.argsort(box, axis=1, kind="stable")
+    for step in range(order.shape[1]):
+        block = order[:, step]
+        some = np.flatnonzero(box[np.arange(len(x)), block] < best)
+        if not len(some):
+            break
+        best[some] = np.minimum(best[some], blocks.distances2(x[some], block[some]).min(axis=1))
+    return best
+
+
+def within_in(x: np.ndarray, blocks: Blocks, radius: float, have: np.ndarray, enough: int) -> np.ndarray:
+    """Weight of a page's points closer than the radius, on top of ``have``; a query with enough stops."""
+    total = have.copy()
+    box = np.sqrt(near2(x, blocks.lo, blocks.hi))
+    order = np.argsort(box, axis=1, kind="stable")
+    for step in range(order.shape[1]):
+        block = order[:, step]
+        some = np.flatnonzero((box[np.arange(len(x)), block] < radius) & (total < enough))
+        if not len(some) and (box[np.arange(len(x)), block] >= radius).all():
+            break
+        close = np.sqrt(blocks.distances2(x[some], block[some])) < radius
+        total[some] += (close * blocks.w[block[some]]).sum(axis=1)
+    return total - have
+
+
+# ---- queries meet chunks of bounds and pages in batches
+def meet(asked: DataFrame, table: DataFrame, keys: list[str], scored: Callable[[pa.Table, pa.Table], pa.Table], kinds: str) -> DataFrame:
+    """``scored`` on every (batch of queries, rows of ``table``) with the same keys."""
+    batches = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("batches"))
+    left = asked.join(batches, keys).withColumn("batch", F.pmod(F.xxhash64("q"), F.col("batches")).cast("int")).drop("batches")
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own, though both sides may come from one table
+    right = table.join(batches, keys).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
+
+    def both(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if len(mine) and len(theirs):
+            return scored(mine, theirs)
+        of = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        return pa.table({f.split()[0]: pa.array([], of[f.split()[1]]) for f in kinds.split(", ")})
+
+    return left.groupBy(*keys, "batch").cogroup(right.groupBy(*keys, "batch")).applyInArrow(both, kinds)
+
+
+def asked_of(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``queries`` with a row number q; (q, part, x); and the latter with every chunk of its part."""
+    held = cut(queries.withColumn("q", F.monotonically_increasing_id()))
+    points = held.select("q", "part", "x")
+    return held, points, points.join(index.bounds.select("part", "chunk").distinct(), "part")
+
+
+def nearest(queries: DataFrame, index: Index) -> DataFrame:
     """Add ``distance`` to (part, x, ...): exact Euclidean distance to the nearest reference point of the same part."""
-    d, x = grid.d, F.col("x")
-    per_query = Window.partitionBy("part", "x")
-    q = queries.select("part", "x")
-    cand = _top(q, grid)
-    for level in range(len(grid.levels)):
-        if level:
-            parent, b = grid.levels[level - 1][0], grid.levels[level][0]
-            child = grid.levels[level][1].select(F.col(f"k{parent}").alias("cell"), F.col(f"k{b}").alias("_cell"), "lo", "hi")
-            cand = cand.select("part", "x", "cell", "best").join(child, "cell")
-            cand = cand.where(_near2(x, F.col("lo"), F.col("hi"), d) <= F.col("best")).select("part", "x", F.col("_cell").alias("cell"), "best", "lo", "hi")
-        else:
-            cand = cand.select("part", "x", "cell", F.lit(float("inf")).alias("best"), "lo", "hi")
-        far = F.min(_far2(x, F.col("lo"), F.col("hi"), d)).over(per_query)
-        cand = cand.withColumn("best", F.least(F.col("best"), far)).where(_near2(x, F.col("lo"), F.col("hi"), d) <= F.col("best"))
-    leaf = grid.points.select(F.col(f"k{grid.bits}").alias("cell"), F.col("x").alias("y"))
-    hits = cand.select("part", "x", "cell").join(leaf, "cell").groupBy("part", "x").agg(F.sqrt(F.min(distance2(x, F.col("y"), d))).alias("distance"))
-    return queries.join(hits, ["part", "x"], "left")
-
-
-def count_within(queries: DataFrame, grid: Grid, radius: float, enough: int = 2) -> DataFrame:
+    d = index.d
+    held, points, chunks = asked_of(queries, index)
+
+    def closest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        box = near2(matrix(mine.column("x"), d), matrix(theirs.column("lo"), d), matrix(theirs.column("hi"), d))
+        at = box.argmin(axis=1)
+        return pa.table({"q": mine.column("q"), "page": theirs.column("page").take(pa.array(at)), "near": pa.array(box[np.arange(len(at)), at])})
+
+    def worth(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        box = near2(matrix(mine.column("x"), d), matrix(theirs.column("lo"), d), matrix(theirs.column("hi"), d))
+        row, col = np.nonzero(box < mine.column("best").to_numpy()[:, None])
+        return pa.table({"q": mine.column("q").take(pa.array(row)), "page": theirs.column("page").take(pa.array(col)), "near": pa.array(box[row, col])})
+
+    def scored(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        blocks = Blocks(theirs.column("xs")[0].as_py(), theirs.column("ws")[0].as_py(), d)
+        return pa.table({"q": mine.column("q"), "best": pa.array(nearest_in(matrix(mine.column("x"), d), blocks, mine.column("best").to_numpy()))})
+
+    pages = index.pages.select("part", "page", "xs", "ws")
+    listed = "q long, page long, near double"
+    first = meet(chunks, index.bounds, ["part", "chunk"], closest, listed).groupBy("q").agg(F.min_by("page", F.struct("near", "page")).alias("page"))
+    first = cut(first)
+    best = cut(meet(points.join(first, "q").withColumn("best", F.lit(float("inf"))), pages, ["part", "page"], scored, "q long, best double"))
+    rest = meet(chunks.join(best, "q"), index.bounds, ["part", "chunk"], worth, listed).join(first, ["q", "page"], "left_anti")
+    rest = cut(rest.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("near", "page"))))
+    for wave in index.waves:
+        now = rest.where(wave).join(best, "q").where(F.col("near") < F.col("best"))
+        found = meet(points.join(now.select("q", "page", "best"), "q"), pages, ["part", "page"], scored, "q long, best double")
+        best = cut(best.unionByName(found).groupBy("q").agg(F.min("best").alias("best")))
+    return held.join(best.select("q", F.sqrt("best").alias("distance")), "q", "left").drop("q")
+
+
+def count_within(queries: DataFrame, index: Index, radius: float, enough: int = 2) -> DataFrame:
     """Add ``close`` to (part, x, ...): reference weight at a distance below ``radius``, exact below ``enough``.
 
-    A cell wholly inside the circle counts at once. A point that has ``enough`` is not followed further, so points in
-    dense regions are settled by a few cell counts; from there on ``close`` is only known to be at least ``enough``.
+    A page wholly inside the circle counts at once, and a point that has ``enough`` is not followed further; from there on
+    ``close`` is only known to be at least ``enough``.
     """
-    d, x = grid.d, F.col("x")
-    per_query = Window.partitionBy("part", "x")
-    q = queries.select("part", "x")
-    cand = _top(q, grid).withColumn("sure", F.lit(0).cast("long"))
-    counted = None
-    for level in range(len(grid.levels)):
-        if level:
-            parent, b = grid.levels[level - 1][0], grid.levels[level][0]
-            child = grid.levels[level][1].select(F.col(f"k{parent}").alias("cell"), F.col(f"k{b}").alias("_cell"), "cw", "lo", "hi")
-            cand = cand.select("part", "x", "cell", "sure").join(child, "cell").select("part", "x", F.col("_cell").alias("cell"), "sure", "cw", "lo", "hi")
-        touched = cand.where(F.sqrt(_near2(x, F.col("lo"), F.col("hi"), d)) < radius)
-        inside = F.sqrt(_far2(x, F.col("lo"), F.col("hi"), d)) < radius
-        touched = touched.withColumn("inside", inside)
-        full = touched.where("inside").select("part", "x", F.col("cw").alias("close"))
-        counted = full if counted is None else counted.unionByName(full)
-        sure = F.col("sure") + F.coalesce(F.sum(F.when(F.col("inside"), F.col("cw"))).over(per_query), F.lit(0))
-        cand = touched.withColumn("sure", sure).where((F.col("sure") < enough) & ~F.col("inside"))
-    leaf = grid.points.select(F.col(f"k{grid.bits}").alias("cell"), F.col("x").alias("y"), "w")
-    single = cand.select("part", "x", "cell").join(leaf, "cell").where(F.sqrt(distance2(x, F.col("y"), d)) < radius).select("part", "x", F.col("w").alias("close"))
-    sums = counted.unionByName(single).groupBy("part", "x").agg(F.sum("close").alias("close"))
-    return queries.join(sums, ["part", "x"], "left").fillna(0, ["close"])
+    d = index.d
+    held, points, chunks = asked_of(queries, index)
+
+    def touched(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        x, lo, hi = matrix(mine.column("x"), d), matrix(theirs.column("lo"), d), matrix(theirs.column("hi"), d)
+        box = np.sqrt(near2(x, lo, hi))
+        inside = np.sqrt(far2(x, lo, hi)) < radius
+        sure = inside @ theirs.column("w").to_numpy()
+        row, col = np.nonzero((box < radius) & ~inside & (sure < enough)[:, None])
+        ids = mine.column("q").to_numpy()
+        return pa.table({"q": pa.array(np.concatenate([ids[row], ids])), "page": pa.array(np.concatenate([theirs.column("page").to_numpy()[col], np.full(len(ids), -1)])), "near": pa.array(np.concatenate([box[row, col], np.zeros(len(ids))])), "close": pa.array(np.concatenate([np.zeros(len(row), np.int64), sure]))})
+
+    def scored(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        blocks = Blocks(theirs.column("xs")[0].as_py(), theirs.column("ws")[0].as_py(), d)
+        return pa.table({"q": mine.column("q"), "close": pa.array(within_in(matrix(mine.column("x"), d), blocks, radius, mine.column("close").to_numpy(), enough))})
+
+    listed = cut(meet(chunks, index.bounds, ["part", "chunk"], touched, "q long, page long, near double, close long"))
+    close = listed.where("page < 0").groupBy("q").agg(F.sum("close").alias("close"))
+    rest = listed.where("page >= 0").select("q", "page", F.row_number().over(Window.partitionBy("q").orderBy("near", "page")).alias("place"))
+    pages = index.pages.select("part", "page", "xs", "ws")
+    for wave in index.waves:
+        now = rest.where(wave).join(close, "q").where(F.col("close") < enough)
+        found = meet(points.join(now.select("q", "page", "close"), "q"), pages, ["part", "page"], scored, "q long, close long")
+        close = cut(close.unionByName(found).groupBy("q").agg(F.sum("close").alias("close")))
+    return held.join(close, "q", "left").fillna(0, ["close"]).drop("q")

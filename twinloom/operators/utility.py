@@ -75,7 +75,7 @@ def forest_accuracy(pair: DataFrame, target: str, cols: list[str], trees: int, d
     """Accuracy on real rows of a forest fitted on synthetic rows; None when the synthetic side has one class only."""
     data = cut(encode_features(_labelled(pair, target), cols, [SIDE, "label"]))
     train, test = data.where(F.col(SIDE) == SYNTH), data.where(F.col(SIDE) == REAL)
-    classes = train.agg(F.approx_count_distinct("label")).first()[0]
+    classes = train.select("label").where("label is not null").distinct().count()
     if classes < 2:
         return None
     rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features")
@@ -167,12 +167,12 @@ def tstr_text(pair: DataFrame, target: str) -> DataFrame:
         return neutral
     clean = pair.dropna(subset=[text, target])
     n_real, n_synth = _sizes(clean)
-    classes = real.agg(F.approx_count_distinct(target)).first()[0]
+    classes = real.select(target).where(F.col(target).isNotNull()).distinct().count()
     if n_synth < 20 or n_real < 10 or classes > 50:
         return neutral
     data = cut(text_vectors(_labelled(clean.select(SIDE, text, target), target), text, [SIDE, "label"]))
     train, test = data.where(F.col(SIDE) == SYNTH), data.where(F.col(SIDE) == REAL)
-    if train.agg(F.approx_count_distinct("label")).first()[0] < 2:
+    if train.select("label").where("label is not null").distinct().count() < 2:
         return neutral
     model = LogisticRegression(maxIter=300, tol=1e-4, regParam=1.0 / n_synth, standardization=False, labelCol="label", featuresCol="features").fit(train)
     acc = _accuracy(model, test)

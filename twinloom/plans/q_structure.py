@@ -76,14 +76,25 @@ def indep_sql(rho, order):
     return f"0.5*abs(ln((1+{safe})/(1-{safe})))*sqrt(greatest(n-{order}-3,1)) <= {causal.NORMAL_975}"
 
 
+def partials_sql(order):
+    """p{order}: partial correlations given ``order`` columns, ascending in s, by the recursion over the last one."""
+    before = f"p{order - 1}"
+    seen = "[]" if order == 1 else "x.s"
+    return f"""p{order} as (select x.side, x.a, x.b, list_append({seen}, y.b) s, x.n, {partial_sql('x.p', 'y.p', 'z.p')} p from {before} x join {before} y on y.side=x.side and y.a=x.a and y.s=x.s
+   join {before} z on z.side=x.side and z.a=x.b and z.b=y.b and z.s=x.s where x.a<>x.b and y.b<>x.a and y.b<>x.b and (len(x.s)=0 or y.b>x.s[-1]))"""
+
+
+def level_sql(order):
+    """e{order}: the edges left when sets of ``order`` neighbours at most have been tested."""
+    near = "list_filter(q.s, lambda v: not list_contains(k.l, v))"
+    return f"""n{order - 1} as (select side, a, list(b) l from (select side, a, b from e{order - 1} union select side, b, a from e{order - 1}) group by 1,2),
+ e{order} as (select side, a, b from e{order - 1} except select q.side, q.a, q.b from p{order} q join n{order - 1} k on k.side=q.side and (k.a=q.a or k.a=q.b) where q.a<q.b and len({near})=0 and {indep_sql('q.p', order).replace('(n-', '(q.n-')})"""
+
+
 SKEL = f"""with {PAIR}, {corr_sql('cp', NUM)}, nn as (select side, count(*) n from cp group by 1),
- m as (select 'real' side, a, b, rho, n from corr_r, nn where side='real' union all select 'synth', a, b, rho, n from corr_s, nn where side='synth'),
- p1 as (select x.side, x.a, x.b, y.b c, x.n, {partial_sql('x.rho', 'y.rho', 'z.rho')} p from m x join m y on y.side=x.side and y.a=x.a join m z on z.side=x.side and z.a=x.b and z.b=y.b
-   where x.a<>x.b and y.b<>x.a and y.b<>x.b),
- p2 as (select x.side, x.a, x.b, x.n, {partial_sql('x.p', 'y.p', 'z.p')} p from p1 x join p1 y on y.side=x.side and y.a=x.a and y.c=x.c join p1 z on z.side=x.side and z.a=x.b and z.c=x.c and z.b=y.b
-   where x.a<x.b and y.b<>x.b and x.c<y.b),
- gone as (select side, a, b from m where a<b and {indep_sql('rho', 0)} union select side, a, b from p1 where a<b and {indep_sql('p', 1)} union select side, a, b from p2 where {indep_sql('p', 2)}),
- sk as (select side, a, b from m where a<b except select side, a, b from gone)"""
+ p0 as (select 'real' side, a, b, []::varchar[] s, n, rho p from corr_r, nn where side='real' union all select 'synth', a, b, []::varchar[], n, rho from corr_s, nn where side='synth'),
+ e0 as (select side, a, b from p0 where a<b and not ({indep_sql('p', 0)})), {', '.join(f'{partials_sql(k)}, {level_sql(k)}' for k in range(1, len(NUM) - 1))},
+ sk as (select side, a, b from e{len(NUM) - 2})"""
 QUERIES["causal_skeleton"] = lambda s, d: causal.causal_skeleton(charged(s, d), None, NUM)
 SQL["causal_skeleton"] = SKEL + " select side, a, b from sk"
 QUERIES["edge_f1"] = lambda s, d: rounded(causal.edge_f1(causal.causal_skeleton(charged(s, d), None, NUM)), "overlap", "precision", "score")
