@@ -75,6 +75,68 @@ def test_a_second_release_reads_what_the_first_wrote(spark, tmp_path, monkeypatc
     assert spark.read.parquet(f"{path}/totals").first()["entries"] == 3
 
 
+def entry(spark, epsilon, name="demo"):
+    return spark.createDataFrame([(name, float(epsilon))], "dataset string, epsilon double")
+
+
+def test_reservations_between_write_and_read(spark, tmp_path, monkeypatch):
+    """The other writer comes in just before we look: whoever is refused, the total holds and refusals leave no trace."""
+    path, load = str(tmp_path / "ledger"), L.load
+    L.reserve(entry(spark, 4), path, 10.0)
+    other = []
+
+    def interrupted(s, p):
+        monkeypatch.setattr(L, "load", load)
+        try:
+            other.append(L.reserve(entry(spark, 5, "other"), path, 10.0))
+        except L.BudgetExhausted:
+            other.append(None)
+        return load(s, p)
+
+    monkeypatch.setattr(L, "load", interrupted)
+    mine = L.reserve(entry(spark, 5, "mine"), path, 10.0)  # it was written first, so the other one sees it and gives way
+    left = {r["dataset"]: r["consumed"] for r in L.by_dataset(load(spark, path)).collect()}
+    assert mine and other == [None] and left == {"demo": 4.0, "mine": 5.0}
+
+
+def test_parallel_reservations_never_exceed_the_total(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "ledger")
+
+    def one(i):
+        try:
+            return L.reserve(entry(spark, 3, f"d{i}"), path, 10.0)
+        except L.BudgetExhausted:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        claims = [c for c in pool.map(one, range(6)) if c]
+    used = L.remaining(L.load(spark, path), 10.0).first()["consumed"]
+    assert used == 3.0 * len(claims) <= 10.0
+    L.withdraw(spark, path, claims[0]) if claims else None
+    L.withdraw(spark, path, claims[0]) if claims else None
+    assert L.remaining(L.load(spark, path), 10.0).first()["consumed"] == max(0.0, used - 3.0)
+    L.reset(spark, path)
+    assert L.remaining(L.load(spark, path), 10.0).first()["consumed"] == 0.0
+    L.withdraw(spark, path, claims[-1]) if claims else None  # after a reset: gives nothing back twice
+    assert L.remaining(L.load(spark, path), 10.0).first()["consumed"] == 0.0
+
+
+def test_a_release_that_no_longer_fits_publishes_nothing(spark, tmp_path, monkeypatch):
+    total = L.fixed.PRIVACY_BUDGET
+
+    def judged(*a):  # while we judge, another release spends nearly everything
+        L.append(entry(spark, total - 1e-3, "other"), f"{tmp_path}/ledger")
+        return GOOD
+
+    monkeypatch.setattr(P, "evaluate", judged)
+    with pytest.raises(L.BudgetExhausted):
+        P.release(table(spark, 120), Contract("demo", "outcome", "tabular", discrete=("outcome",)), "id", str(tmp_path), sweep_trials=0)
+    assert L.remaining(L.load(spark, f"{tmp_path}/ledger")).first()["consumed"] == pytest.approx(total - 1e-3)
+    assert not list(tmp_path.glob("synthetic_output_*")) and not (tmp_path / "receipts").exists()
+
+
 def test_a_release_sweeps_with_the_generator_of_its_attempt(spark, tmp_path, monkeypatch):
     asked, swept, plain = [], [], P.sweep
 

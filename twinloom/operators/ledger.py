@@ -1,14 +1,24 @@
-"""The privacy-budget ledger: an append-only table of (seq, dataset, epsilon, kind); totals are derived, never stored."""
+"""The privacy-budget ledger: an append-only table of (seq, dataset, epsilon, kind); totals are derived, never stored.
+
+Spending is reserved before it is used: a reservation is an entry that counts at once, and a writer looks at the ledger only
+after its own entry is there. Of two that do so at the same time at least the later one sees both, so the sum of what is kept
+never exceeds the total; a reservation that doesn't fit, or whose work fails, is withdrawn by a further entry. If a driver
+dies in between, its reservation stays on record and counts until someone withdraws it.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinloom.functions import fixed, ordered
 
-SPEND, RESET = "spend", "reset"
-SCHEMA = "seq long, ts timestamp, dataset string, kind string, epsilon double"
+SPEND, RESET, WITHDRAW = "spend", "reset", "withdraw"
+SCHEMA = "seq long, ts timestamp, dataset string, kind string, epsilon double, claim string"
+#: Sums of doubles may miss the total by this much.
+SLACK = 1e-9
 
 
 class BudgetExhausted(RuntimeError):
@@ -36,6 +46,27 @@ def append(entries: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def reserve(entries: DataFrame, path: str, total: float = fixed.PRIVACY_BUDGET) -> str:
+    """Write (dataset, epsilon) rows as spending under a claim of their own, which is returned. Raises, with the claim
+    withdrawn, if they don't fit the total together with all that other writers hold."""
+    spark, claim = entries.sparkSession, uuid.uuid4().hex
+    rows = entries.select(moment().alias("seq"), F.current_timestamp().alias("ts"), "dataset", F.lit(SPEND).alias("kind"), "epsilon", F.lit(claim).alias("claim"))
+    rows.write.mode("append").json(path)
+    if remaining(load(spark, path), total).first()["consumed"] > total + SLACK:
+        withdraw(spark, path, claim)
+        raise BudgetExhausted("Privacy budget exhausted. No further generation permitted.")
+    return claim
+
+
+def withdraw(spark: SparkSession, path: str, claim: str) -> None:
+    """Take a reservation back: its entries stay on record and no longer count. A second withdrawal changes nothing."""
+    held = load(spark, path)
+    gone = held.where((F.col("claim") == claim) & (F.col("kind") == WITHDRAW))
+    if gone.isEmpty():
+        mine = held.where((F.col("claim") == claim) & (F.col("kind") == SPEND)).groupBy("dataset").agg(F.sum("epsilon").alias("epsilon"))
+        mine.select(moment().alias("seq"), F.current_timestamp().alias("ts"), "dataset", F.lit(WITHDRAW).alias("kind"), "epsilon", F.lit(claim).alias("claim")).write.mode("append").json(path)
+
+
 def reset(spark: SparkSession, path: str) -> None:
     """Write a reset marker: spending before it no longer counts, and stays on record."""
     mark = spark.range(1).select(moment().alias("seq"), F.current_timestamp().alias("ts"), F.lit(None).cast("string").alias("dataset"), F.lit(RESET).alias("kind"), F.lit(0.0).alias("epsilon"))
@@ -43,9 +74,13 @@ def reset(spark: SparkSession, path: str) -> None:
 
 
 def after_reset(ledger: DataFrame) -> DataFrame:
-    """Entries that count: those after the last reset marker."""
+    """Entries that count: those after the last reset marker that were not withdrawn. Tables without claims are fine."""
     last = ledger.where(F.col("kind") == RESET).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("s"))
-    return ledger.where((F.col("seq") > last.scalar()) & (F.col("kind") == SPEND))
+    live = ledger.where((F.col("seq") > last.scalar()) & (F.col("kind") == SPEND))
+    if "claim" not in ledger.columns:
+        return live
+    withdrawn = ledger.where(F.col("kind") == WITHDRAW).select(F.col("claim").alias("_gone"))
+    return live.join(withdrawn, F.col("claim") == F.col("_gone"), "left_anti")
 
 
 def remaining(ledger: DataFrame, total: float = fixed.PRIVACY_BUDGET) -> DataFrame:

@@ -176,7 +176,8 @@ def release(
 
     The first passing attempt of the model chain is chosen. When none passes, the best one is reported as forced and
     only published if ``publish_forced`` is set. The ledger and the history of earlier releases into ``out_dir`` count
-    unless others are given. Each attempt sweeps epsilon with its own generator.
+    unless others are given. Each attempt sweeps epsilon with its own generator. What is published is reserved in the
+    ledger first; a release that no longer fits the budget by then is refused and publishes nothing.
     """
     spark = real.sparkSession
     budget = L.require_budget(ledger if ledger is not None else L.load(spark, f"{out_dir}/ledger"))
@@ -220,12 +221,16 @@ def release(
     stamp = uuid.uuid4().hex
     path, digest = None, None
     if publish:
-        path = f"{out_dir}/synthetic_output_{contract.name}_{stamp}"
-        T.write_csv(tables[row["attempt"]], path)
-        digest = T.table_digest(tables[row["attempt"]]).first()["digest"]
-        L.append(final, f"{out_dir}/ledger")
-        dressed = final.withColumns({"ts": F.current_timestamp(), "output_path": F.lit(path), "sha256": F.lit(digest), "budget_remaining": F.lit(max(0.0, budget - row["epsilon"]))})
-        logs.write_receipts(dressed, f"{out_dir}/receipts")
+        claim = L.reserve(final, f"{out_dir}/ledger")  # releases that run side by side can't spend more than there is
+        try:
+            path = f"{out_dir}/synthetic_output_{contract.name}_{stamp}"
+            T.write_csv(tables[row["attempt"]], path)
+            digest = T.table_digest(tables[row["attempt"]]).first()["digest"]
+            dressed = final.withColumns({"ts": F.current_timestamp(), "output_path": F.lit(path), "sha256": F.lit(digest), "budget_remaining": F.lit(max(0.0, budget - row["epsilon"]))})
+            logs.write_receipts(dressed, f"{out_dir}/receipts")
+        except Exception:
+            L.withdraw(spark, f"{out_dir}/ledger", claim)
+            raise
     logs.append_json(logs.audit_record(final), f"{out_dir}/audit")
     history_rows = table.select(F.col("model").alias("model_key"), "reward", "privacy", "utility", "realism", "diversity", "epsilon", "dataset", "released", "failure_reasons", F.col("n_rows").alias("meta_rows"), F.col("n_cols").alias("meta_cols"),
                                 (L.moment() + F.col("attempt")).alias("seq"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from twinloom.operators.ledger import SCHEMA, SPEND
+from twinloom.operators.ledger import SCHEMA, SPEND, WITHDRAW
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
@@ -14,8 +14,10 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spend_by_dataset(stream: DataFrame) -> DataFrame:
-    """One small state row per dataset; works on a batch ledger as well."""
-    return stream.where(F.col("kind") == SPEND).groupBy("dataset").agg(F.count(F.lit(1)).alias("entries"), F.sum("epsilon").alias("consumed"))
+    """One small state row per dataset; works on a batch ledger as well. What is withdrawn is taken off again."""
+    spent = F.col("kind") == SPEND
+    amounts = F.sum(F.when(spent, F.col("epsilon")).otherwise(-F.col("epsilon")))
+    return stream.where(F.col("kind").isin(SPEND, WITHDRAW)).groupBy("dataset").agg(F.count(F.when(spent, 1)).alias("entries"), amounts.alias("consumed"))
 
 
 def follow(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
