@@ -1,19 +1,21 @@
-"""Utility and leakage scores that fit a model: train on synthetic rows, test on real rows (pyspark.ml)."""
+"""Utility and leakage scores that fit a model: train on synthetic rows, test on real rows.
+
+Forests are those of ``operators/trees.py``; the text classifier is ``pyspark.ml``'s.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinloom.functions import pairs
 from twinloom.functions.pairs import REAL, SIDE, SYNTH
 from twinloom.functions.scalars import clip
-from twinloom.operators import attacks, compare
+from twinloom.operators import attacks, compare, trees as forests
 from twinloom.operators.prepare import label_codes
 from twinloom.operators.text import tokens
 from twinloom.session import cut
@@ -36,15 +38,19 @@ def tstr_baseline(real: DataFrame, target: str) -> DataFrame:
         (0.5 * (F.max("n") / F.sum("n")) + 0.5 / F.count(F.lit(1))).alias("baseline"))
 
 
-def encode_features(pair: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
-    """Numbers as they are, everything else as the code of its text in the joint sorted order of both sides."""
-    out = pair
-    for c, t in pair.dtypes:
-        if c in cols and not pairs.is_numeric(t):
-            codes = label_codes(pair, c).select(F.col("value").alias("_v"), F.col("code").alias(f"_code_{c}"))
+def encode_features(pair: DataFrame, cols: list[str], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """Numbers as they are (missing and NaN as 0), everything else as the code of its text in the joint sorted order of both
+    sides; with the names of the new columns."""
+    out, feats = pair, []
+    for i, (c, t) in enumerate([(c, t) for c, t in pair.dtypes if c in cols]):
+        if pairs.is_numeric(t):
+            x = F.nanvl(F.col(c).cast("double"), F.lit(0.0))
+        else:
+            codes = label_codes(pair, c).select(F.col("value").alias("_v"), F.col("code").alias(f"_code_{i}"))
             out = out.join(codes, out[c].cast("string") == F.col("_v"), "left").drop("_v")
-    feats = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f_{c}") if pairs.is_numeric(t) else F.col(f"_code_{c}").cast("double").alias(f"f_{c}") for c, t in pair.dtypes if c in cols]
-    return VectorAssembler(inputCols=[f"f_{c}" for c in pair.columns if c in cols], outputCol="features").transform(out.select(*keep, *feats)).select(*keep, "features")
+            x = F.col(f"_code_{i}").cast("double")
+        feats.append(F.coalesce(x, F.lit(0.0)).alias(f"f{i}"))
+    return out.select(*keep, *feats), [f"f{i}" for i in range(len(feats))]
 
 
 def _row(df: DataFrame, **values) -> DataFrame:
@@ -73,13 +79,8 @@ def _accuracy(model, real: DataFrame) -> float:
 
 def forest_accuracy(pair: DataFrame, target: str, cols: list[str], trees: int, depth: int, seed: int = 42) -> float | None:
     """Accuracy on real rows of a forest fitted on synthetic rows; None when the synthetic side has one class only."""
-    data = cut(encode_features(_labelled(pair, target), cols, [SIDE, "label"]))
-    train, test = data.where(F.col(SIDE) == SYNTH), data.where(F.col(SIDE) == REAL)
-    classes = train.select("label").where("label is not null").distinct().count()
-    if classes < 2:
-        return None
-    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features")
-    return _accuracy(rf.fit(train), test)
+    data, feats = encode_features(_labelled(pair, target), cols, [SIDE, "label"])
+    return forests.accuracy(cut(data.withColumn("y", F.col("label").cast("long"))), feats, trees, depth, seed)
 
 
 def tstr(pair: DataFrame, target: str | None, modality: str = "tabular", trees: int = 100, depth: int = 8) -> DataFrame:
@@ -112,12 +113,9 @@ def tstr_regression(pair: DataFrame, target: str, trees: int = 100, depth: int =
     neutral = _row(pair, method="regression", metric=F.lit(None).cast("double"), baseline=F.lit(None).cast("double"), score=NEUTRAL)
     if not cols or n_synth < 20 or n_real < 10:
         return neutral
-    data = cut(encode_features(clean.withColumn("label", F.col(target).cast("double")), cols, [SIDE, "label"]))
-    rf = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=42, featureSubsetStrategy="all", labelCol="label", featuresCol="features")
-    scored = rf.fit(data.where(F.col(SIDE) == SYNTH)).transform(data.where(F.col(SIDE) == REAL))
-    err = F.sum((F.col("label") - F.col("prediction")) ** 2)
-    r2 = scored.agg((1 - err / (F.nullif(F.var_pop("label"), F.lit(0.0)) * F.count(F.lit(1)))).alias("r2"))
-    return r2.select(F.lit("regression").alias("method"), F.col("r2").alias("metric"), F.lit(None).cast("double").alias("baseline"), clip((F.coalesce("r2", F.lit(0.0)) + 1) / 2).alias("score"))
+    data, feats = encode_features(clean.withColumn("label", F.col(target).cast("double")), cols, [SIDE, "label"])
+    r2 = F.lit(forests.r_squared(cut(data), feats, trees, depth)).cast("double")
+    return _row(pair, method="regression", metric=r2, baseline=F.lit(None).cast("double"), score=clip((F.coalesce(r2, F.lit(0.0)) + 1) / 2))
 
 
 def longest_text(real: DataFrame, target: str) -> str | None:

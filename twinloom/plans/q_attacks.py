@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twinloom.functions.scalars import r6
 from twinloom.operators import attacks, generate as G, prepare, utility
-from twinloom.plans import views as V
+from twinloom.plans import forest_sql as S, views as V
 from twinloom.plans.q_compare import rounded
 from twinloom.plans.q_generate import stats_sql, numeric_sql
 from twinloom.plans.q_tables import u_sql
@@ -95,13 +95,30 @@ def grid_sql():
 SQL["epsilon_grid"] = grid_sql()
 
 
-# ---- model-based scores: no SQL says them; property tests check them
-def orders_features(s, d):
-    return V.orders_pair(s, d).drop("o_orderdate")
+# ---- model-based scores
+ORDER_COLS = [c for c, _ in V.columns_of("orders")]
+ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 
-QUERIES["tstr_classification"] = lambda s, d: utility.tstr_classification(orders_features(s, d), "o_orderstatus")
-QUERIES["tstr_regression"] = lambda s, d: utility.tstr_regression(orders_features(s, d), "o_totalprice", trees=100)
+def class_sql(view_sql, view, target, numbers, order, trees, depth):
+    """CTEs up to ``acc`` (a): the accuracy of a forest fitted on a view's synthetic side."""
+    return f"with {view_sql}, {S.data_sql(view, target, numbers, [], order)}, {S.forest_sql(len(order), trees, depth)}, {S.accuracy_sql()}"
+
+
+def baseline_sql(view, target):
+    return f"base as (select count(*) k, max(n)/sum(n) mj, 0.5*(max(n)/sum(n))+0.5/count(*) b from (select {target}, count(*) n from {view} where side='real' group by 1))"
+
+
+LIFT = "case when a<=b then least(0.4,a/(b+1e-6)*0.4) else 0.4+0.6*(a-b)/(1-b+1e-6) end"
+
+QUERIES["tstr_classification"] = lambda s, d: rounded(utility.tstr_classification(V.orders_pair(s, d), "o_orderstatus"), "metric", "baseline", "score")
+SQL["tstr_classification"] = class_sql(V.ORDERS_PAIR_SQL, "orders_pair", "o_orderstatus", ORDER_NUMBERS, [c for c in ORDER_COLS if c != "o_orderstatus"], 100, 8) + f""",
+ {baseline_sql('orders_pair', 'o_orderstatus')} select 'classification' "method", round(a,6) metric, round(b,6) baseline, round({LIFT},6) score from acc, base"""
+
+QUERIES["tstr_regression"] = lambda s, d: rounded(utility.tstr_regression(V.orders_pair(s, d), "o_totalprice", trees=100), "metric", "score")
+REST = [c for c in ORDER_COLS if c != "o_totalprice"]
+SQL["tstr_regression"] = f"""with {V.ORDERS_PAIR_SQL}, {S.data_sql('orders_pair', 'o_totalprice', ORDER_NUMBERS, [], REST, classes=False)}, {S.regression_sql(len(REST), 100, 8)}
+ select 'regression' "method", round(r2,6) metric, null::double baseline, round(greatest(0,least(1,(r2+1)/2)),6) score from fit"""
 
 
 def docs_pair(s, d):
@@ -110,8 +127,14 @@ def docs_pair(s, d):
 
 QUERIES["tstr_text"] = lambda s, d: utility.tstr_text(docs_pair(s, d), "lang")
 QUERIES["utility"] = lambda s, d: utility.utility(V.customer_pair(s, d), "c_mktsegment")
-QUERIES["attribute_leak"] = lambda s, d: utility.attribute_leak(V.orders_pair(s, d), "o_orderpriority")
-QUERIES["tstr_fast"] = lambda s, d: utility.tstr_fast(V.orders_pair(s, d), "o_orderstatus")
+QUERIES["attribute_leak"] = lambda s, d: rounded(utility.attribute_leak(V.orders_pair(s, d), "o_orderpriority"), "safety_score", "advantage", "accuracy", "baseline")
+SQL["attribute_leak"] = class_sql(V.ORDERS_PAIR_SQL, "orders_pair", "o_orderpriority", ORDER_NUMBERS, ORDER_NUMBERS, 50, 5) + f""", {baseline_sql('orders_pair', 'o_orderpriority')}
+ select round(greatest(0,least(1,1-greatest(a-mj,0)/0.25)),6) safety_score, round(greatest(a-mj,0),6) advantage, round(a,6) accuracy, round(mj,6) baseline from acc, base"""
+
+QUERIES["tstr_fast"] = lambda s, d: rounded(utility.tstr_fast(V.orders_pair(s, d), "o_orderstatus"), "accuracy", "score")
+SQL["tstr_fast"] = class_sql(V.ORDERS_PAIR_SQL, "orders_pair", "o_orderstatus", ORDER_NUMBERS, ORDER_NUMBERS, 20, 4) + f""", {baseline_sql('orders_pair', 'o_orderstatus')}
+ select round(a,6) accuracy, round(case when a>mj then (a-mj)/(1-mj+1e-6) else 0 end,6) score from acc, base"""
+
 QUERIES["privacy"] = lambda s, d: utility.privacy(V.customer_pair(s, d), "c_custkey", "c_mktsegment", ALL)
 
 
