@@ -83,7 +83,7 @@ TABLE = [thresholds(n) for n in range(1, EXACT + 1)]
 def weights(h: np.ndarray, n: np.ndarray, a: int, b: int) -> np.ndarray:
     u = (h * a + b) % PRIME
     root = np.floor(np.sqrt(3.0 * n)).astype(np.int64)
-    out = n - root + 2 * u * root // PRIME
+    out = n - root + (2 * u * root + PRIME // 2) // PRIME
     for k in np.unique(n[n <= EXACT]):
         at = n == k
         out[at] = np.searchsorted(TABLE[k - 1], u[at], side="right")
@@ -122,12 +122,13 @@ def _matrix(b: pa.RecordBatch, width: int) -> np.ndarray:
     return b.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-SUMS = "tree long, feature long, node long, bin long, y long, w long, s long"
+#: ``cell`` numbers (tree, feature, node, bin); one number instead of four keeps the shuffle narrow
+SUMS = "cell long, y long, w long, s long"
 
 
 def _histogram(forest: Forest, level: int, mixed: list, masks: np.ndarray, numeric: bool):
-    """Tasks: partial sums of one level, a row for each (tree, feature, node, bin, label) of a batch."""
-    width = len(forest.cuts)
+    """Tasks: partial sums of one level, a row for each (cell, label) of a batch."""
+    width, size = len(forest.cuts), forest.feature.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,46 +139,44 @@ def _histogram(forest: Forest, level: int, mixed: list, masks: np.ndarray, numer
                 live = (w > 0) & (node >= 2**level)
                 for f in range(width):
                     pick = np.flatnonzero(live & masks[t, np.where(live, node - 2**level, 0), f])
-                    found.append(_summed(t, f, node[pick], bins[pick, f], label[pick], w[pick], w[pick] * y[pick]))
+                    cell = ((t * width + f) * size + node[pick]) * BINS + bins[pick, f]
+                    found.append(_summed(cell, label[pick], w[pick], w[pick] * y[pick]))
             yield _batch(found)
 
     return run
 
 
 def _leaves(forest: Forest, mixed: list, numeric: bool):
-    """Tasks: partial sums of what the leaves hold."""
-    width = len(forest.cuts)
+    """Tasks: partial sums of what the leaves hold; ``cell`` is tree and node."""
+    width, size = len(forest.cuts), forest.feature.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bins, (h, n, y) = _matrix(b, width), (b.column(c).to_numpy() for c in ("h", "n", "y"))
-            none, found = np.zeros(len(y), np.int64), []
+            label, found = np.zeros(len(y), np.int64) if numeric else y, []
             for t, (p, q) in enumerate(mixed):
                 w = weights(h, n, p, q)
                 pick = np.flatnonzero(w > 0)
-                node = forest.nodes(bins[pick], t)
-                found.append(_summed(t, 0, node, none[pick], none[pick] if numeric else y[pick], w[pick], w[pick] * y[pick]))
+                found.append(_summed(t * size + forest.nodes(bins[pick], t), label[pick], w[pick], w[pick] * y[pick]))
             yield _batch(found)
 
     return run
 
 
-def _summed(tree, feature, node, bins, label, w, s) -> np.ndarray:
-    order = np.lexsort((label, bins, node))
-    cell = np.stack([node, bins, label])[:, order]
+def _summed(cell: np.ndarray, label: np.ndarray, w: np.ndarray, s: np.ndarray) -> np.ndarray:
+    order = np.lexsort((label, cell))
     if not len(order):
-        return np.zeros((7, 0), np.int64)
-    first = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(0)])
-    fixed = np.empty((2, len(first)), np.int64)
-    fixed[0], fixed[1] = tree, feature
-    return np.vstack([fixed, cell[:, first], np.add.reduceat(w[order], first), np.add.reduceat(s[order], first)])
+        return np.zeros((4, 0), np.int64)
+    cell, label = cell[order], label[order]
+    first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (label[1:] != label[:-1])])
+    return np.stack([cell[first], label[first], np.add.reduceat(w[order], first), np.add.reduceat(s[order], first)])
 
 
 def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.hstack(found)], names=["tree", "feature", "node", "bin", "y", "w", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.hstack(found)], names=["cell", "y", "w", "s"])
 
 
-def _cuts_of_group(numeric: bool):
+def _cuts_of_group(width: int, size: int, numeric: bool):
     """The best cut of every node of one (tree, feature), where one betters the node."""
 
     def score(w, s):
@@ -185,10 +184,12 @@ def _cuts_of_group(numeric: bool):
         return s.sum(2) ** 2 / n if numeric else (w * w).sum(2) / n
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        nodes, at = np.unique(g["node"].to_numpy(), return_inverse=True)
+        tree, feature = divmod(int(g["cell"].iloc[0]) // (size * BINS), width)
+        node, b = np.divmod(g["cell"].to_numpy() % (size * BINS), BINS)
+        nodes, at = np.unique(node, return_inverse=True)
         labels, y = np.unique(g["y"].to_numpy(), return_inverse=True)
         order = np.argsort(at, kind="stable")
-        at, y, b, w, s = at[order], y[order], *(g[c].to_numpy()[order] for c in ("bin", "w", "s"))
+        at, y, b, w, s = at[order], y[order], b[order], *(g[c].to_numpy()[order] for c in ("w", "s"))
         n_bins, out = int(b.max()) + 1, []
         step = max(1, VOTES // (n_bins * len(labels)))
         for lo in range(0, len(nodes), step):
@@ -204,7 +205,7 @@ def _cuts_of_group(numeric: bool):
             top = both[np.arange(len(both)), best]
             good = np.flatnonzero(top > both[:, -1])
             out.append(pd.DataFrame({"node": nodes[lo + good], "at": best[good], "score": top[good]}))
-        return pd.concat(out).assign(tree=g["tree"].iloc[0], feature=g["feature"].iloc[0])[["tree", "node", "feature", "at", "score"]]
+        return pd.concat(out).assign(tree=tree, feature=feature)[["tree", "node", "feature", "at", "score"]]
 
     return run
 
@@ -221,15 +222,15 @@ def fit(data: DataFrame, cols: list[str], trees: int, depth: int, numeric: bool
     cells = cut(cells.repartition(ordered.width(data.sparkSession), "h"))
     width, mixed = len(cols), mixers(trees, seed)
     k = width if numeric or trees == 1 else math.isqrt(width - 1) + 1
-    forest = Forest(cuts, np.full((trees, 2 ** (depth + 1)), -1), np.full((trees, 2 ** (depth + 1)), -1), [])
+    size = 2 ** (depth + 1)
+    forest = Forest(cuts, np.full((trees, size), -1), np.full((trees, size), -1), [])
     open_nodes = [(t, 1) for t in range(trees)]
     for level in range(depth):
         masks = np.zeros((trees, 2**level, width), bool)
         for t, node in open_nodes:
             masks[t, node - 2**level, offered(seed, t, node, width, k)] = True
-        partial = cells.mapInArrow(_histogram(forest, level, mixed, masks, numeric), SUMS)
-        hist = partial.groupBy("tree", "feature", "node", "bin", "y").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
-        splits = hist.groupBy("tree", "feature").applyInPandas(_cuts_of_group(numeric), "tree long, node long, feature long, at long, score double")
+        hist = cells.mapInArrow(_histogram(forest, level, mixed, masks, numeric), SUMS).groupBy("cell", "y").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+        splits = hist.groupBy(F.expr(f"cell div {size * BINS}")).applyInPandas(_cuts_of_group(width, size, numeric), "tree long, node long, feature long, at long, score double")
         best = splits.groupBy("tree", "node").agg(F.max_by(F.struct("feature", "at"), F.struct("score", -F.col("feature"))).alias("b"))
         open_nodes = []
         for r in best.select("tree", "node", "b.*").collect():
@@ -237,9 +238,10 @@ def fit(data: DataFrame, cols: list[str], trees: int, depth: int, numeric: bool
             open_nodes += [(r["tree"], 2 * r["node"]), (r["tree"], 2 * r["node"] + 1)]
         if not open_nodes:
             break
-    sums = cells.mapInArrow(_leaves(forest, mixed, numeric), SUMS).groupBy("tree", "node", "y").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
-    rows = np.array([tuple(r) for r in sums.orderBy("tree", "node", "y").collect()], np.int64).reshape(-1, 5)
-    forest.held = [tuple(rows[rows[:, 0] == t, 1:].T) for t in range(trees)]
+    sums = cells.mapInArrow(_leaves(forest, mixed, numeric), SUMS).groupBy("cell", "y").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    rows = np.array(sorted(tuple(r) for r in sums.collect()), np.int64).reshape(-1, 4)
+    tree, node = np.divmod(rows[:, 0], size)
+    forest.held = [(node[tree == t], *rows[tree == t, 1:].T) for t in range(trees)]
     return forest
 
 

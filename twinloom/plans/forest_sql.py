@@ -7,7 +7,7 @@ import math
 from twinloom.operators import trees as T
 
 
-def data_sql(view: str, target: str, numbers: list[str], texts: list[str], order: list[str], classes: bool = True) -> str:
+def data_sql(view: str, target: str, numbers: list[str], order: list[str], classes: bool = True) -> str:
     """``data`` (rid, side, y or label, f0, f1, ...) of a view's rows; texts and classes as codes of their joint sorted order."""
     code = lambda c: f"(dense_rank() over (order by {c}::varchar) - 1)"
     feats = ", ".join((f"coalesce({c}::double, 0)" if c in numbers else f"{code(c)}::double") + f" f{i}" for i, c in enumerate(order))
@@ -31,7 +31,7 @@ def forest_sql(n_cols: int, trees: int, depth: int, numeric: bool = False, seed:
     table = ", ".join(str(x) for x in T.TABLE)
     out.append(f"drawn as (select t, {names}, y, n, (h*a+b) % {T.PRIME} u, floor(sqrt(3.0*n))::bigint r from cells, trees)")
     out.append(
-        f"rows0 as materialized (select * from (select t, 1::bigint node, {names}, y, case when n > {T.EXACT} then n - r + 2*u*r//{T.PRIME}"
+        f"rows0 as materialized (select * from (select t, 1::bigint node, {names}, y, case when n > {T.EXACT} then n - r + (2*u*r+{T.PRIME // 2})//{T.PRIME}"
         f" else len(list_filter(([{table}])[n], lambda x: x <= u))::bigint end w from drawn) where w > 0)")
     out.append(f"walk0 as (select rid, t, 1::bigint node, {names} from binned, trees where side='real')")
     for d in range(depth):

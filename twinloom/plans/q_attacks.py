@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinloom.functions.scalars import r6
 from twinloom.operators import attacks, generate as G, prepare, utility
 from twinloom.plans import forest_sql as S, views as V
-from twinloom.plans.q_compare import rounded
+from twinloom.plans.q_compare import CAT_JSD, cdf_sql, counts_sql, rounded
 from twinloom.plans.q_generate import stats_sql, numeric_sql
 from twinloom.plans.q_tables import u_sql
 from twinloom.sources import tables as T
@@ -102,7 +102,7 @@ ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 def class_sql(view_sql, view, target, numbers, order, trees, depth):
     """CTEs up to ``acc`` (a): the accuracy of a forest fitted on a view's synthetic side."""
-    return f"with {view_sql}, {S.data_sql(view, target, numbers, [], order)}, {S.forest_sql(len(order), trees, depth)}, {S.accuracy_sql()}"
+    return f"with {view_sql}, {S.data_sql(view, target, numbers, order)}, {S.forest_sql(len(order), trees, depth)}, {S.accuracy_sql()}"
 
 
 def baseline_sql(view, target):
@@ -117,7 +117,7 @@ SQL["tstr_classification"] = class_sql(V.ORDERS_PAIR_SQL, "orders_pair", "o_orde
 
 QUERIES["tstr_regression"] = lambda s, d: rounded(utility.tstr_regression(V.orders_pair(s, d), "o_totalprice", trees=100), "metric", "score")
 REST = [c for c in ORDER_COLS if c != "o_totalprice"]
-SQL["tstr_regression"] = f"""with {V.ORDERS_PAIR_SQL}, {S.data_sql('orders_pair', 'o_totalprice', ORDER_NUMBERS, [], REST, classes=False)}, {S.regression_sql(len(REST), 100, 8)}
+SQL["tstr_regression"] = f"""with {V.ORDERS_PAIR_SQL}, {S.data_sql('orders_pair', 'o_totalprice', ORDER_NUMBERS, REST, classes=False)}, {S.regression_sql(len(REST), 100, 8)}
  select 'regression' "method", round(r2,6) metric, null::double baseline, round(greatest(0,least(1,(r2+1)/2)),6) score from fit"""
 
 
@@ -126,7 +126,14 @@ def docs_pair(s, d):
 
 
 QUERIES["tstr_text"] = lambda s, d: utility.tstr_text(docs_pair(s, d), "lang")
-QUERIES["utility"] = lambda s, d: utility.utility(V.customer_pair(s, d), "c_mktsegment")
+QUERIES["utility"] = lambda s, d: rounded(utility.utility(V.customer_pair(s, d), "c_mktsegment"), "tstr", "wasserstein", "jsd", "utility")
+FEATURES, TEXTS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]
+SQL["utility"] = f"""with t as ({class_sql(V.CUSTOMER_PAIR_SQL, 'customer_pair', 'c_mktsegment', ALL, FEATURES, 100, 8)}, {baseline_sql('customer_pair', 'c_mktsegment')} select {LIFT} t from acc, base),
+ w as ({cdf_sql(V.CUSTOMER_PAIR_SQL, 'customer_pair', ALL)} select avg(greatest(0,least(1,1-0.5*w1/(p99-p01)))) w from dist d join pct p on d."column"=p."column"
+  where n_r>=2 and n_s>=2 and p99-p01>=1e-6 and not (d."column" in ('c_custkey','c_nationkey') and distinct_r > 0.9*n_r)),
+ j as ({counts_sql(V.CUSTOMER_PAIR_SQL, 'customer_pair', TEXTS)}{CAT_JSD} select avg(1-distance) j from jsd)
+ select round(t,6) tstr, round(w,6) wasserstein, round(j,6) jsd, round(0.5*t+0.3*w+0.2*j,6) utility from t, w, j"""
+
 QUERIES["attribute_leak"] = lambda s, d: rounded(utility.attribute_leak(V.orders_pair(s, d), "o_orderpriority"), "safety_score", "advantage", "accuracy", "baseline")
 SQL["attribute_leak"] = class_sql(V.ORDERS_PAIR_SQL, "orders_pair", "o_orderpriority", ORDER_NUMBERS, ORDER_NUMBERS, 50, 5) + f""", {baseline_sql('orders_pair', 'o_orderpriority')}
  select round(greatest(0,least(1,1-greatest(a-mj,0)/0.25)),6) safety_score, round(greatest(a-mj,0),6) advantage, round(a,6) accuracy, round(mj,6) baseline from acc, base"""
@@ -135,7 +142,10 @@ QUERIES["tstr_fast"] = lambda s, d: rounded(utility.tstr_fast(V.orders_pair(s, d
 SQL["tstr_fast"] = class_sql(V.ORDERS_PAIR_SQL, "orders_pair", "o_orderstatus", ORDER_NUMBERS, ORDER_NUMBERS, 20, 4) + f""", {baseline_sql('orders_pair', 'o_orderstatus')}
  select round(a,6) accuracy, round(case when a>mj then (a-mj)/(1-mj+1e-6) else 0 end,6) score from acc, base"""
 
-QUERIES["privacy"] = lambda s, d: utility.privacy(V.customer_pair(s, d), "c_custkey", "c_mktsegment", ALL)
+QUERIES["privacy"] = lambda s, d: rounded(utility.privacy(V.customer_pair(s, d), "c_custkey", "c_mktsegment", ALL), "mia", "singling", "leak", "privacy")
+LEAK = class_sql(V.CUSTOMER_PAIR_SQL, "customer_pair", "c_mktsegment", ALL, ALL, 50, 5) + f", {baseline_sql('customer_pair', 'c_mktsegment')} select greatest(0,least(1,1-greatest(a-mj,0)/0.25)) l from acc, base"
+SQL["privacy"] = f"""with m as ({SQL['mia'].replace(',6)', ',15)')}), s as ({SQL['singling_out'].replace(',6)', ',15)')}), l as ({LEAK})
+ select round(m.privacy_score,6) mia, round(s.safety_score,6) singling, round(l,6) leak, round((m.privacy_score+s.safety_score+l)/3,6) privacy from m, s, l"""
 
 
 def epsilon_sweep(s, d):
