@@ -470,3 +470,66 @@ def test_token_files_keep_the_training_order(spark, tmp_path):
     sorted_rows.repartitionByRange(9, F.hash("doc_id"), "doc_id").sortWithinPartitions(F.hash("doc_id"), "doc_id").write.parquet(f"{tmp_path}/sorted")
     for df in (spark.read.parquet(f"{tmp_path}/sorted"), sorted_rows):
         assert [r["doc_id"] for r in P.token_output(spark, df, FOLDER).orderBy("start").collect()] == want
+
+
+def brute_bootstrap(texts, rounds=pii.ROUNDS, support=pii.SUPPORT, enough=pii.BELIEVED):
+    """All spans of each text by dictionaries: the same rounds over the whole pattern-instance graph."""
+    found, edges = [], {}
+    for t in texts:
+        base = pii.base_spans(t)
+        found.append([(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in pii.near_spans(t, base)])
+        for k, s, e, seed in found[-1]:
+            for p in pii.contexts(t, s, e):
+                at = (p, k, pii.instance(k, t[s:e]))
+                edges[at] = edges.get(at, False) or seed
+    belief = {}
+    for (_, k, i), seed in edges.items():
+        belief[k, i] = max(belief.get((k, i), 0.0), float(seed))
+    for _ in range(rounds):
+        good, n_good, n, whole = {}, {}, {}, {}
+        for p, k, i in edges:
+            sure = belief[k, i] if belief[k, i] >= enough else 0.0
+            good[p, k] = good.get((p, k), 0.0) + sure
+            n_good[p, k] = n_good.get((p, k), 0) + (sure > 0)
+            whole[p] = whole.get(p, 0) + 1
+        fresh = {k: 0.0 for k in belief}
+        for (p, k, i), seed in edges.items():
+            if seed:
+                fresh[k, i] = 1.0
+            elif n_good[p, k] >= support and good[p, k] / whole[p] >= enough:
+                fresh[k, i] = max(fresh[k, i], good[p, k] / whole[p])
+        belief = fresh
+    return [sorted((k, s, e) for k, s, e, seed in rows if seed or belief[k, pii.instance(k, t[s:e])] >= enough) for t, rows in zip(texts, found)]
+
+
+def personal_texts(seed):
+    """Words that mostly announce numbers of one kind, words that announce anything, and a third of all texts alike."""
+    r = np.random.default_rng(seed)
+    digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    make = {
+        "ip": (lambda: ".".join(map(str, r.integers(0, 256, 4))), lambda: f"{r.integers(256, 999)}.{r.integers(0, 99)}.1.{r.integers(0, 99)}"),
+        "phone": (lambda: f"+{digits(2)} {digits(3)} {digits(5)}", lambda: f"{digits(3)} {digits(3)} {digits(4)}"),
+        "email": (lambda: f"u{digits(3)}@h{digits(2)}.org", lambda: f"u{digits(3)}@localhost{digits(2)}"),
+    }
+    out = []
+    for i in range(600):
+        kind = ["ip", "phone", "email"][i % 3]
+        word = f"{kind}{r.integers(0, 3)}" if r.random() < 0.8 else f"any{r.integers(0, 2)}"
+        known = r.random() < (0.95 if word.endswith("0") else 0.7)
+        end = r.choice([" now", ".", "", f" , said {r.choice(['x', 'y'])}"])
+        out.append(f"please {r.choice(['use', 'see'])} {word} {make[kind][0 if known else 1]()}{end}")
+    return out + ["please see phone0 555 010 9999 now"] * 300
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_bootstrap_against_brute_force(spark, docs, seed):
+    texts = personal_texts(seed) if seed else [r["text"] or "" for r in docs.collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_bootstrap(texts)
+    got = {r["doc_id"]: sorted((x["kind"], x["start"], x["end"]) for x in [*r["base"], *r["added"]]) for r in pii.spans(df.repartition(5)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    if seed:
+        base = sum(len(pii.base_spans(t)) for t in texts)
+        near = sum(len(pii.near_spans(t, pii.base_spans(t))) for t in texts)
+        # some candidates are added and some are not
+        assert base < sum(map(len, want)) < base + near
