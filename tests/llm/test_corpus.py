@@ -281,6 +281,7 @@ def test_bootstrap_finds_unseen_numbers(spark, odd):
     got = {r["doc_id"]: r for r in pii.reported(df).collect()}
     assert got[30]["spans"] == "card:15:34" and got[30]["n_card"] == 0
     assert got[31]["spans"] == "" and got[0]["n_card"] == 1
+    assert [got[i]["n_found"] for i in (0, 30, 31)] == [1, 1, 0]
     assert pii.reported(odd).count() == odd.count()
     assert pii.reported(df.limit(0)).count() == 0
 
@@ -310,6 +311,22 @@ def test_seeds_written_differently_are_found(spark):
     assert pii.instance(1, "1.23.4.5") != pii.instance(1, "12.3.4.5") and pii.instance(3, "+49 30 1") == pii.instance(3, "49-301")
 
 
+def test_secrets_are_added(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    texts = [f'left token = "{h}" right' for h in hexes[:9]]
+    texts += [f"API_KEY: {hexes[9]}.", f"password={hexes[10][:20]}", f'left token is "{hexes[11]}" right', f"commit {hexes[12]} of the tree", "token = short1", "token = " + "a" * 40, f"a secret: {hexes[13]} 1.2.3.4", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.reported(df).collect()}
+    found = {i: [t[slice(*map(int, x.split(":")[1:]))] for x in r["spans"].split(",") if x.startswith("secret")] for i, r in rows.items() for t in [texts[i] or ""]}
+    assert all(found[i] == [hexes[i]] for i in range(10)) and found[10] == [hexes[10][:20]] and found[15] == [hexes[13]]
+    assert [found[i] for i in (12, 13, 14, 16, 17)] == [[]] * 5
+    # secrets never count as base spans; those of an address stay
+    assert rows[15]["n_ip"] == 1 and rows[15]["n_found"] == 2
+    assert {r["base_sha256"] for i, r in rows.items() if i != 15} == {hashlib.sha256(b"").hexdigest()}
+    assert pii.secret_spans("token = " * 20_000 + "a1" * 50_000, [])
+    assert pii.near_spans("a1" * 50_000 + " " + "-_" * 50_000, []) == []
+
+
 def test_candidates_end_where_the_number_ends():
     for t in ["1.2.3.4.5", "256.1.1.1.5", "555-123-45678", "12-34-5", "123456", "1234567890123456789012"]:
         assert not [x for x in pii.near_spans(t, []) if x[0] in (1, 3)], t
@@ -476,8 +493,8 @@ def brute_bootstrap(texts, rounds=pii.ROUNDS, support=pii.SUPPORT, enough=pii.BE
     """All spans of each text by dictionaries: the same rounds over the whole pattern-instance graph."""
     found, edges = [], {}
     for t in texts:
-        base = pii.base_spans(t)
-        found.append([(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in pii.near_spans(t, base)])
+        sure = pii.seed_spans(t)
+        found.append([(k, s, e, True) for k, s, e in sure] + [(k, s, e, False) for k, s, e in pii.near_spans(t, sure)])
         for k, s, e, seed in found[-1]:
             for p in pii.contexts(t, s, e):
                 at = (p, k, pii.instance(k, t[s:e]))

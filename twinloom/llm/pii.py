@@ -9,6 +9,9 @@ believed to be of the kind, given ``SUPPORT`` different believed ones; an instan
 say. Candidates that good patterns hold are added, and those that are a seed of another place, written differently. A pattern that also holds many other things scores low, so
 clean texts gain nothing.
 
+Secrets are a kind of the method's own, listed after the four: a long value of letters and digits that is assigned to a name
+such as ``token`` or ``api_key`` is a seed, other long words of letters and digits are candidates. They are added spans, never base ones.
+
 Texts never move; edges of the graph are combined before each shuffle, and a word that precedes a third of all instances
 is a key of partial sums or of a join that Spark may split. NULL and empty texts have no spans. Repeated rows and NULL
 ids are kept apart by a row number that is written once. Texts without spaces and very long texts take linear time.
@@ -26,6 +29,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from twinloom.session import cut
 
 KINDS = ["email", "ip", "card", "phone"]
+#: With the kind that only the method adds.
+NAMES = [*KINDS, "secret"]
+SECRET = len(KINDS)
 ROUNDS = 3
 SUPPORT = 5
 BELIEVED = 0.8
@@ -42,7 +48,11 @@ NEAR = {
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){3}(?!\.?[0-9])"),
     "card": re.compile(r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){11,19}+(?![0-9-])"),
     "phone": re.compile(r"(?<![0-9(.+-])(?:(?:\([0-9]{2,4}\)[\x20.-]?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}|[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){2,4})(?![.-]?[0-9])|[0-9]{7,15}+(?![.-]?[0-9]))"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,512}+(?![A-Za-z0-9_-])"),
 }
+#: A value that something is assigned to, and the names that make it a secret.
+ASSIGNED = re.compile(r"[=:]>?[\x20\t]{0,3}[\"']?([A-Za-z0-9+/_=.-]{16,512}+)")
+SECRET_NAME = re.compile(r"(?:token|secret|passwd|password|passphrase|credential|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key)s?[\"']?[\x20\t]{0,3}$", re.IGNORECASE)
 WORD = re.compile(r"\S+")
 
 
@@ -84,15 +94,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def mixed(value: str) -> bool:
+    """Letters and digits both."""
+    return any("0" <= c <= "9" for c in value) and any("a" <= c <= "z" or "A" <= c <= "Z" for c in value)
+
+
+def secret_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Values assigned to the name of a secret that touch no span already taken."""
+    out = []
+    for m in ASSIGNED.finditer(text):
+        if mixed(m.group(1)) and SECRET_NAME.search(text[max(0, m.start() - 24) : m.start()]):
+            s, e = m.start(1), m.start(1) + len(m.group(1).rstrip("."))
+            if not any(a < e and s < b for _, a, b in taken):
+                out.append((SECRET, s, e))
+    return out
+
+
+def seed_spans(text: str) -> list[tuple[int, int, int]]:
+    """What the bootstrap starts from: base spans, then secrets."""
+    base = base_spans(text)
+    return base + secret_spans(text, base)
+
+
 def near_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Strings of nearly a kind's shape that touch no base span and not each other (kinds as listed go first)."""
+    """Strings of nearly a kind's shape that touch no seed and not each other (kinds as listed go first)."""
     busy = sorted((s, e) for _, s, e in taken)
     out = []
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(NAMES):
         if kind == "email" and "@" not in text:
             continue
         for m in NEAR[kind].finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in busy):
+            if (k != SECRET or mixed(m.group())) and not any(s < m.end() and m.start() < e for s, e in busy):
                 out.append((k, m.start(), m.end()))
         busy = sorted(busy + [(s, e) for j, s, e in out if j == k])
     return out
@@ -113,7 +145,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 def instance(kind: int, value: str) -> int:
     """A number that stands for a string: strings themselves are not written. The dots of an address tell it from others."""
-    plain = value.lower() if kind < 2 else digits_of(value)
+    plain = value if kind == SECRET else value.lower() if kind < 2 else digits_of(value)
     return int.from_bytes(hashlib.blake2b(f"{kind} {plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -129,8 +161,8 @@ def located(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for b in batches:
             found = []
             for t in b.column("t").to_pylist():
-                base = base_spans(t)
-                rows = [(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in near_spans(t, base)]
+                sure = seed_spans(t)
+                rows = [(k, s, e, True) for k, s, e in sure] + [(k, s, e, False) for k, s, e in near_spans(t, sure)]
                 found.append(
                     [{"kind": k, "start": s, "end": e, "seed": seed, "instance": instance(k, t[s:e]), "patterns": contexts(t, s, e)} for k, s, e, seed in rows]
                 )
@@ -173,20 +205,24 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     cand = found.where(F.exists("found", lambda f: ~f["seed"])).select("row", F.explode("found").alias("f")).where("not f.seed")
     took = cand.select("row", "f.kind", "f.instance", "f.start", "f.end").join(new, ["kind", "instance"])
     more = took.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
-    out = found.select("row", F.col("id").alias(key), F.sort_array(pick(lambda f: f["seed"])).alias("base")).join(more, "row", "left")
-    return out.select(key, "base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")).alias("added"))
+    own = found.select(
+        "row", F.col("id").alias(key), F.sort_array(pick(lambda f: f["seed"] & (f["kind"] < SECRET))).alias("base"), pick(lambda f: f["seed"] & (f["kind"] == SECRET)).alias("secrets"))
+    out = own.join(more, "row", "left")
+    return out.select(key, "base", F.sort_array(F.concat("secrets", F.coalesce("added", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))).alias("added"))
 
 
 def listed(found: Column) -> Column:
     """kind:start:end, comma-joined, of sorted spans."""
-    name = F.array(*[F.lit(k) for k in KINDS])
+    name = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(found, lambda f: F.concat_ws(":", F.element_at(name, f["kind"] + 1), f["start"], f["end"])), ",")
 
 
 def reported(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of the base spans, and all spans."""
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found): counts and digest of the base spans, all spans, and
+    how many they are, added ones included; a document holds personal data as far as this tells if ``n_found`` is above 0."""
     held = spans(docs, key, text)
     kinds = F.transform("base", lambda f: f["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     both = F.sort_array(F.concat("base", "added"))
-    return held.select(key, *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(both).alias("spans"))
+    total = F.size(both).cast("long").alias("n_found")
+    return held.select(key, *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(both).alias("spans"), total)
