@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinloom.functions import ordered, pairs, rng
+from twinloom.functions.blocks import matrix, summed
 from twinloom.functions.scalars import clip
+from twinloom.session import cut
 
 ONE_HOT_NAME = r"^(.+)_([^_]+)$"
 SMALL_VOCABULARY = 100_000
@@ -186,33 +189,67 @@ def split_stratified(df: DataFrame, key: str, target: str, train: float = 0.7, s
     return r.withColumn("part", F.when((F.col("rn") - 1) / F.col("_n_c") < train, "train").otherwise("holdout")).drop("rn", "_n_c")
 
 
+#: Directions searched beside twice the wanted ones; gain of captured variance, as a share of it, below which the search ends.
+SPARE, GAIN, PASSES = 10, 1e-11, 300
+
+
 @dataclass(frozen=True)
 class Compressor:
-    """Principal components of wide numeric tables; the model is at most (columns x components) numbers."""
+    """Principal components of wide numeric tables, by subspace iteration.
+
+    A pass multiplies the covariance with a set of directions inside the tasks, without forming it: only (columns x directions)
+    sums leave them. There are twice the wanted directions and ten more; up to so many columns the first pass is exact, beyond
+    that passes go on until the captured variance stops growing. The driver holds these directions and a matrix of their
+    products, nothing of columns x columns. Each component's largest weight is positive (ties: the first), so signs are
+    fixed. NULL counts as 0. Without rows, or without spread, any directions do, and the means are what there is.
+    """
 
     cols: list[str]
-    model: object
+    directions: np.ndarray
     means: list[float]
 
     @staticmethod
-    def fit(df: DataFrame, cols: list[str], components: int = 50) -> "Compressor":
-        view = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-        means = list(view.agg(*[F.avg(c) for c in cols]).first())
-        centred = view.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(cols, means)])
-        vec = VectorAssembler(inputCols=cols, outputCol="_vec").transform(centred)
-        return Compressor(cols, PCA(k=min(components, len(cols)), inputCol="_vec", outputCol="components").fit(vec), means)
+    def fit(df: DataFrame, cols: list[str], components: int = 50, seed: int = 42) -> "Compressor":
+        view = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)])
+        means = [m or 0.0 for m in view.agg(*[F.avg(f"x{i}") for i in range(len(cols))]).first()]
+        d, k = len(cols), min(components, len(cols))
+        wide = min(d, 2 * k + SPARE)
+        rows = view.select(F.array(*[F.col(f"x{i}") - F.lit(m) for i, m in enumerate(means)]).alias("x"))
+        rows = rows if wide == d else cut(rows)
+        q = np.eye(d) if wide == d else np.linalg.qr(np.random.default_rng(seed).normal(size=(d, wide)))[0]
+        before = -1.0
+        for _ in range(PASSES):
+
+            def product(batch: pa.RecordBatch, q: np.ndarray = q) -> np.ndarray:
+                x = matrix(batch, "x")
+                return (x.T @ (x @ q)).ravel()
+
+            z = summed(rows, d * wide, product).reshape(d, wide)
+            inner = q.T @ z
+            value, turn = np.linalg.eigh((inner + inner.T) / 2)
+            best = (q @ turn)[:, ::-1][:, :k]
+            captured = value[::-1][:k].sum()
+            if wide == d or captured - before <= GAIN * captured:
+                break
+            before, q = captured, np.linalg.qr(z)[0]
+        largest = best[np.abs(best).argmax(axis=0), np.arange(k)]
+        return Compressor(cols, best * np.where(largest < 0, -1.0, 1.0), means)
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        arr = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m) for c, m in zip(self.cols, self.means)])
-        out = self.model.transform(df.select(*keep, array_to_vector(arr).alias("_vec")))
-        return out.select(*keep, vector_to_array("components").alias("components"))
+        directions = self.directions
+
+        @F.pandas_udf("array<double>")
+        def projected(x: pd.Series) -> pd.Series:
+            return pd.Series(list(np.stack(x.to_list()) @ directions) if len(x) else [], dtype=object)
+
+        centred = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m) for c, m in zip(self.cols, self.means)])
+        return df.select(*keep, projected(centred).alias("components"))
 
     def inverse(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """Back to the original columns as one weighted sum per column."""
-        pc = self.model.pc.toArray()
         cols = []
         for i, c in enumerate(self.cols):
-            weights = F.array(*[F.lit(float(x)) for x in pc[i]])
+            weights = F.array(*[F.lit(float(x)) for x in self.directions[i]])
             dot = F.aggregate(F.zip_with("components", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
             cols.append((dot + F.lit(self.means[i])).alias(c))
         return df.select(*keep, *cols)

@@ -1,21 +1,20 @@
 """Utility and leakage scores that fit a model: train on synthetic rows, test on real rows.
 
-Forests are those of ``operators/trees.py``; the text classifier is ``pyspark.ml``'s.
+Forests are those of ``operators/trees.py``, the text classifier is that of ``operators/linear.py``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinloom.functions import pairs
 from twinloom.functions.pairs import REAL, SIDE, SYNTH
 from twinloom.functions.scalars import clip
-from twinloom.operators import attacks, compare, trees as forests
+from twinloom.operators import attacks, compare, linear, trees as forests
 from twinloom.operators.prepare import label_codes
 from twinloom.operators.text import tokens
 from twinloom.session import cut
@@ -73,10 +72,6 @@ def _labelled(pair: DataFrame, target: str) -> DataFrame:
     return pair.join(codes, pair[target].cast("string") == F.col("_y"), "left").drop("_y")
 
 
-def _accuracy(model, real: DataFrame) -> float:
-    return model.transform(real).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-
-
 def forest_accuracy(pair: DataFrame, target: str, cols: list[str], trees: int, depth: int, seed: int = 42) -> float | None:
     """Accuracy on real rows of a forest fitted on synthetic rows; None when the synthetic side has one class only."""
     data, feats = encode_features(_labelled(pair, target), cols, [SIDE, "label"])
@@ -129,7 +124,7 @@ def longest_text(real: DataFrame, target: str) -> str | None:
 
 
 def text_vectors(docs: DataFrame, text: str, keep: list[str], size: int = 500, min_df: int = 2) -> DataFrame:
-    """TF-IDF vectors over the ``size`` most frequent words and word pairs found in at least ``min_df`` texts.
+    """TF-IDF arrays (``features``) over the ``size`` most frequent words and word pairs found in at least ``min_df`` texts.
 
     The vocabulary is a top-k report: at most ``size`` terms reach the driver.
     """
@@ -144,20 +139,20 @@ def text_vectors(docs: DataFrame, text: str, keep: list[str], size: int = 500, m
     seen = spoken.select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
     vocab = seen.orderBy(F.desc("total"), "term").limit(size).collect()
     if not vocab:
-        return docs.select(*keep, array_to_vector(F.array(F.lit(0.0))).alias("features"))
+        return docs.select(*keep, F.array(F.lit(0.0)).alias("features"))
     n = docs.count()
     idf = F.array(*[F.lit(math.log((1 + n) / (1 + r["df"])) + 1) for r in vocab])
     cv = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], inputCol="grams", outputCol="counts")
     counted = cv.transform(spoken).select(*keep, vector_to_array("counts").alias("tf"))
     weighted = counted.select(*keep, F.zip_with("tf", idf, lambda t, i: F.when(t > 0, (1 + F.ln(t)) * i).otherwise(F.lit(0.0))).alias("w"))
     length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
-    scaled = weighted.withColumn("length", length).select(
-        *keep, F.transform("w", lambda x: F.coalesce(x / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0))).alias("w"))
-    return scaled.select(*keep, array_to_vector("w").alias("features"))
+    return weighted.withColumn("length", length).select(
+        *keep, F.transform("w", lambda x: F.coalesce(x / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0))).alias("features"))
 
 
-def tstr_text(pair: DataFrame, target: str) -> DataFrame:
-    """A linear classifier on TF-IDF features of the longest text column. Failures are raised, not scored as neutral."""
+def tstr_text(pair: DataFrame, target: str, size: int = 500) -> DataFrame:
+    """A linear classifier on TF-IDF features (``size`` terms at most) of the longest text column. Failures are raised, not
+    scored as neutral."""
     real = pair.where(F.col(SIDE) == REAL)
     neutral = _row(pair, method="text", metric=F.lit(None).cast("double"), baseline=F.lit(None).cast("double"), score=NEUTRAL)
     text = longest_text(real.drop(SIDE), target)
@@ -168,12 +163,12 @@ def tstr_text(pair: DataFrame, target: str) -> DataFrame:
     classes = real.select(target).where(F.col(target).isNotNull()).distinct().count()
     if n_synth < 20 or n_real < 10 or classes > 50:
         return neutral
-    data = cut(text_vectors(_labelled(clean.select(SIDE, text, target), target), text, [SIDE, "label"]))
+    data = cut(text_vectors(_labelled(clean.select(SIDE, text, target), target), text, [SIDE, "label"], size))
     train, test = data.where(F.col(SIDE) == SYNTH), data.where(F.col(SIDE) == REAL)
-    if train.select("label").where("label is not null").distinct().count() < 2:
+    if train.select("label").distinct().count() < 2:
         return neutral
-    model = LogisticRegression(maxIter=300, tol=1e-4, regParam=1.0 / n_synth, standardization=False, labelCol="label", featuresCol="features").fit(train)
-    acc = _accuracy(model, test)
+    known = data.agg(F.max("label").alias("label"), F.max(F.size("features")).alias("terms")).first()
+    acc = linear.accuracy(test, linear.fit(train, int(known["label"]) + 1, known["terms"]))
     base = tstr_baseline(clean.where(F.col(SIDE) == REAL), target)
     return base.select(F.lit("text").alias("method"), F.lit(acc).alias("metric"), "baseline", lift_curve(F.lit(acc), F.col("baseline")).alias("score"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinloom.functions.scalars import r6
-from twinloom.operators import attacks, generate as G, prepare, utility
+from twinloom.operators import attacks, generate as G, linear, prepare, utility
 from twinloom.plans import forest_sql as S, views as V
+from twinloom.plans.linear_sql import linear_sql, text_sql
 from twinloom.plans.q_compare import CAT_JSD, cdf_sql, counts_sql, rounded
 from twinloom.plans.q_generate import stats_sql, numeric_sql
 from twinloom.plans.q_tables import u_sql
@@ -125,7 +126,10 @@ def docs_pair(s, d):
     return T.load_table(s, d, "documents", spread=True).withColumn("side", V.side_of("doc_id")).select("side", "text", "lang")
 
 
-QUERIES["tstr_text"] = lambda s, d: utility.tstr_text(docs_pair(s, d), "lang")
+QUERIES["tstr_text"] = lambda s, d: rounded(utility.tstr_text(docs_pair(s, d), "lang"), "metric", "baseline", "score")
+SQL["tstr_text"] = f"""with docs_pair as (select row_number() over () row, case when doc_id % 2 = 0 then 'real' else 'synth' end side, text, lang from documents where text is not null and lang is not null),
+ {text_sql('docs_pair', 'text', 'lang', 500)}, {linear_sql(linear.ROUNDS, linear.RIDGE)}, {baseline_sql('docs_pair', 'lang')}
+ select 'text' "method", round(a,6) metric, round(b,6) baseline, round({LIFT},6) score from acc, base"""
 QUERIES["utility"] = lambda s, d: rounded(utility.utility(V.customer_pair(s, d), "c_mktsegment"), "tstr", "wasserstein", "jsd", "utility")
 FEATURES, TEXTS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]
 SQL["utility"] = f"""with t as ({class_sql(V.CUSTOMER_PAIR_SQL, 'customer_pair', 'c_mktsegment', ALL, FEATURES, 100, 8)}, {baseline_sql('customer_pair', 'c_mktsegment')} select {LIFT} t from acc, base),
