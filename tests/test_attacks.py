@@ -28,6 +28,28 @@ def test_index_against_brute_force(spark, d, page):
         assert min(close[tuple(x.tolist())], 2) == min((dist[i] < radius).sum(), 2)
 
 
+def test_queries_meet_few_leaves(spark):
+    """A walk finds just the leaves within reach, and what is listed does not grow with the number of leaves."""
+    r = np.random.default_rng(3)
+    x, q = r.normal(size=(4000, 3)), r.normal(size=(500, 3))
+    per_query = []
+    for page in (500, 50):
+        index = proximity.build(proximity.as_points(frame(spark, x), [F.col("x")[i] for i in range(3)]), 3, page)
+        lo, hi, w = (v[index.tree.inner :] for v in index.tree.parts[0])
+        assert w.sum() == 4000
+        best = ((q[:, None] - x[None]) ** 2).sum(-1).min(axis=1) * 1.0001
+        row, leaf, near = index.tree.within(q, 0, best)
+        box = proximity.near2(q, lo, hi)
+        assert sorted(zip(row, leaf)) == sorted(zip(*np.nonzero(box < best[:, None])))
+        assert (near == box[row, leaf]).all()
+        sure, row, leaf, _ = index.tree.touched(q, 0, 0.3, 10**9)
+        far = proximity.far2_to(np.repeat(q, len(lo), axis=0), np.tile(lo, (len(q), 1)), np.tile(hi, (len(q), 1))).reshape(len(q), -1)
+        assert (sure == (np.sqrt(far) < 0.3) @ w).all()
+        assert sorted(zip(row, leaf)) == sorted(zip(*np.nonzero((np.sqrt(box) < 0.3) & ~(np.sqrt(far) < 0.3))))
+        per_query.append(len(index.tree.within(q, 0, best)[0]) / len(q))
+    assert max(per_query) < 5
+
+
 def test_no_reference_points(spark):
     assert proximity.build(proximity.as_points(frame(spark, np.zeros((0, 2))), [F.col("x")[0], F.col("x")[1]]), 2) is None
 

@@ -1,12 +1,13 @@
 """Exact nearest-point and radius queries between two large point sets, without pairing everything with everything.
 
-Distinct reference points are ordered by a tree of median splits over all columns (fitted on a bounded sample; it only decides
-how close neighbours stand) and cut into pages of consecutive points. A page keeps its points as one array, its tight bounds
-in every column and its total weight. A query point compares itself with page bounds, visits the page with the closest
-bounds first, and then, in one or two waves, only those whose bounds lie within the best distance so far. Inside a page, blocks of
-``BLOCK`` points have bounds too and are taken in the order of their distance until none can matter. Page bounds are met in
-chunks of ``CHUNK`` and queries in batches of ``BATCH``, so a task holds a page and a batch, whatever the tables hold. The
-answer is exact; equal points are collapsed to one with a weight first, so copies cost nothing.
+Distinct reference points are dealt to the leaves of a tree of median splits over all columns (fitted on a bounded sample; it
+only decides how close neighbours stand) and cut into pages of at most ``PAGE`` points. The tree, with tight bounds and the weight
+of every node, is bounded (``MOST_LEAVES``, ``MOST_BYTES``) and goes to all tasks. A query walks down to the closest leaf, is
+compared with the points there, and walks the tree again for the other leaves whose bounds lie within the best distance; only
+these, few in the columns of a table, cost a further row, whatever the number of leaves. Inside a page, blocks of ``BLOCK``
+points have bounds too and are taken in the order of their distance until none can matter. The queries of a leaf come in batches
+of ``BATCH``, so a task holds a leaf and a batch. The answer is exact; equal points are collapsed to one with a weight
+first, so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from twinloom.session import cut, width
 
 PAGE, BLOCK = 1024, 16
-CHUNK, BATCH = 4096, 1024
-SAMPLE, MOST_LEAVES = 32_768, 4096
-#: Pages of the second wave; the third takes what still can matter. With few pages one wave does for both.
-SECOND, FEW = 8, 64
+BATCH = 16_384
+#: Bounds of the tree: leaves, and bytes of all bounds.
+SAMPLE, MOST_LEAVES, MOST_BYTES = 65_536, 8192, 32 << 20
+#: Leaves of the second wave; the third takes what still can matter.
+SECOND = 8
+#: Pairs of query and node that a walk holds at a time.
+HELD = 1 << 22
 
 
 def as_points(df: DataFrame, cols: list[Column], weights: dict[str, Column] | None = None, part: Column | None = None) -> DataFrame:
@@ -34,16 +38,6 @@ def as_points(df: DataFrame, cols: list[Column], weights: dict[str, Column] | No
     return view.groupBy("part", "x").agg(*[F.sum(n).alias(n) for n in weights])
 
 
-@dataclass(frozen=True)
-class Index:
-    """``pages``: (part, page, n, xs, ws); ``bounds``: (part, chunk, page, lo, hi, w); both are written tables."""
-
-    pages: DataFrame
-    bounds: DataFrame
-    d: int
-    waves: list[Column]
-
-
 # ---- the tree of median splits
 def split(x: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
     """Nodes (column, cut, left, right); a negative child is leaf -child - 1. Leaves are numbered from left to right."""
@@ -102,53 +96,151 @@ def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, d)
 
 
-PAGES = "part long, page long, n int, xs binary, ws binary, lo array<double>, hi array<double>, w long"
+def parted(column: pa.Array) -> np.ndarray:
+    """Part numbers; a missing one is that of no reference point."""
+    return column.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
+
+class Tree:
+    """The splits, with bounds and weight of every node by part. Inner nodes come first, then the leaves."""
+
+    def __init__(self, nodes: list[tuple[int, float, int, int]], leaves: int, d: int, boxes: pa.Table):
+        self.inner, total = len(nodes), len(nodes) + leaves
+        child = lambda c: len(nodes) - c - 1 if c < 0 else c
+        self.left, self.right = [np.array([child(n[i]) for n in nodes], np.int64) for i in (2, 3)]
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        part, leaf, pos, low, high, weight = [boxes.column(c).to_numpy() for c in ("part", "leaf", "pos", "low", "high", "weight")]
+        for p in np.unique(part):
+            at = part == p
+            lo, hi, w = np.full((total, d), np.inf), np.full((total, d), -np.inf), np.zeros(total, np.int64)
+            lo[self.inner + leaf[at], pos[at]], hi[self.inner + leaf[at], pos[at]], w[self.inner + leaf[at]] = low[at], high[at], weight[at]
+            for i in range(self.inner - 1, -1, -1):  # children stand behind their node
+                two = [self.left[i], self.right[i]]
+                lo[i], hi[i], w[i] = lo[two].min(axis=0), hi[two].max(axis=0), w[two].sum()
+            self.parts[int(p)] = lo, hi, w
+
+    def closest(self, x: np.ndarray, part: int) -> np.ndarray:
+        """A leaf with points for each query, by the nearer child at every node; -1 where the part has none."""
+        if part not in self.parts:
+            return np.full(len(x), -1)
+        lo, hi, w = self.parts[part]
+        node, row = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(row := row[node[row] < self.inner]):
+            a, b = self.left[node[row]], self.right[node[row]]
+            nearer = near2_to(x[row], lo[b], hi[b]) < near2_to(x[row], lo[a], hi[a])
+            node[row] = np.where((w[a] > 0) & ~((w[b] > 0) & nearer), a, b)
+        return node - self.inner
+
+    def steps(self, rows: int) -> list[slice]:
+        """Slices of a batch that keep a walk below ``HELD`` pairs."""
+        step = max(1, HELD // (self.inner + 1))
+        return [slice(i, i + step) for i in range(0, rows, step)]
+
+    def within(self, x: np.ndarray, part: int, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, squared distance) of the leaves closer than the squared distance ``best`` of the row."""
+        lo, hi, _ = self.parts[part]
+        row, node, near = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        while len(row):
+            done = node >= self.inner
+            found.append((row[done], node[done] - self.inner, near[done]))
+            row, node = np.tile(row[~done], 2), np.concatenate([self.left[node[~done]], self.right[node[~done]]])
+            near = near2_to(x[row], lo[node], hi[node])
+            row, node, near = [v[near < best[row]] for v in (row, node, near)]
+        return tuple(np.concatenate(v) for v in zip(*found))
+
+    def touched(self, x: np.ndarray, part: int, radius: float, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Weight of the nodes wholly inside the circle, for each row (below ``enough`` exact); (row, leaf, distance) of the
+        leaves it cuts, for rows without enough."""
+        lo, hi, w = self.parts[part]
+        own = self.closest(x, part) + self.inner
+        sure = np.where(np.sqrt(far2_to(x, lo[own], hi[own])) < radius, w[own], 0)
+        row = np.flatnonzero(sure < enough)
+        sure[row] = 0
+        node, found = np.zeros(len(row), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        while len(row):
+            near = np.sqrt(near2_to(x[row], lo[node], hi[node]))
+            row, node, near = [v[near < radius] for v in (row, node, near)]
+            inside = np.sqrt(far2_to(x[row], lo[node], hi[node])) < radius
+            np.add.at(sure, row[inside], w[node[inside]])
+            on = ~inside & (sure[row] < enough)
+            row, node, near = row[on], node[on], near[on]
+            done = node >= self.inner
+            found.append((row[done], node[done] - self.inner, near[done]))
+            row, node = np.tile(row[~done], 2), np.concatenate([self.left[node[~done]], self.right[node[~done]]])
+        row, leaf, near = (np.concatenate(v) for v in zip(*found))
+        on = sure[row] < enough
+        return sure, row[on], leaf[on], near[on]
+
+
+def placed(row: np.ndarray, near: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """From 1: the place of each entry among those of its row, by distance."""
+    order = np.lexsort((tie, near, row))
+    first = np.r_[True, row[order][1:] != row[order][:-1]] if len(row) else np.zeros(0, bool)
+    at = np.arange(len(row))
+    out = np.empty(len(row), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(first, at, 0)) + 1
+    return out
+
+
+@dataclass(frozen=True)
+class Index:
+    """``pages``: (part, leaf, xs, ws, ...), a written table; ``tree``: bounds of all nodes."""
+
+    pages: DataFrame
+    tree: Tree
+    d: int
+
+
+PAGES = "part long, leaf long, xs binary, ws binary, lo array<double>, hi array<double>, w long"
 
 
 def build(points: DataFrame, d: int, page: int = PAGE) -> Index | None:
-    """Index (part, x, w); None when there are no points. A bounded sample reaches the driver."""
-    points = cut(points)
-    n = points.count()
+    """Index (part, x, w); None when there are no points. A bounded sample and the bounds of the leaves reach the driver."""
+    points = cut(points.where("part is not null"))
+    sizes = points.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("parts")).first()
+    n = sizes["n"]
     if not n:
         return None
-    leaves = max(1, min(MOST_LEAVES, -(-n // page)))
-    sample = points.orderBy(F.xxhash64("part", "x"), "part", "x").limit(SAMPLE).select("x").collect()
+    leaves = max(1, min(MOST_LEAVES, -(-n // page), MOST_BYTES // (32 * max(d, 1) * sizes["parts"])))
+    sample = points.where(F.pmod(F.xxhash64("part", "x"), F.lit(n)) < SAMPLE).select("x").collect()
     nodes = split(np.array([r["x"] for r in sample], float).reshape(-1, d), leaves)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.append_column("leaf", pa.array(leaf_of(matrix(b.column(b.schema.get_field_index("x")), d), nodes)))
 
-    kept = points.select("part", "x", F.col("w").cast("long").alias("w")).mapInArrow(placed, "part long, x array<double>, w long, leaf long")
-    ranged = kept.repartitionByRange(max(1, min(width(points.sparkSession), leaves)), "part", "leaf", "x").sortWithinPartitions("part", "leaf", "x")
-    ranged = ranged.select("part", "leaf", "x", "w", F.spark_partition_id().cast("long").alias("p"))
-
-    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number, key = [], 0, None
+    kept = points.select("part", "x", F.col("w").cast("long").alias("w")).mapInArrow(dealt, "part long, x array<double>, w long, leaf long")
+    ranged = kept.repartitionByRange(max(1, min(width(points.sparkSession), -(-n // page))), "part", "leaf", "x").sortWithinPartitions("part", "leaf")
 
-        def made() -> pa.RecordBatch:
-            x, w = np.array([r[0] for r in held], float).reshape(-1, d), np.array([r[1] for r in held], np.int64)
-            order = np.concatenate(arranged(x, np.arange(len(x)), BLOCK))
-            cols = [[key[0]], [(key[2] << 32) + number], [len(x)], [x[order].tobytes()], [w[order].tobytes()], [x.min(axis=0).tolist()], [x.max(axis=0).tolist()], [int(w.sum())]]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in PAGES.split(", ")])
+    def made(key: tuple[int, int], x: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        order = np.concatenate(arranged(x, np.arange(len(x)), BLOCK))
+        cols = [[key[0]], [key[1]], [x[order].tobytes()], [w[order].tobytes()], [x.min(axis=0).tolist()], [x.max(axis=0).tolist()], [int(w.sum())]]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in PAGES.split(", ")])
 
+    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, w, key = np.zeros((0, d)), np.zeros(0, np.int64), None
         for b in batches:
-            for part, leaf, x, w, p in zip(*[c.to_pylist() for c in b.columns]):
-                if held and (key[:2] != (part, leaf) or len(held) == page):
-                    yield made()
-                    held, number = [], number + 1
-                key = (part, leaf, p)
-                held.append((x, w))
-        if held:
-            yield made()
-
-    pages = cut(ranged.mapInArrow(paged, PAGES))
-    near = Window.partitionBy("part", "p").orderBy("page")
-    chunk = F.shiftleft(F.shiftright("page", 32), 16) + F.floor((F.row_number().over(near) - 1) / CHUNK)
-    bounds = cut(pages.select("part", "page", "lo", "hi", "w", F.shiftright("page", 32).alias("p")).withColumn("chunk", chunk).drop("p"))
-    place = F.col("place")
-    return Index(pages, bounds, d, [F.lit(True)] if leaves <= FEW else [place <= SECOND, place > SECOND])
+            part, leaf, ws = (b.column(c).to_numpy() for c in ("part", "leaf", "w"))
+            xs = matrix(b.column("x"), d)
+            starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (leaf[1:] != leaf[:-1])]) if len(part) else []
+            for lo, hi in zip(starts, [*starts[1:], len(part)]):
+                if key != (now := (int(part[lo]), int(leaf[lo]))):
+                    if len(x):
+                        yield made(key, x, w)
+                    x, w, key = x[:0], w[:0], now
+                x, w = np.concatenate([x, xs[lo:hi]]), np.concatenate([w, ws[lo:hi]])
+                while len(x) >= page:
+                    yield made(key, x[:page], w[:page])
+                    x, w = x[page:], w[page:]
+        if len(x):
+            yield made(key, x, w)
+
+    pages = cut(ranged.select("part", "leaf", "x", "w").mapInArrow(paged, PAGES))
+    sides = pages.select("part", "leaf", "w", F.posexplode(F.arrays_zip("lo", "hi")).alias("pos", "side"))
+    boxes = sides.groupBy("part", "leaf", "pos").agg(F.min("side.lo").alias("low"), F.max("side.hi").alias("high"), F.sum("w").alias("weight"))
+    return Index(pages, Tree(nodes, len(nodes) + 1, d, boxes.toArrow()), d)
 
 
 # ---- distances to boxes and points; rounding is monotone, so a box is never farther than its points
@@ -160,10 +252,19 @@ def near2(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def far2(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), len(lo)))
+def near2_to(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Each query to a box of its own."""
+    out = np.zeros(len(x))
     for j in range(x.shape[1]):
-        t = np.maximum(np.abs(x[:, None, j] - lo[None, :, j]), np.abs(hi[None, :, j] - x[:, None, j]))
+        t = np.maximum(np.maximum(lo[:, j] - x[:, j], x[:, j] - hi[:, j]), 0.0)
+        out += t * t
+    return out
+
+
+def far2_to(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        t = np.maximum(np.abs(x[:, j] - lo[:, j]), np.abs(hi[:, j] - x[:, j]))
         out += t * t
     return out
 
@@ -216,91 +317,111 @@ def within_in(x: np.ndarray, blocks: Blocks, radius: float, have: np.ndarray, en
     return total - have
 
 
-# ---- queries meet chunks of bounds and pages in batches
-def meet(asked: DataFrame, table: DataFrame, keys: list[str], scored: Callable[[pa.Table, pa.Table], pa.Table], kinds: str) -> DataFrame:
-    """``scored`` on every (batch of queries, rows of ``table``) with the same keys."""
-    batches = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("batches"))
+# ---- queries meet the pages of a leaf in batches
+def meet(asked: DataFrame, pages: DataFrame, scored: Callable[[pa.Table, pa.Table], pa.Table], kinds: str) -> DataFrame:
+    """``scored`` on every (batch of queries of a leaf, pages of the leaf). The table of batches has a row per leaf at most."""
+    keys = ["part", "leaf"]
+    batches = F.broadcast(asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("batches")))
     left = asked.join(batches, keys).withColumn("batch", F.pmod(F.xxhash64("q"), F.col("batches")).cast("int")).drop("batches")
     left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own, though both sides may come from one table
-    right = table.join(batches, keys).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
+    right = pages.select(*keys, "xs", "ws", "lo", "hi").join(batches, keys).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
 
     def both(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if len(mine) and len(theirs):
             return scored(mine, theirs)
-        of = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        of = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
         return pa.table({f.split()[0]: pa.array([], of[f.split()[1]]) for f in kinds.split(", ")})
 
     return left.groupBy(*keys, "batch").cogroup(right.groupBy(*keys, "batch")).applyInArrow(both, kinds)
 
 
-def asked_of(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``queries`` with a row number q; (q, part, x); and the latter with every chunk of its part."""
-    held = cut(queries.withColumn("q", F.monotonically_increasing_id()))
-    points = held.select("q", "part", "x")
-    return held, points, points.join(index.bounds.select("part", "chunk").distinct(), "part")
+def pages_of(theirs: pa.Table, d: int) -> Iterator[tuple[np.ndarray, np.ndarray, Blocks]]:
+    lo, hi = matrix(theirs.column("lo"), d), matrix(theirs.column("hi"), d)
+    for i in range(len(theirs)):
+        yield lo[[i]], hi[[i]], Blocks(theirs.column("xs")[i].as_py(), theirs.column("ws")[i].as_py(), d)
 
 
 def nearest(queries: DataFrame, index: Index) -> DataFrame:
     """Add ``distance`` to (part, x, ...): exact Euclidean distance to the nearest reference point of the same part."""
-    d = index.d
-    held, points, chunks = asked_of(queries, index)
-
-    def closest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        box = near2(matrix(mine.column("x"), d), matrix(theirs.column("lo"), d), matrix(theirs.column("hi"), d))
-        at = box.argmin(axis=1)
-        return pa.table({"q": mine.column("q"), "page": theirs.column("page").take(pa.array(at)), "near": pa.array(box[np.arange(len(at)), at])})
+    d, tree = index.d, index.tree
 
-    def worth(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        box = near2(matrix(mine.column("x"), d), matrix(theirs.column("lo"), d), matrix(theirs.column("hi"), d))
-        row, col = np.nonzero(box < mine.column("best").to_numpy()[:, None])
-        return pa.table({"q": mine.column("q").take(pa.array(row)), "page": theirs.column("page").take(pa.array(col)), "near": pa.array(box[row, col])})
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, part, leaf = matrix(b.column("x"), d), parted(b.column("part")), np.full(b.num_rows, -1)
+            for p in np.unique(part):
+                leaf[part == p] = tree.closest(x[part == p], int(p))
+            yield b.append_column("leaf", pa.array(leaf))
 
     def scored(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        blocks = Blocks(theirs.column("xs")[0].as_py(), theirs.column("ws")[0].as_py(), d)
-        return pa.table({"q": mine.column("q"), "best": pa.array(nearest_in(matrix(mine.column("x"), d), blocks, mine.column("best").to_numpy()))})
-
-    pages = index.pages.select("part", "page", "xs", "ws")
-    listed = "q long, page long, near double"
-    first = meet(chunks, index.bounds, ["part", "chunk"], closest, listed).groupBy("q").agg(F.min_by("page", F.struct("near", "page")).alias("page"))
-    first = cut(first)
-    best = cut(meet(points.join(first, "q").withColumn("best", F.lit(float("inf"))), pages, ["part", "page"], scored, "q long, best double"))
-    rest = meet(chunks.join(best, "q"), index.bounds, ["part", "chunk"], worth, listed).join(first, ["q", "page"], "left_anti")
-    rest = cut(rest.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("near", "page"))))
-    for wave in index.waves:
-        now = rest.where(wave).join(best, "q").where(F.col("near") < F.col("best"))
-        found = meet(points.join(now.select("q", "page", "best"), "q"), pages, ["part", "page"], scored, "q long, best double")
-        best = cut(best.unionByName(found).groupBy("q").agg(F.min("best").alias("best")))
+        x, best = matrix(mine.column("x"), d), mine.column("best").to_numpy().copy()
+        for lo, hi, blocks in pages_of(theirs, d):
+            some = np.flatnonzero(near2(x, lo, hi)[:, 0] < best)
+            best[some] = nearest_in(x[some], blocks, best[some])
+        return pa.table({"q": mine.column("q"), "part": mine.column("part"), "leaf": mine.column("leaf"), "x": mine.column("x"), "best": pa.array(best)})
+
+    def worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(s.start, s.stop - s.start) for s in tree.steps(whole.num_rows)):
+                x, part, best, own = matrix(b.column("x"), d), parted(b.column("part")), b.column("best").to_numpy(), b.column("leaf").to_numpy()
+                for p in np.unique(part):
+                    mine = np.flatnonzero(part == p)
+                    row, leaf, near = tree.within(x[mine], int(p), best[mine])
+                    row, leaf, near = [v[leaf != own[mine][row]] for v in (row, leaf, near)]
+                    at = pa.array(mine[row])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("q").take(at), b.column("part").take(at), pa.array(leaf), b.column("x").take(at), b.column("best").take(at), pa.array(near), pa.array(placed(row, near, leaf))],
+                        names=["q", "part", "leaf", "x", "best", "near", "place"])
+
+    asked = "q long, part long, leaf long, x array<double>, best double"
+    held = cut(queries.withColumn("q", F.monotonically_increasing_id()).select("q", "part", "x", *[c for c in queries.columns if c not in ("part", "x")]))
+    points = cut(held.select("q", "part", "x").mapInArrow(located, "q long, part long, x array<double>, leaf long").where("leaf >= 0"))
+    first = cut(meet(points.withColumn("best", F.lit(float("inf"))), index.pages, scored, asked))
+    rest = cut(first.mapInArrow(worth, asked + ", near double, place long"))
+    best = first.select("q", "best")
+    for i, wave in enumerate((rest.where(F.col("place") <= SECOND), rest.where(F.col("place") > SECOND))):
+        if not wave.isEmpty():
+            now = wave.drop("best").join(best, "q").where(F.col("near") < F.col("best")) if i else wave
+            found = meet(now.select("q", "part", "leaf", "x", "best"), index.pages, scored, asked).select("q", "best")
+            best = cut(best.unionByName(found).groupBy("q").agg(F.min("best").alias("best")))
     return held.join(best.select("q", F.sqrt("best").alias("distance")), "q", "left").drop("q")
 
 
 def count_within(queries: DataFrame, index: Index, radius: float, enough: int = 2) -> DataFrame:
     """Add ``close`` to (part, x, ...): reference weight at a distance below ``radius``, exact below ``enough``.
 
-    A page wholly inside the circle counts at once, and a point that has ``enough`` is not followed further; from there on
-    ``close`` is only known to be at least ``enough``.
+    A node of the tree wholly inside the circle counts at once, and a point that has ``enough`` is not followed further; from there
+    on ``close`` is only known to be at least ``enough``.
     """
-    d = index.d
-    held, points, chunks = asked_of(queries, index)
-
-    def touched(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        x, lo, hi = matrix(mine.column("x"), d), matrix(theirs.column("lo"), d), matrix(theirs.column("hi"), d)
-        box = np.sqrt(near2(x, lo, hi))
-        inside = np.sqrt(far2(x, lo, hi)) < radius
-        sure = inside @ theirs.column("w").to_numpy()
-        row, col = np.nonzero((box < radius) & ~inside & (sure < enough)[:, None])
-        ids = mine.column("q").to_numpy()
-        return pa.table({"q": pa.array(np.concatenate([ids[row], ids])), "page": pa.array(np.concatenate([theirs.column("page").to_numpy()[col], np.full(len(ids), -1)])), "near": pa.array(np.concatenate([box[row, col], np.zeros(len(ids))])), "close": pa.array(np.concatenate([np.zeros(len(row), np.int64), sure]))})
+    d, tree = index.d, index.tree
+
+    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(s.start, s.stop - s.start) for s in tree.steps(whole.num_rows)):
+                x, part = matrix(b.column("x"), d), parted(b.column("part"))
+                for p in (p for p in np.unique(part) if int(p) in tree.parts):
+                    mine = np.flatnonzero(part == p)
+                    sure, row, leaf, near = tree.touched(x[mine], int(p), radius, enough)
+                    at = pa.array(np.concatenate([mine, mine[row]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("q").take(at), b.column("part").take(at), pa.array(np.concatenate([np.full(len(mine), -1), leaf])), b.column("x").take(at),
+                         pa.array(np.concatenate([sure, sure[row]])), pa.array(np.concatenate([np.zeros(len(mine), np.int64), placed(row, near, leaf)]))],
+                        names=["q", "part", "leaf", "x", "close", "place"])
 
     def scored(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        blocks = Blocks(theirs.column("xs")[0].as_py(), theirs.column("ws")[0].as_py(), d)
-        return pa.table({"q": mine.column("q"), "close": pa.array(within_in(matrix(mine.column("x"), d), blocks, radius, mine.column("close").to_numpy(), enough))})
-
-    listed = cut(meet(chunks, index.bounds, ["part", "chunk"], touched, "q long, page long, near double, close long"))
-    close = listed.where("page < 0").groupBy("q").agg(F.sum("close").alias("close"))
-    rest = listed.where("page >= 0").select("q", "page", F.row_number().over(Window.partitionBy("q").orderBy("near", "page")).alias("place"))
-    pages = index.pages.select("part", "page", "xs", "ws")
-    for wave in index.waves:
-        now = rest.where(wave).join(close, "q").where(F.col("close") < enough)
-        found = meet(points.join(now.select("q", "page", "close"), "q"), pages, ["part", "page"], scored, "q long, close long")
-        close = cut(close.unionByName(found).groupBy("q").agg(F.sum("close").alias("close")))
+        x, have = matrix(mine.column("x"), d), mine.column("close").to_numpy()
+        total = have.copy()
+        for lo, hi, blocks in pages_of(theirs, d):
+            some = np.flatnonzero((np.sqrt(near2(x, lo, hi)[:, 0]) < radius) & (total < enough))
+            total[some] += within_in(x[some], blocks, radius, total[some], enough)
+        return pa.table({"q": mine.column("q"), "close": pa.array(total - have)})
+
+    held = cut(queries.withColumn("q", F.monotonically_increasing_id()))
+    listed = cut(held.select("q", "part", "x").mapInArrow(cutting, "q long, part long, leaf long, x array<double>, close long, place long"))
+    close = listed.where("leaf < 0").select("q", "close")
+    rest = listed.where("leaf >= 0")
+    for i, wave in enumerate((rest.where(F.col("place") <= SECOND), rest.where(F.col("place") > SECOND))):
+        if not wave.isEmpty():
+            now = wave.drop("close").join(close, "q").where(F.col("close") < enough) if i else wave
+            found = meet(now.select("q", "part", "leaf", "x", "close"), index.pages, scored, "q long, close long")
+            close = cut(close.unionByName(found).groupBy("q").agg(F.sum("close").alias("close")))
     return held.join(close, "q", "left").fillna(0, ["close"]).drop("q")
