@@ -550,3 +550,18 @@ def test_bootstrap_against_brute_force(spark, docs, seed):
         near = sum(len(pii.near_spans(t, pii.base_spans(t))) for t in texts)
         # some candidates are added and some are not
         assert base < sum(map(len, want)) < base + near
+
+
+def test_mix_is_read_from_the_training_order(spark, monkeypatch):
+    rows = [(i, f"s{i % 4}" if i % 9 else None, (i * 7919) % 50) for i in range(200)]
+    df = spark.createDataFrame([*rows, rows[5]], "doc_id long, source string, size long")
+    plan = mixing.planned(df, F.col("size"))
+    key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0.0)
+    want = sorted(((r["doc_id"], r["_mix_taken"], min((c["position"] for c in r["_mix_copies"]), default=None)) for r in plan.collect()), key=key)
+    got = mixing.mixed(df, F.col("size")).select("doc_id", "_mix_taken", "_mix_first").collect()
+    assert sorted((tuple(r) for r in got), key=key) == want
+    order = [r["p"] for r in mixing.ordered(plan).select(F.col("_mix_copy.position").alias("p")).collect()]
+    assert order == sorted(order) and len(order) == sum(len(r["_mix_copies"]) for r in plan.collect())
+    whole = mixing.ordered
+    monkeypatch.setattr(mixing, "ordered", lambda *a: whole(*a).limit(0))
+    assert {r["_mix_taken"] for r in mixing.mixed(df, F.col("size")).collect()} == {0}

@@ -113,9 +113,27 @@ def planned(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "s
     return rows.withColumn("_mix_copies", copies).withColumn("_mix_taken", (passes * size_ + rest).cast("long")).drop("_mix_s", "_mix_slice", "_mix_slice2", "_mix_c", "_mix_before", "_mix_hash")
 
 
+def ordered(plan: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The training order of all copies of a plan: a row of its columns for each copy, with ``_mix_pass`` and ``_mix_copy``
+    (words, position), sorted by position by ranges; copies due at the same time stand by source, key and pass."""
+    copies = plan.select(*[F.col(f"`{c}`") for c in plan.columns if c != "_mix_copies"], F.posexplode("_mix_copies").alias("_mix_pass", "_mix_copy"))
+    return copies.orderBy("_mix_copy.position", source, key, "_mix_pass", "_mix_size")
+
+
 def curriculum(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The training order: a row of ``docs`` for each whole copy (the copy at a source's border counts as whole when at
-    least half of its words are taken), sorted by position; copies due at the same time stand by source, key and pass."""
-    plan = planned(docs, size, key, source, **options).select(*[F.col(f"`{c}`") for c in docs.columns], "_mix_size", F.posexplode("_mix_copies").alias("_mix_pass", "_mix_copy"))
-    whole = plan.where(F.col("_mix_copy.words") * 2 >= F.col("_mix_size"))
-    return whole.orderBy("_mix_copy.position", source, key, "_mix_pass", "_mix_size").select(*[F.col(f"`{c}`") for c in docs.columns])
+    least half of its words are taken), sorted by position."""
+    plan = planned(docs, size, key, source, **options).select(*[F.col(f"`{c}`") for c in docs.columns], "_mix_size", "_mix_copies")
+    whole = plan.withColumn("_mix_copies", F.filter("_mix_copies", lambda x: x["words"] * 2 >= F.col("_mix_size")))
+    return ordered(whole, key, source).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixed(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The plan of each row of ``docs``, with what the written training order holds of it: ``_mix_taken`` (words of its copies there)
+    and ``_mix_first`` (position of the first one, NULL if there is none)."""
+    plan = cut(planned(docs, size, key, source, **options).withColumn("_mix_row", F.monotonically_increasing_id()))
+    narrow = plan.select("_mix_row", key, source, "_mix_size", "_mix_copies")
+    order = cut(ordered(narrow, key, source).select("_mix_row", F.col("_mix_copy.words").alias("words"), F.col("_mix_copy.position").alias("position")))
+    read = order.groupBy("_mix_row").agg(F.sum("words").alias("_mix_read"), F.min("position").alias("_mix_first"))
+    out = plan.drop("_mix_taken", "_mix_copies").join(read, "_mix_row", "left")
+    return out.withColumn("_mix_taken", F.coalesce("_mix_read", F.lit(0).cast("long"))).drop("_mix_row", "_mix_read")

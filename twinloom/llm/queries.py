@@ -56,9 +56,10 @@ def op8_source_mixing(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents")
     narrow = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")))
-    plan = mixing.planned(narrow, F.col("size"))
-    first = F.round(F.array_min(F.transform("_mix_copies", lambda c: c["position"])), 6)
-    return plan.select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"), first.alias("first_position"))
+    mix = mixing.mixed(narrow, F.col("size"))
+    return mix.select(
+        "doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"),
+        F.round("_mix_first", 6).alias("first_position"))
 
 
 def op9_warc(spark: SparkSession, d: str) -> DataFrame:
