@@ -108,3 +108,34 @@ def test_missing_values_constant_columns_and_few_rows(spark):
     same = df.withColumn("y", F.lit(3.5))
     assert utility.tstr_regression(same.fillna(0.0).drop("a"), "y", trees=2, depth=2).first()["score"] == 0.5
     assert utility.tstr_fast(df.limit(0), "y").first()["score"] == 0.5
+
+
+def test_a_task_leaves_each_cell_once(monkeypatch):
+    """Sums of a level are held over all batches of a task; beyond ``DENSE`` numbers the rows of batches add up to the same."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    forest = trees.Forest([[0.0] * 3, [0.0] * 3], np.full((2, 4), -1), np.full((2, 4), -1), [])
+    masks = np.ones((2, 1, 2), bool)
+
+    def batch():
+        bins = r.integers(0, 4, (50, 2))
+        cols = [pa.array(bins.tolist(), pa.list_(pa.int32())), *[pa.array(r.integers(lo, hi, 50)) for lo, hi in ((0, trees.PRIME), (1, 30), (0, 3))]]
+        return pa.RecordBatch.from_arrays(cols, names=["bins", "h", "n", "y"])
+
+    batches = [batch() for _ in range(4)]
+    for numeric in (False, True):
+        got = []
+        for limit in (trees.DENSE, 0):
+            monkeypatch.setattr(trees, "DENSE", limit)
+            work = trees._histogram(forest, 0, trees.mixers(2, 42), masks, numeric, 1 if numeric else 3), trees._leaves(forest, trees.mixers(2, 42), numeric, 1 if numeric else 3)
+            for run in work:
+                sums, rows = {}, 0
+                for b in run(iter(batches)):
+                    for cell, y, w, s in zip(*[c.to_pylist() for c in b.columns]):
+                        rows += 1
+                        sums[cell, y] = tuple(np.add(sums.get((cell, y), (0, 0)), (w, s)))
+                got.append(sums)
+                assert limit == 0 or rows == len(sums)
+            monkeypatch.undo()
+        assert got[0] == got[2] and got[1] == got[3]

@@ -3,7 +3,7 @@
 Features are cut at exact quantiles of the training rows. Rows of equal bins and label become one cell with a count, and
 a cell's weight in a tree is a Poisson draw for that count, keyed by the cell's content and the tree. A level of all
 trees is one aggregate: tasks walk their cells through the trees so far and add weights by (tree, feature, node, bin,
-label); sums are whole numbers, so their order does not matter. The best cut of each node is found per (tree, feature)
+label) into arrays; sums are whole numbers, so their order does not matter. The best cut of each node is found per (tree, feature)
 and then per node. The driver holds the trees alone: at most 2 ** depth nodes each.
 
 Numeric labels are cut into 2 ** 20 steps between the training side's least and greatest value. Ties go to the smaller
@@ -32,6 +32,8 @@ PRIME = 2**31 - 1
 #: Counts up to here are drawn from the Poisson distribution, greater ones evenly, with the same mean and variance.
 EXACT = 16
 VOTES = 4_000_000
+#: A task holds the sums of a level as arrays of up to so many numbers.
+DENSE = 1 << 24
 
 
 def edges(data: DataFrame, cols: list[str], bins: int = BINS) -> list[list[float]]:
@@ -126,43 +128,88 @@ def _matrix(b: pa.RecordBatch, width: int) -> np.ndarray:
 SUMS = "cell long, y long, w long, s long"
 
 
-def _histogram(forest: Forest, level: int, mixed: list, masks: np.ndarray, numeric: bool):
-    """Tasks: partial sums of one level, a row for each (cell, label) of a batch."""
+def _histogram(forest: Forest, level: int, mixed: list, masks: np.ndarray, numeric: bool, labels: int):
+    """Tasks: sums of one level. Up to ``DENSE`` cells they are arrays that a task adds to, so it leaves one row for each (cell,
+    label) it met; beyond, a row for each of a batch."""
     width, size = len(forest.cuts), forest.feature.shape[1]
+    dense = len(mixed) * width * 2**level * BINS * labels <= DENSE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Dense(len(mixed) * width, 2**level * BINS, labels, numeric) if dense else None
         for b in batches:
             bins, (h, n, y) = _matrix(b, width), (b.column(c).to_numpy() for c in ("h", "n", "y"))
             label, found = np.zeros(len(y), np.int64) if numeric else y, []
             for t, (p, q) in enumerate(mixed):
                 w, node = weights(h, n, p, q), forest.nodes(bins, t)
-                live = (w > 0) & (node >= 2**level)
+                live = np.flatnonzero((w > 0) & (node >= 2**level))
+                offer = masks[t, node[live] - 2**level]
                 for f in range(width):
-                    pick = np.flatnonzero(live & masks[t, np.where(live, node - 2**level, 0), f])
-                    cell = ((t * width + f) * size + node[pick]) * BINS + bins[pick, f]
-                    found.append(_summed(cell, label[pick], w[pick], w[pick] * y[pick]))
-            yield _batch(found)
+                    pick = live[offer[:, f]]
+                    if held is not None:
+                        held.add(t * width + f, (node[pick] - 2**level) * BINS + bins[pick, f], label[pick], w[pick], y[pick])
+                    else:
+                        cell = ((t * width + f) * size + node[pick]) * BINS + bins[pick, f]
+                        found.append(_summed(cell, label[pick], w[pick], w[pick] * y[pick]))
+            if held is None:
+                yield _batch(found)
+        for group, at, label, w, s in held.rows() if held is not None else ():
+            yield _batch([np.stack([(group * size + 2**level) * BINS + at, label, w, s])])
 
     return run
 
 
-def _leaves(forest: Forest, mixed: list, numeric: bool):
-    """Tasks: partial sums of what the leaves hold; ``cell`` is tree and node."""
+def _leaves(forest: Forest, mixed: list, numeric: bool, labels: int):
+    """Tasks: sums of what the leaves hold; ``cell`` is tree and node."""
     width, size = len(forest.cuts), forest.feature.shape[1]
+    dense = len(mixed) * size * labels <= DENSE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Dense(len(mixed), size, labels, numeric) if dense else None
         for b in batches:
             bins, (h, n, y) = _matrix(b, width), (b.column(c).to_numpy() for c in ("h", "n", "y"))
             label, found = np.zeros(len(y), np.int64) if numeric else y, []
             for t, (p, q) in enumerate(mixed):
                 w = weights(h, n, p, q)
                 pick = np.flatnonzero(w > 0)
-                found.append(_summed(t * size + forest.nodes(bins[pick], t), label[pick], w[pick], w[pick] * y[pick]))
-            yield _batch(found)
+                node = forest.nodes(bins[pick], t)
+                if held is not None:
+                    held.add(t, node, label[pick], w[pick], y[pick])
+                else:
+                    found.append(_summed(t * size + node, label[pick], w[pick], w[pick] * y[pick]))
+            if held is None:
+                yield _batch(found)
+        for group, at, label, w, s in held.rows() if held is not None else ():
+            yield _batch([np.stack([group * size + at, label, w, s])])
 
     return run
 
 
+class Dense:
+    """Sums of weights, and of weights times label steps, by (group, place, label) in arrays; whole numbers throughout."""
+
+    def __init__(self, groups: int, places: int, labels: int, numeric: bool):
+        self.places, self.labels = places, labels
+        self.w = np.zeros((groups, places * labels), np.int64)
+        self.s = np.zeros((groups, places * labels), np.int64) if numeric else None
+
+    def add(self, group: int, place: np.ndarray, label: np.ndarray, w: np.ndarray, y: np.ndarray) -> None:
+        at = place if self.labels == 1 else place * self.labels + label
+        for held, v in ((self.w, w), (self.s, w * y if self.s is not None else None)):
+            if held is None:
+                continue
+            if float(v.sum(dtype=float)) < 2.0**52:  # doubles hold such sums exactly
+                held[group] += np.bincount(at, weights=v, minlength=held.shape[1]).astype(np.int64)
+            else:
+                np.add.at(held[group], at, v)
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for group, w in enumerate(self.w):
+            at = np.flatnonzero(w)
+            if len(at):
+                place, label = np.divmod(at, self.labels)
+                yield group, place, label, w[at], w[at] * label if self.s is None else self.s[group, at]
+
+
 def _summed(cell: np.ndarray, label: np.ndarray, w: np.ndarray, s: np.ndarray) -> np.ndarray:
     order = np.lexsort((label, cell))
     if not len(order):
@@ -221,6 +268,8 @@ def fit(data: DataFrame, cols: list[str], trees: int, depth: int, numeric: bool
     # every cell costs ``trees`` rows later, so even few of them are spread over all tasks
     cells = cut(cells.repartition(ordered.width(data.sparkSession), "h"))
     width, mixed = len(cols), mixers(trees, seed)
+    labels = 1 if numeric else 1 + (cells.agg(F.max("y")).first()[0] or 0)
+    rows = cells.coalesce(data.sparkSession.sparkContext.defaultParallelism)  # every task leaves its sums once
     k = width if numeric or trees == 1 else math.isqrt(width - 1) + 1
     size = 2 ** (depth + 1)
     forest = Forest(cuts, np.full((trees, size), -1), np.full((trees, size), -1), [])
@@ -229,7 +278,7 @@ def fit(data: DataFrame, cols: list[str], trees: int, depth: int, numeric: bool
         masks = np.zeros((trees, 2**level, width), bool)
         for t, node in open_nodes:
             masks[t, node - 2**level, offered(seed, t, node, width, k)] = True
-        hist = cells.mapInArrow(_histogram(forest, level, mixed, masks, numeric), SUMS).groupBy("cell", "y").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+        hist = rows.mapInArrow(_histogram(forest, level, mixed, masks, numeric, labels), SUMS).groupBy("cell", "y").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
         splits = hist.groupBy(F.expr(f"cell div {size * BINS}")).applyInPandas(_cuts_of_group(width, size, numeric), "tree long, node long, feature long, at long, score double")
         best = splits.groupBy("tree", "node").agg(F.max_by(F.struct("feature", "at"), F.struct("score", -F.col("feature"))).alias("b"))
         open_nodes = []
@@ -238,10 +287,10 @@ def fit(data: DataFrame, cols: list[str], trees: int, depth: int, numeric: bool
             open_nodes += [(r["tree"], 2 * r["node"]), (r["tree"], 2 * r["node"] + 1)]
         if not open_nodes:
             break
-    sums = cells.mapInArrow(_leaves(forest, mixed, numeric), SUMS).groupBy("cell", "y").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
-    rows = np.array(sorted(tuple(r) for r in sums.collect()), np.int64).reshape(-1, 4)
-    tree, node = np.divmod(rows[:, 0], size)
-    forest.held = [(node[tree == t], *rows[tree == t, 1:].T) for t in range(trees)]
+    sums = rows.mapInArrow(_leaves(forest, mixed, numeric, labels), SUMS).groupBy("cell", "y").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    held = np.array(sorted(tuple(r) for r in sums.collect()), np.int64).reshape(-1, 4)
+    tree, node = np.divmod(held[:, 0], size)
+    forest.held = [(node[tree == t], *held[tree == t, 1:].T) for t in range(trees)]
     return forest
 
 
