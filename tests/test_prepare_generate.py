@@ -190,3 +190,15 @@ def test_tfidf_deals_texts_not_pairs(spark, monkeypatch):
     got = {(r["k"], r["term"]) for r in X.tfidf(docs, "k", "t").collect()}
     assert got == {(1, "red"), (1, "fish"), (1, "cat"), (None, "blue"), (None, "fish")}
     assert plans[0].count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plans[0]
+
+
+def test_a_normal_draw_is_made_once(spark):
+    """The digest of a draw stands in the plan twice, once for each of its slots, however often the draw is compared."""
+    df = people(spark)
+    out = G.gen_conditional(df, G.gen_labels(df, "cls", 50), "cls", ["v", "age"], ["t"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f":{c}/z:42") for c in ("v", "age")] == [2, 2]
+    for c in ("v", "age"):  # and the drawn values are those of the formula, kept inside the range of the class
+        assert dict(out.dtypes)[c] == "double"
+    ranges = {r["cls"]: r for r in df.groupBy("cls").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    assert all(ranges[r["cls"]]["lo"] <= r["v"] <= ranges[r["cls"]]["hi"] for r in out.where("v is not null").collect())

@@ -213,10 +213,13 @@ def gen_conditional(real: DataFrame, labels: DataFrame, target: str, numeric: li
         out = out.join(stats, F.col(target) == F.col("_class"), "left")
         for c in drawn:
             out = iv.draw(out, c, rng.uniform(ROW, f"{c}/cond", seed), f"_drawn_{c}", "left")
+        # a normal draw is a column before it is compared: under a condition Spark would make it anew at every mention
+        normal = {c: F.col(f"m_{c}") + F.greatest(F.coalesce(F.col(f"s_{c}"), F.lit(1e-6)), F.lit(1e-6)) * rng.normal(ROW, f"{c}/z", seed) for c in numeric}
+        out = out.select("*", *[z.alias(f"_z_{c}") for c, z in normal.items()])
         cols = []
         for c in numeric:
-            z = F.col(f"m_{c}") + F.greatest(F.coalesce(F.col(f"s_{c}"), F.lit(1e-6)), F.lit(1e-6)) * rng.normal(ROW, f"{c}/z", seed)
-            cols.append(F.coalesce(F.col(f"_drawn_{c}") if c in drawn else F.lit(None).cast("double"), clip(z, F.col(f"lo_{c}"), F.col(f"hi_{c}"))).alias(c))
+            z = clip(F.col(f"_z_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}"))
+            cols.append((F.coalesce(f"_drawn_{c}", z) if c in drawn else z).cast("double").alias(c))
         out = out.select(*labels.columns, *text, *cols)
     return out
 
