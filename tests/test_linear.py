@@ -95,3 +95,25 @@ def test_compression_of_nothing(spark):
     flat = spark.createDataFrame([(1.0, None), (1.0, None)], "a double, b double")
     c = prepare.Compressor.fit(flat, ["a", "b"], 1)
     assert [tuple(r) for r in c.inverse(c.transform(flat, []), []).collect()] == [(1.0, 0.0)] * 2
+
+
+def test_blocks_hold_all_rows(spark, monkeypatch):
+    """Rows are packed once, in blocks of bounded size; what is unpacked are the rows."""
+    monkeypatch.setattr(linear, "BLOCK_ROWS", 7)
+    x, y, df = labelled(spark, n=50)
+    held = linear.packed(df.coalesce(1), 6)
+    assert max(r["rows"] for r in held.select("rows").collect()) <= 7
+    blocks = [b for batch in held.toArrow().to_batches() for b in linear.unpacked(batch, 6)]
+    got = np.vstack([np.column_stack(b) for b in blocks])
+    want = np.column_stack([x, np.ones(50), y])
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_rows_are_not_dealt_by_their_class(spark):
+    """The codes of few classes go to the rows."""
+    from twinloom.operators.utility import _labelled
+
+    pair = spark.createDataFrame([("real", "a", "x"), ("synth", "b", "y"), ("real", None, "z")], "side string, k string, t string")
+    out = _labelled(pair, "k")
+    assert sorted((r["t"], r["label"]) for r in out.collect()) == [("x", 0.0), ("y", 1.0), ("z", None)]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()

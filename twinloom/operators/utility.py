@@ -7,11 +7,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twinloom.functions import pairs
+from twinloom.functions import grams, pairs
 from twinloom.functions.pairs import REAL, SIDE, SYNTH
 from twinloom.functions.scalars import clip
 from twinloom.operators import attacks, compare, linear, trees as forests
@@ -68,7 +66,8 @@ def is_class_target(pair: DataFrame, target: str) -> bool:
 
 
 def _labelled(pair: DataFrame, target: str) -> DataFrame:
-    codes = label_codes(pair, target).select(F.col("value").alias("_y"), F.col("code").cast("double").alias("label"))
+    # written, so that Spark knows how small the table is and does not deal all rows by their class
+    codes = cut(label_codes(pair, target).select(F.col("value").alias("_y"), F.col("code").cast("double").alias("label")))
     return pair.join(codes, pair[target].cast("string") == F.col("_y"), "left").drop("_y")
 
 
@@ -126,28 +125,15 @@ def longest_text(real: DataFrame, target: str) -> str | None:
 def text_vectors(docs: DataFrame, text: str, keep: list[str], size: int = 500, min_df: int = 2) -> DataFrame:
     """TF-IDF arrays (``features``) over the ``size`` most frequent words and word pairs found in at least ``min_df`` texts.
 
-    The vocabulary is a top-k report: at most ``size`` terms reach the driver.
+    Texts are cut into words once and written; the vocabulary is a top-k report (``grams.frequent``).
     """
-    words = tokens(F.col(text))
-    two = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = F.concat(F.col("w"), F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>")))
-    spoken = docs.select(*keep, F.coalesce(words, F.array().cast("array<string>")).alias("w")).select(*keep, grams.alias("grams"))
-    # occurrences and texts per term in one map-side combined pass: every gram once, and every distinct gram of a text once
-    marks = F.concat(
-        F.transform("grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    seen = spoken.select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
-    vocab = seen.orderBy(F.desc("total"), "term").limit(size).collect()
+    said = F.coalesce(F.array_join(tokens(F.col(text)), " "), F.lit(""))
+    spoken = cut(docs.select(*keep, said.alias("_said")))
+    vocab = grams.frequent(spoken.select("_said"), size, min_df)
     if not vocab:
         return docs.select(*keep, F.array(F.lit(0.0)).alias("features"))
-    n = docs.count()
-    idf = F.array(*[F.lit(math.log((1 + n) / (1 + r["df"])) + 1) for r in vocab])
-    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], inputCol="grams", outputCol="counts")
-    counted = cv.transform(spoken).select(*keep, vector_to_array("counts").alias("tf"))
-    weighted = counted.select(*keep, F.zip_with("tf", idf, lambda t, i: F.when(t > 0, (1 + F.ln(t)) * i).otherwise(F.lit(0.0))).alias("w"))
-    length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
-    return weighted.withColumn("length", length).select(
-        *keep, F.transform("w", lambda x: F.coalesce(x / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0))).alias("features"))
+    n = spoken.count()
+    return grams.weighted(spoken, keep, "_said", [t for t, _ in vocab], [math.log((1 + n) / (1 + df)) + 1 for _, df in vocab])
 
 
 def tstr_text(pair: DataFrame, target: str, size: int = 500) -> DataFrame:
