@@ -153,6 +153,64 @@ def test_range_coder_learns_and_notices_damage():
         rangecoder.decode(bytes(bad))
 
 
+def test_parts_give_whole_text_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(encode.located(encode.WORDS))
+    signs = list("aZ\u00e9\u00c9\u0161\u0130\u0149\u017f\u00d7\u00f7\u01f0J\u030c\u0301\u212a\u00aa\u00a0\u0085\u03a3\u0416\u4e2d\U0001f600\u0661 19 \n\t.,;-'<|>~_#\x00\x1c\x7f") + ["<|endoftext|>", "'re", "The", " "]
+    rng = np.random.default_rng(3)
+    texts = ["".join(signs[i] for i in rng.integers(0, len(signs), n)) for n in rng.integers(0, 60, 400)] + [" ", "", "\n \t", " a", "\u00c3", "x" * 300]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for piece, remembered in ((1 << 22, 600_000), (1, 100), (70, 5)):
+        monkeypatch.setattr(encode, "PIECE", piece)
+        monkeypatch.setattr(encode, "REMEMBERED", remembered)
+        assert [g.tolist() for g in encode.WordBpe(encode.WORDS).many([t.encode() for t in texts])] == want
+    assert encode.WordBpe(encode.WORDS).many([b"", b" \n"])[1].tolist() == []
+
+
+def test_a_word_is_encoded_once_whatever_surrounds_it(monkeypatch):
+    learnt, learn = [], encode.WordBpe.learn
+    monkeypatch.setattr(encode.WordBpe, "learn", lambda self, new: (learnt.extend(new), learn(self, new)))
+    words = [f"{a}{w}{b}{k}" for a in ("", "(", "#") for w in ("word", "Word", "WORD") for b in (",", ".", ":", "!") for k in ("", "7", "12")]
+    encode.WordBpe(encode.WORDS).many([" ".join(words).encode()])
+    assert len(learnt) < 15 < len(words)
+
+
+def test_a_tokenizer_that_parts_texts_otherwise_gets_whole_chunks(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = {w: i for i, w in enumerate(["[UNK]", "~", "Ab", "ab", "ab,", "a1", "\u00e9."])}
+    plain = Tokenizer(models.WordLevel(vocabulary, unk_token="[UNK]"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    plain.save(str(tmp_path / "plain.json"))
+    texts = ["Ab ab ab, a1", "", " \u00e9. x  ab,Ab ~\n~ a1"]
+    got = encode.WordBpe(str(tmp_path / "plain.json")).many([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [plain.encode(t).ids for t in texts]
+
+
+def test_range_coder_writes_one_model_for_all_blocks():
+    ids = np.random.default_rng(1).integers(0, 3000, 200_000)
+    made = rangecoder.encode(ids)
+    assert len(made) < 1.05 * len(ids) * np.log2(3000) / 8
+    assert (rangecoder.decode(made) == ids).all()
+
+
+def test_range_coder_frames_wide_ids_and_any_damage(monkeypatch):
+    rng = np.random.default_rng(2)
+    wide = np.unique(rng.integers(0, 1 << 32, 150_000))
+    ids = np.append(rng.permutation(wide), wide[: 1 << 16])
+    assert (rangecoder.decode(rangecoder.encode(ids)) == ids).all()
+    monkeypatch.setattr(rangecoder, "FRAME", 3000)
+    ids = np.minimum(rng.geometric(0.01, 10_000), 700)
+    made = rangecoder.encode(ids)
+    assert (rangecoder.decode(made) == ids).all()
+    for at in [*range(60), *rng.integers(0, len(made), 60), *range(len(made) - 40, len(made))]:
+        bad = bytearray(made)
+        bad[at] ^= 4
+        with pytest.raises(Exception):  # noqa: B017
+            rangecoder.decode(bytes(bad))
+
+
 def test_token_files_by_hand(spark, docs, odd, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -1,16 +1,18 @@
 """A range coder for token ids whose model mixes predictions of three orders.
 
-A segment is cut into blocks of equal length. Every block starts from an empty model and carries its own checksum, so it
-can be read alone; blocks are coded side by side, one id of each block per step, which is what makes numpy fast here.
+A segment is cut into frames of at most ``FRAME`` ids, a frame into blocks of equal length. The model is fitted to the ids
+of a frame and written before its blocks. Every block is coded from a fresh state and carries its own checksum, so with the
+model it can be read alone; blocks are coded side by side, one id of each block per step, which is what makes numpy fast here.
 
-Model of a block. Its ids are numbered by the list of different ids in its header. Order 0 is their frequencies so far,
-refreshed at doubling distances. Orders 1 and 2 each predict one id: the one last confirmed after the previous id, or
-after a hash of the two before. How far a prediction is trusted is learnt per order and per run of confirmations. The
-three are added up, so an id's interval is its order-0 share plus what the predictions that name it put on it, and a
-carry-less range coder with 64-bit state turns the intervals into 16-bit words.
+Model of a frame. Its ids are numbered by the list of different ids in its head. Order 0 is their frequencies. Orders 1 and 2
+each predict one id: the one that most often follows the previous id, or a hash of the two before, told apart by how often
+that is so (``CLASSES``). How far both predictions are trusted is counted for every pair of classes. The three are added up,
+so an id's interval is its order-0 share plus what the predictions that name it put on it, and a carry-less range coder with
+64-bit state turns the intervals into 16-bit words.
 
-Segment: ``TLSG``, ids and blocks (u32 each), then the blocks. Block: ``TLRC``, ids, different ids, bytes of the packed
-id list, bytes of code, crc32 of the ids as little-endian u32 (u32 each); the list (zlib over u32 gaps); the code.
+Segment: ``TLSH``, ids (u64), then frames. Frame: ``TLFR``, ids, blocks, different ids, bits of the hash, bytes of the packed
+model, its crc32 (u32 each); the model (zlib: u32 gaps of the id list, order-0 widths, two tables of predictions, trusts); the
+blocks. Block: ``TLRC``, ids, bytes of code, crc32 of the ids as little-endian u32 and then of the code (u32 each); the code.
 """
 
 from __future__ import annotations
@@ -20,245 +22,267 @@ import zlib
 
 import numpy as np
 
-SHARE = 14  # order-0 shares are out of 2 ** SHARE
-TOTAL = 20  # intervals are out of 2 ** TOTAL
-TRUST = 12  # trust is out of 2 ** TRUST, at most 7/8 so that order 0 keeps at least 2 ** SHARE
-LEARN = 5  # a trust moves by 2 ** -LEARN of what it missed
-SURE = 7  # longest run of confirmations that is told apart
-HASH = 12  # bits of the order-2 table
-BLOCK = 8192
-WIDTH = 512  # blocks wished for side by side
+TOTAL = 26  # intervals are out of 2 ** TOTAL
+TRUST = 16  # a written trust is out of 2 ** TRUST
+CLASS = 4  # bits of a class
+#: Shares of a prediction at which classes part. Class 0 predicts nothing.
+CLASSES = np.array([0.02, 0.04, 0.07, 0.11, 0.17, 0.25, 0.35, 0.45, 0.55, 0.67, 0.79, 0.89, 0.95, 0.99])
+LEAST = 3  # a prediction was right that often, or it is not written
+FRAME = 1 << 22
+BLOCK = 4096
+WIDTH = 2048  # blocks wished for side by side
+ROWS = 16  # steps whose intervals are worked out at a time
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 S16, S48, STOTAL = np.uint64(16), np.uint64(48), np.uint64(TOTAL)
 
 
+def hashed(p1: np.ndarray, p2: np.ndarray, bits: int) -> np.ndarray:
+    h = p1.astype(np.uint32) * np.uint32(0x9E3779B1) + p2.astype(np.uint32) * np.uint32(0x85EBCA6B)
+    return h >> np.uint32(32 - bits)
+
+
+def followers(context: np.ndarray, x: np.ndarray, n_contexts: int, n_ids: int) -> np.ndarray:
+    """For each context the id that follows most often, times 2 ** CLASS, and its class."""
+    wide = np.uint32 if n_contexts * n_ids <= 1 << 32 else np.uint64
+    key = context.astype(wide) * wide(n_ids) + x.astype(wide)
+    key.sort()
+    at = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+    often, key = np.diff(at, append=len(key)), key[at].astype(np.int64)
+    context = key // n_ids
+    at = np.append(0, np.flatnonzero(context[1:] != context[:-1]) + 1)
+    best = np.maximum.reduceat(often << 32 | key - context * n_ids, at)
+    right, seen = best >> 32, np.add.reduceat(often, at)
+    told = 1 + np.searchsorted(CLASSES, right / (seen + 0.5))
+    table = np.zeros(n_contexts, np.int64)
+    table[context[at]] = np.where(right >= LEAST, (best & 0xFFFFFFFF) << CLASS | told, 0)
+    return table
+
+
 class Model:
-    """The state of all blocks: flat tables, block b at ``base[b]`` (ids), ``b << HASH`` (hashes)."""
-
-    def __init__(self, sizes: np.ndarray, decoding: bool):
-        n = len(sizes)
-        self.sizes, self.decoding = sizes.astype(np.int64), decoding
-        self.base = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self.owner = np.repeat(np.arange(n), self.sizes)
-        self.local = (np.arange(len(self.owner)) - self.base[self.owner]).astype(np.uint16)
-        self.last = np.zeros(len(self.owner), bool)
-        self.last[self.base + self.sizes - 1] = True
-        self.count = np.ones(len(self.owner), np.int64)
-        self.share = np.zeros(len(self.owner), np.int64)  # of an id: where its share begins, times 2 ** 16, and its width
-        self.known1, self.known2 = np.zeros(len(self.owner), np.int32), np.zeros(n << HASH, np.int32)  # predicted id times 8, and how sure
-        start = np.repeat(np.array([[1], *[[1024 + 2560 * i // SURE] for i in range(SURE)]], np.int64), n, axis=1)
-        self.trust1, self.trust2 = start.copy().ravel(), start.copy().ravel()
-        self.n, self.p1, self.p2 = n, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.block = np.arange(n)
-        self.hash_base = self.block << HASH
-        self.seen = self.sizes.copy()
-        self.refresh()
-
-    def refresh(self) -> None:
-        """New order-0 shares from the counts so far."""
-        room = (1 << SHARE) - self.sizes
-        width = 1 + self.count * room[self.owner] // self.seen[self.owner]
-        ends = np.cumsum(width)
-        begins = ends - width
-        begins -= begins[self.base][self.owner]
-        width[self.last] = (1 << SHARE) - begins[self.last]
-        self.share = begins << 16 | width
-        if self.decoding:
-            self.find = np.repeat(self.local, width)  # two bytes for each share of each block
-
-    def keep(self, n: int) -> None:
-        """Go on with the first n blocks; the others have ended."""
-        old, self.n = self.n, n
-        self.trust1, self.trust2 = (x.reshape(-1, old)[:, :n].ravel() for x in (self.trust1, self.trust2))
-        self.p1, self.p2, self.block, self.hash_base = self.p1[:n], self.p2[:n], self.block[:n], self.hash_base[:n]
-
-    def predict(self) -> None:
-        """What each order says next, and the weights of the mix."""
-        self.here = self.base[: self.n]
-        self.at1 = self.here + self.p1
-        self.at2 = self.hash_base + ((self.p1 * 40503 ^ self.p2 * 25717) >> 2 & (1 << HASH) - 1)
-        k1, k2 = self.known1.take(self.at1), self.known2.take(self.at2)
-        self.s1, self.s2 = k1 & 7, k2 & 7
-        self.g1, self.g2 = k1 >> 3, k2 >> 3
-        self.t1, self.t2 = self.s1 * self.n + self.block, self.s2 * self.n + self.block
-        self.w1, self.w2 = self.trust1.take(self.t1), self.trust2.take(self.t2)
-        self.f2 = self.w2 << (TOTAL - TRUST)
-        rest = (1 << TOTAL) - self.f2
-        self.f1 = rest * self.w1 >> TRUST
-        self.f0 = rest - self.f1
-
-    def order0(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the order-0 share of x begins and ends."""
-        share = self.share.take(self.here + x)
-        low = share >> 16
-        return low * self.f0 >> SHARE, (low + (share & 0xFFFF)) * self.f0 >> SHARE
-
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin, width = self.order0(x)
-        width -= begin
-        begin += self.f2 * (self.g2 < x) + self.f1 * (self.g1 < x)
-        self.hit1, self.hit2 = self.g1 == x, self.g2 == x
-        width += self.f2 * self.hit2 + self.f1 * self.hit1
-        return begin, width
-
-    def lookup(self, v: np.ndarray) -> np.ndarray:
-        """The id whose interval holds v."""
-        swap = self.g1 < self.g2
-        a, b = np.minimum(self.g1, self.g2), np.maximum(self.g1, self.g2)
-        both = self.f1 + self.f2
-        fa = np.where(swap, self.f1, self.f2)
-        fa = np.where(a == b, both, fa)
-        fb = both - fa
-        low, high = self.order0(a)
-        past_a = v >= high + fa
-        in_a = ~past_a & (v >= low)
-        v = v - fa * past_a
-        low, high = self.order0(b)
-        past_b = past_a & (v >= high + fb)
-        in_b = past_a & ~past_b & (v >= low)
-        v = v - fb * past_b
-        share = np.minimum(((v + 1 << SHARE) - 1) // self.f0, (1 << SHARE) - 1)
-        x = self.find.take((self.block << SHARE) + share)
-        return np.where(in_a, a, np.where(in_b, b, x)).astype(np.int64)
-
-    def update(self, x: np.ndarray) -> None:
-        self.trust2[self.t2] = self.w2 + (self.hit2 * 3552 + 32 - self.w2 >> LEARN)
-        self.trust1[self.t1] = np.where(self.hit2, self.w1, self.w1 + (self.hit1 * 3552 + 32 - self.w1 >> LEARN))
-        for hit, sure, guess, at, known in ((self.hit1, self.s1, self.g1, self.at1, self.known1), (self.hit2, self.s2, self.g2, self.at2, self.known2)):
-            kept = np.where(hit, np.minimum(sure + 1, SURE), sure >> 1) + (guess << 3)
-            known[at] = np.where(hit | (sure > 1), kept, (x << 3) + 1)
-        at = self.here + x
-        self.count[at] = self.count.take(at) + 1
-        self.seen[: self.n] += 1
-        self.p2, self.p1 = self.p1, x
-
-
-def refresh_at(t: int) -> bool:
-    return t >= 16 and (t & t - 1 == 0 if t < 1024 else t % 1024 == 0)
+    """What is known of a frame: order-0 widths, predictions of both orders, trust per pair of classes."""
+
+    def __init__(self, widths: np.ndarray, table1: np.ndarray, table2: np.ndarray, trust: np.ndarray):
+        self.widths, self.table1, self.table2, self.trust = widths, table1, table2, trust
+        self.cum = np.append(0, np.cumsum(widths, dtype=np.int64))
+        self.share, self.bits = int(self.cum[-1]).bit_length() - 1, len(table2).bit_length() - 1
+        room = (1 << TOTAL) - (1 << self.share)  # order 0 keeps at least 2 ** share, so that each id has an interval
+        self.f2 = np.minimum(trust[1].astype(np.int64) << TOTAL - TRUST, room)
+        self.f1 = np.minimum(trust[0].astype(np.int64) << TOTAL - TRUST, room - self.f2)
+        self.f0 = (1 << TOTAL) - self.f1 - self.f2
+
+    @staticmethod
+    def fitted(x: np.ndarray, p1: np.ndarray, p2: np.ndarray, often: np.ndarray) -> Model:
+        """``x``: numbered ids; ``p1``, ``p2``: the one and the two before; ``often``: frequency of each number."""
+        n, n_ids = len(x), len(often)
+        whole = 1 << max(14, n_ids.bit_length() + 2)
+        widths = 1 + often * (whole - n_ids) // n
+        widths[np.argmax(often)] += whole - widths.sum()
+        bits = min(16, max(4, n.bit_length() - 4))
+        model = Model(widths, followers(p1, x, n_ids, n_ids), followers(hashed(p1, p2, bits), x, 1 << bits, n_ids), np.zeros((2, 2 << 2 * CLASS), np.uint16))
+        seen, right1, right2 = np.zeros((3, 2 << 2 * CLASS), np.int64)
+        for lo in range(0, n, 1 << 18):
+            cut = slice(lo, lo + (1 << 18))
+            g1, g2, pair = model.predict(p1[cut], p2[cut])
+            hit2 = g2 == x[cut]
+            for held, of in ((seen, pair), (right2, pair[hit2]), (right1, pair[(g1 == x[cut]) & ~hit2])):
+                held += np.bincount(of, minlength=len(held))
+        pair, most = np.arange(len(seen)), (1 << TRUST) - 1
+        trust = [np.where((pair >> by & (1 << CLASS) - 1 > 0) & (seen > 0), most * right // (seen + 1), 0) for by, right in ((CLASS, right1), (0, right2))]
+        return Model(widths, model.table1, model.table2, np.array(trust, np.uint16))
+
+    def packed(self, names: np.ndarray) -> bytes:
+        raw = [np.diff(names.astype(np.int64), prepend=0).astype("<u4").tobytes(), self.widths.astype("<u4").tobytes()]
+        for t in (self.table1, self.table2):
+            raw += [(t >> CLASS).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), (t & (1 << CLASS) - 1).astype(np.uint8).tobytes()]
+        return zlib.compress(b"".join([*raw, self.trust.astype("<u2").tobytes()]), 1)
+
+    @staticmethod
+    def unpacked(data: bytes, n_ids: int, bits: int) -> tuple[np.ndarray, Model]:
+        raw, at = zlib.decompress(data), 8 * n_ids
+        names, widths = np.frombuffer(raw, "<u4", 2 * n_ids).astype(np.int64).reshape(2, -1)
+        tables = []
+        for n in (n_ids, 1 << bits):
+            guess = np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<u4").ravel()
+            tables.append(guess.astype(np.int64) << CLASS | np.frombuffer(raw, np.uint8, n, at + 4 * n))
+            at += 5 * n
+        return np.cumsum(names), Model(widths, *tables, np.frombuffer(raw, "<u2", -1, at).reshape(2, -1))
+
+    def predict(self, p1: np.ndarray, p2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What orders 1 and 2 say next, and the pair of their classes (other pairs if both say the same)."""
+        t1, t2 = self.table1.take(p1), self.table2.take(hashed(p1, p2, self.bits))
+        g1, g2 = t1 >> CLASS, t2 >> CLASS
+        low = (1 << CLASS) - 1
+        return g1, g2, ((g1 == g2) * (1 << CLASS) + (t1 & low)) * (1 << CLASS) + (t2 & low)
+
+    def interval(self, x: np.ndarray, g1: np.ndarray, g2: np.ndarray, f0: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the interval of x begins, and its width."""
+        begin = self.cum.take(x) * f0 >> self.share
+        wide = (self.cum.take(x + 1) * f0 >> self.share) - begin
+        wide += f2 * (g2 == x)
+        wide += f1 * (g1 == x)
+        begin += f2 * (g2 < x)
+        begin += f1 * (g1 < x)
+        return begin, wide
+
+    def lookup(self, v: np.ndarray, g1: np.ndarray, g2: np.ndarray, f0: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+        """The id whose interval holds v: what the predictions put before a share is taken out again, then shares are looked up."""
+        z1, z2 = self.cum.take(g1) * f0 >> self.share, self.cum.take(g2) * f0 >> self.share
+        z1 += f2 * (g2 < g1)
+        v = v - np.minimum(np.maximum(v - z1, 0), f1)
+        v -= np.minimum(np.maximum(v - z2, 0), f2)
+        # the largest share s with s * f0 >> share <= v; a quotient of integers below 2 ** 53 rounds to no other integer here
+        return self.find.take((((v + 1 << self.share) - 1) / f0).astype(np.int64))
+
+    def ready(self) -> Model:
+        """For decoding: the id of each share."""
+        self.find = np.repeat(np.arange(len(self.widths)), self.widths)
+        return self
 
 
 def blocks_of(n: int) -> int:
-    """Ids of a block in a segment of n ids."""
+    """Ids of a block in a frame of n ids."""
     return max(1024, min(BLOCK, -(-n // WIDTH)))
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """A segment."""
-    ids = np.asarray(ids)
-    n = len(ids)
-    if n == 0:
-        return struct.pack("<4sII", b"TLSG", 0, 0)
-    long = blocks_of(n)
-    parts = [ids[i : i + long] for i in range(0, n, long)]
-    lists, ranks = zip(*(np.unique(p, return_inverse=True) for p in parts))
-    model = Model(np.array([len(x) for x in lists]), False)
-    last = len(parts[-1])
-    grid = np.zeros((long, len(parts)), np.uint16)  # a block has fewer different ids than 2 ** 16
-    for b, r in enumerate(ranks):
-        grid[: len(r), b] = r
+def numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, the number of each id among them, and how often each occurs."""
+    if ids.max() >= 1 << 22:
+        names, x, often = np.unique(ids, return_inverse=True, return_counts=True)
+        return names, x, often
+    often = np.bincount(ids)
+    names = np.flatnonzero(often)
+    number = np.zeros(len(often), np.int64)
+    number[names] = np.arange(len(names))
+    return names, number[ids], often[names]
+
+
+def encode_frame(ids: np.ndarray) -> bytes:
+    n, long = len(ids), blocks_of(len(ids))
+    names, x, often = numbered(ids)
+    n_blocks = -(-n // long)
+    last = n - (n_blocks - 1) * long
+    grid = np.zeros((long + 2, n_blocks), np.int64)  # two steps before the first: number 0
+    grid[2:] = np.pad(x, (0, n_blocks * long - n)).reshape(n_blocks, long).T
+    p1 = np.append(0, x[:-1])
+    p1[::long] = 0
+    p2 = np.append(0, p1[:-1])
+    p2[::long] = 0
+    model = Model.fitted(x, p1, p2, often)
+    del x, p1, p2
     width = 2 * long + 64
-    out, at = np.zeros((len(parts), width), np.uint16), np.zeros(len(parts), np.int64)
-    low, span = np.zeros(len(parts), np.uint64), np.full(len(parts), 2**64 - 1, np.uint64)
-    n_on = len(parts)
+    out, at = np.zeros((n_blocks, width), np.uint16), np.zeros(n_blocks, np.int64)
+    low, span = np.zeros(n_blocks, np.uint64), np.full(n_blocks, 2**64 - 1, np.uint64)
     for t in range(long):
-        if t == last and last < long:
-            n_on -= 1
-            if not n_on:
-                break
-            model.keep(n_on)
-        if t and refresh_at(t):
-            model.refresh()
-        if t % 256 == 0 and at.max() + 256 * 6 > out.shape[1]:
-            out = np.pad(out, ((0, 0), (0, width)))
-        x = grid[t, :n_on].astype(np.int64)
-        model.predict()
-        begin, wide = model.interval(x)
-        r = span[:n_on] >> STOTAL
+        if t == last and n_blocks == 1:
+            break
+        if t % ROWS == 0:
+            rows = min(ROWS, long - t)
+            g1, g2, pair = model.predict(grid[t + 1 : t + 1 + rows].ravel(), grid[t : t + rows].ravel())
+            begins, wides = (a.astype(np.uint64).reshape(rows, -1) for a in model.interval(grid[t + 2 : t + 2 + rows].ravel(), g1, g2, *(f.take(pair) for f in (model.f0, model.f1, model.f2))))
+            if at.max() + ROWS * 6 > out.shape[1]:
+                out = np.pad(out, ((0, 0), (0, width)))
+        n_on = n_blocks if t < last else n_blocks - 1  # the last block may end first
         lo, sp = low[:n_on], span[:n_on]  # views
-        lo += r * begin.astype(np.uint64)
-        sp[:] = r * wide.astype(np.uint64)
+        r = sp >> STOTAL
+        lo += r * begins[t % ROWS, :n_on]
+        np.multiply(r, wides[t % ROWS, :n_on], out=sp)
         i = np.flatnonzero(((lo ^ lo + sp) < TOP) | (sp < BOTTOM))
         while len(i):
             a, s = lo[i], sp[i]
             s = np.where((a ^ a + s) < TOP, s, (~a + np.uint64(1)) & BOTTOM - np.uint64(1))
             out[i, at[i]] = a >> S48
             at[i] += 1
-            lo[i], sp[i] = a << S16, s << S16
-            a, s = lo[i], sp[i]
+            a, s = a << S16, s << S16
+            lo[i], sp[i] = a, s
             i = i[((a ^ a + s) < TOP) | (s < BOTTOM)]
-        model.update(x)
     if at.max() + 4 > out.shape[1]:
         out = np.pad(out, ((0, 0), (0, 8)))
     for k in range(4):
-        out[np.arange(len(parts)), at + k] = low >> np.uint64(48 - 16 * k) & np.uint64(0xFFFF)
-    made = [struct.pack("<4sII", b"TLSG", n, len(parts))]
-    for b, p in enumerate(parts):
-        gaps = zlib.compress(np.diff(lists[b].astype("<i8"), prepend=0).astype("<u4").tobytes(), 1)
+        out[np.arange(n_blocks), at + k] = low >> np.uint64(48 - 16 * k) & np.uint64(0xFFFF)
+    packed = model.packed(names)
+    made = [struct.pack("<4sIIIIII", b"TLFR", n, n_blocks, len(names), model.bits, len(packed), zlib.crc32(packed)), packed]
+    for b in range(n_blocks):
         code = out[b, : at[b] + 4].astype("<u2").tobytes()
-        made += [struct.pack("<4sIIIII", b"TLRC", len(p), len(lists[b]), len(gaps), len(code), zlib.crc32(p.astype("<u4").tobytes())), gaps, code]
+        held = ids[b * long : (b + 1) * long].astype("<u4").tobytes()
+        made += [struct.pack("<4sIII", b"TLRC", len(held) // 4, len(code), zlib.crc32(code, zlib.crc32(held))), code]
     return b"".join(made)
 
 
-def decode(segment: bytes) -> np.ndarray:
-    """The ids (u32) of a segment; a damaged one raises."""
-    magic, n, n_blocks = struct.unpack_from("<4sII", segment)
-    if magic != b"TLSG":
-        raise ValueError("not a token segment")
-    if n == 0:
-        return np.zeros(0, np.uint32)
-    at, sizes, lists, codes, sums = 12, [], [], [], []
+def encode(ids: np.ndarray) -> bytes:
+    """A segment."""
+    ids = np.asarray(ids)
+    return b"".join([struct.pack("<4sQ", b"TLSH", len(ids)), *(encode_frame(ids[lo : lo + FRAME]) for lo in range(0, len(ids), FRAME))])
+
+
+def decode_frame(segment: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The ids of the frame at a place of the segment, and the place behind it."""
+    magic, n, n_blocks, n_ids, bits, packed, crc = struct.unpack_from("<4sIIIIII", segment, at)
+    at += 28
+    if magic != b"TLFR" or zlib.crc32(segment[at : at + packed]) != crc:
+        raise ValueError("not a frame of tokens, or its model is damaged")
+    names, model = Model.unpacked(segment[at : at + packed], n_ids, bits)
+    model.ready()
+    at += packed
+    sizes, codes, sums = [], [], []
     for _ in range(n_blocks):
-        magic, size, different, packed, coded, crc = struct.unpack_from("<4sIIIII", segment, at)
+        magic, size, coded, crc = struct.unpack_from("<4sIII", segment, at)
         if magic != b"TLRC":
             raise ValueError("not a token block")
-        at += 24
-        lists.append(np.cumsum(np.frombuffer(zlib.decompress(segment[at : at + packed]), "<u4").astype(np.int64)))
-        codes.append(np.frombuffer(segment, "<u2", coded // 2, at + packed))
-        at += packed + coded
+        codes.append(np.frombuffer(segment, "<u2", coded // 2, at + 16))
+        at += 16 + coded
         sizes.append(size)
         sums.append(crc)
-    model = Model(np.array([len(x) for x in lists]), True)
+    if sum(sizes) != n or len({*sizes[:-1]}) > 1 or sizes[-1] > sizes[0]:
+        raise ValueError("the blocks of a frame do not fit")
     words = np.zeros((n_blocks, max(map(len, codes)) + 8), np.uint16)
     for b, c in enumerate(codes):
         words[b, : len(c)] = c
-    long, last, n_on = sizes[0], sizes[-1], n_blocks
+    long, last = sizes[0], sizes[-1]
     low, span = np.zeros(n_blocks, np.uint64), np.full(n_blocks, 2**64 - 1, np.uint64)
     code = np.zeros(n_blocks, np.uint64)
     for k in range(4):
         code = code << S16 | words[:, k].astype(np.uint64)
     pos = np.full(n_blocks, 4)
-    grid = np.zeros((long, n_blocks), np.uint16)
+    grid = np.zeros((long + 2, n_blocks), np.int64)
     for t in range(long):
-        if t == last and last < long:
-            n_on -= 1
-            if not n_on:
-                break
-            model.keep(n_on)
-        if t and refresh_at(t):
-            model.refresh()
-        model.predict()
+        n_on = n_blocks if t < last else n_blocks - 1
+        g1, g2, pair = model.predict(grid[t + 1, :n_on], grid[t, :n_on])
+        f0, f1, f2 = model.f0.take(pair), model.f1.take(pair), model.f2.take(pair)
         lo, sp, co = low[:n_on], span[:n_on], code[:n_on]  # views
         r = sp >> STOTAL
         v = np.minimum((co - lo) // r, np.uint64((1 << TOTAL) - 1)).astype(np.int64)
-        x = model.lookup(v)
-        begin, wide = model.interval(x)
+        x = model.lookup(v, g1, g2, f0, f1, f2)
+        begin, wide = model.interval(x, g1, g2, f0, f1, f2)
         lo += r * begin.astype(np.uint64)
-        sp[:] = r * wide.astype(np.uint64)
+        np.multiply(r, wide.astype(np.uint64), out=sp)
         i = np.flatnonzero(((lo ^ lo + sp) < TOP) | (sp < BOTTOM))
         while len(i):
             a, s = lo[i], sp[i]
             s = np.where((a ^ a + s) < TOP, s, (~a + np.uint64(1)) & BOTTOM - np.uint64(1))
             co[i] = co[i] << S16 | words[i, np.minimum(pos[i], words.shape[1] - 1)].astype(np.uint64)
             pos[i] += 1
-            lo[i], sp[i] = a << S16, s << S16
-            a, s = lo[i], sp[i]
+            a, s = a << S16, s << S16
+            lo[i], sp[i] = a, s
             i = i[((a ^ a + s) < TOP) | (s < BOTTOM)]
-        model.update(x)
-        grid[t, :n_on] = x
-    out = []
+        grid[t + 2, :n_on] = x
+    ids = names.astype("<u4")[grid[2:].T.ravel()[:n]]
+    lo = 0
     for b, size in enumerate(sizes):
-        ids = lists[b][grid[:size, b]].astype("<u4")
-        if zlib.crc32(ids.tobytes()) != sums[b]:
+        if zlib.crc32(codes[b].tobytes(), zlib.crc32(ids[lo : lo + size].tobytes())) != sums[b]:
             raise ValueError(f"block {b} is damaged")
-        out.append(ids)
-    return np.concatenate(out)
+        lo += size
+    return ids, at
+
+
+def decode(segment: bytes) -> np.ndarray:
+    """The ids (u32) of a segment; a damaged one raises."""
+    magic, n = struct.unpack_from("<4sQ", segment)
+    if magic != b"TLSH":
+        raise ValueError("not a token segment")
+    frames, at = [np.zeros(0, np.uint32)], 12
+    while at < len(segment):
+        ids, at = decode_frame(segment, at)
+        frames.append(ids)
+    if sum(map(len, frames)) != n:
+        raise ValueError("frames are missing")
+    return np.concatenate(frames)

@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from twinloom.llm import rangecoder
-from twinloom.llm.encode import WORDS
+from twinloom.llm.encode import PIECE, WORDS
 from twinloom.session import checkpoint_dir
 
 END = 1
 SEGMENT_IDS = 1 << 22
+#: Rows encoded at a time, at most; also at most about ``PIECE`` bytes, or one row.
+ROWS = 4096
 WRITTEN = "part int, segment int, n_ids long, keys binary, sizes binary, data binary"
 READ = "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
@@ -41,28 +43,33 @@ def write(docs: DataFrame, folder: str, vocabulary: str = WORDS, end: int = END,
         from twinloom.llm.encode import word_bpe
 
         encoder, part, segment = word_bpe(vocabulary), TaskContext.get().partitionId(), 0
-        keys, runs, n = [], [], 0
+        keys, runs, counts, n = [], [], [], 0
 
         def made() -> pa.RecordBatch:
             ids = np.concatenate(runs)
             known = np.array([k is not None for k in keys], np.uint8)
             packed = zlib.compress(known.tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes())
-            sizes = zlib.compress(np.array([len(r) for r in runs], "<i8").tobytes())
+            sizes = zlib.compress(np.concatenate(counts).astype("<i8").tobytes())
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int64()), *[pa.array([x], pa.binary()) for x in (packed, sizes, rangecoder.encode(ids))]],
                 names=["part", "segment", "n_ids", "keys", "sizes", "data"],
             )
 
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
-                for k, ids in zip(some.column("k").to_pylist(), encoder.many(some.column("t").cast(pa.binary()).to_pylist())):
-                    keys.append(k)
-                    runs.append(np.append(ids, np.array(end, ids.dtype)))
-                    n += len(ids) + 1
+        for b in filter(len, batches):
+            texts = b.column("t").cast(pa.large_binary())
+            ends = np.frombuffer(texts.buffers()[1], np.int64, b.num_rows + 1, 8 * texts.offset)
+            data, lo = np.frombuffer(texts.buffers()[2] or b"", np.uint8), 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PIECE, "right")) - 1)  # rows of about a piece of text
+                hi = min(hi, lo + ROWS, b.num_rows)
+                ids, size = encoder.packed(data[ends[lo] : ends[hi]], ends[lo + 1 : hi + 1] - ends[lo])
+                keys += b.column("k").slice(lo, hi - lo).to_pylist()
+                runs.append(np.insert(ids, np.cumsum(size), np.array(end, ids.dtype)))
+                counts.append(size + 1)
+                n, lo = n + len(runs[-1]), hi
                 if n >= SEGMENT_IDS:
                     yield made()
-                    keys, runs, n, segment = [], [], 0, segment + 1
+                    keys, runs, counts, n, segment = [], [], [], 0, segment + 1
         if keys:
             yield made()
 
