@@ -60,7 +60,7 @@ class WordBpe:
     For such a tokenizer the ids of a text are those of its parts one after the other, so each worker encodes a part once
     and remembers its ids. A part is a run of letters, a digit, or a run of other signs, with A-Z lower-cased. A chunk
     between white space that holds anything but ASCII and the letters from U+00C0 to U+017F, or signs that a tokenizer may
-    join otherwise (``ODD``), is one part as it stands. Texts are cut in numpy, equal parts are found by Arrow. New
+    join otherwise (``ODD_PART``), is one part as it stands. Texts are cut in numpy, equal parts are found by Arrow. New
     parts are encoded in long runs and told apart by ids that end a word; odd chunks, which may hold several words, and all parts
     of a tokenizer without such ids, by a mark between them that is one id of its own. Chunks that hold the mark are encoded alone.
     ``tests/llm`` compares with whole-text encoding.

@@ -8,7 +8,7 @@ Model of a frame. Its ids are numbered by the list of different ids in its head.
 each predict one id: the one that most often follows the previous id, or a hash of the two before, told apart by how often
 that is so (``CLASSES``). How far both predictions are trusted is counted for every pair of classes. The three are added up,
 so an id's interval is its order-0 share plus what the predictions that name it put on it, and a carry-less range coder with
-64-bit state turns the intervals into 16-bit words.
+64-bit state turns the intervals into 32-bit words.
 
 Segment: ``TLSH``, ids (u64), then frames. Frame: ``TLFR``, ids, blocks, different ids, bits of the hash, bytes of the packed
 model, its crc32 (u32 each); the model (zlib: u32 gaps of the id list, order-0 widths, two tables of predictions, trusts); the
@@ -32,8 +32,8 @@ FRAME = 1 << 22
 BLOCK = 4096
 WIDTH = 2048  # blocks wished for side by side
 ROWS = 16  # steps whose intervals are worked out at a time
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-S16, S48, STOTAL = np.uint64(16), np.uint64(48), np.uint64(TOTAL)
+TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << 28)
+S32, STOTAL = np.uint64(32), np.uint64(TOTAL)
 
 
 def hashed(p1: np.ndarray, p2: np.ndarray, bits: int) -> np.ndarray:
@@ -169,8 +169,8 @@ def encode_frame(ids: np.ndarray) -> bytes:
     p2[::long] = 0
     model = Model.fitted(x, p1, p2, often)
     del x, p1, p2
-    width = 2 * long + 64
-    out, at = np.zeros((n_blocks, width), np.uint16), np.zeros(n_blocks, np.int64)
+    width = long + 64
+    out, at = np.zeros((n_blocks, width), np.uint32), np.zeros(n_blocks, np.int64)
     low, span = np.zeros(n_blocks, np.uint64), np.full(n_blocks, 2**64 - 1, np.uint64)
     for t in range(long):
         if t == last and n_blocks == 1:
@@ -178,7 +178,7 @@ def encode_frame(ids: np.ndarray) -> bytes:
         if t % ROWS == 0:
             rows = min(ROWS, long - t)
             g1, g2, pair = model.predict(grid[t + 1 : t + 1 + rows].ravel(), grid[t : t + rows].ravel())
-            begins, wides = (a.astype(np.uint64).reshape(rows, -1) for a in model.interval(grid[t + 2 : t + 2 + rows].ravel(), g1, g2, *(f.take(pair) for f in (model.f0, model.f1, model.f2))))
+            begins, wides = (a.view(np.uint64).reshape(rows, -1) for a in model.interval(grid[t + 2 : t + 2 + rows].ravel(), g1, g2, *(f.take(pair) for f in (model.f0, model.f1, model.f2))))
             if at.max() + ROWS * 6 > out.shape[1]:
                 out = np.pad(out, ((0, 0), (0, width)))
         n_on = n_blocks if t < last else n_blocks - 1  # the last block may end first
@@ -190,19 +190,19 @@ def encode_frame(ids: np.ndarray) -> bytes:
         while len(i):
             a, s = lo[i], sp[i]
             s = np.where((a ^ a + s) < TOP, s, (~a + np.uint64(1)) & BOTTOM - np.uint64(1))
-            out[i, at[i]] = a >> S48
+            out[i, at[i]] = a >> S32
             at[i] += 1
-            a, s = a << S16, s << S16
+            a, s = a << S32, s << S32
             lo[i], sp[i] = a, s
             i = i[((a ^ a + s) < TOP) | (s < BOTTOM)]
-    if at.max() + 4 > out.shape[1]:
+    if at.max() + 2 > out.shape[1]:
         out = np.pad(out, ((0, 0), (0, 8)))
-    for k in range(4):
-        out[np.arange(n_blocks), at + k] = low >> np.uint64(48 - 16 * k) & np.uint64(0xFFFF)
+    for k in range(2):
+        out[np.arange(n_blocks), at + k] = low >> np.uint64(32 - 32 * k) & np.uint64(0xFFFFFFFF)
     packed = model.packed(names)
     made = [struct.pack("<4sIIIIII", b"TLFR", n, n_blocks, len(names), model.bits, len(packed), zlib.crc32(packed)), packed]
     for b in range(n_blocks):
-        code = out[b, : at[b] + 4].astype("<u2").tobytes()
+        code = out[b, : at[b] + 2].astype("<u4").tobytes()
         held = ids[b * long : (b + 1) * long].astype("<u4").tobytes()
         made += [struct.pack("<4sIII", b"TLRC", len(held) // 4, len(code), zlib.crc32(code, zlib.crc32(held))), code]
     return b"".join(made)
@@ -228,21 +228,21 @@ def decode_frame(segment: bytes, at: int) -> tuple[np.ndarray, int]:
         magic, size, coded, crc = struct.unpack_from("<4sIII", segment, at)
         if magic != b"TLRC":
             raise ValueError("not a token block")
-        codes.append(np.frombuffer(segment, "<u2", coded // 2, at + 16))
+        codes.append(np.frombuffer(segment, "<u4", coded // 4, at + 16))
         at += 16 + coded
         sizes.append(size)
         sums.append(crc)
     if sum(sizes) != n or len({*sizes[:-1]}) > 1 or sizes[-1] > sizes[0]:
         raise ValueError("the blocks of a frame do not fit")
-    words = np.zeros((n_blocks, max(map(len, codes)) + 8), np.uint16)
+    words = np.zeros((n_blocks, max(map(len, codes)) + 8), np.uint32)
     for b, c in enumerate(codes):
         words[b, : len(c)] = c
     long, last = sizes[0], sizes[-1]
     low, span = np.zeros(n_blocks, np.uint64), np.full(n_blocks, 2**64 - 1, np.uint64)
     code = np.zeros(n_blocks, np.uint64)
-    for k in range(4):
-        code = code << S16 | words[:, k].astype(np.uint64)
-    pos = np.full(n_blocks, 4)
+    for k in range(2):
+        code = code << S32 | words[:, k].astype(np.uint64)
+    pos = np.full(n_blocks, 2)
     grid = np.zeros((long + 2, n_blocks), np.int64)
     for t in range(long):
         n_on = n_blocks if t < last else n_blocks - 1
@@ -250,18 +250,18 @@ def decode_frame(segment: bytes, at: int) -> tuple[np.ndarray, int]:
         f0, f1, f2 = model.f0.take(pair), model.f1.take(pair), model.f2.take(pair)
         lo, sp, co = low[:n_on], span[:n_on], code[:n_on]  # views
         r = sp >> STOTAL
-        v = np.minimum((co - lo) // r, np.uint64((1 << TOTAL) - 1)).astype(np.int64)
+        v = np.minimum((co - lo) // r, np.uint64((1 << TOTAL) - 1)).view(np.int64)
         x = model.lookup(v, g1, g2, f0, f1, f2)
         begin, wide = model.interval(x, g1, g2, f0, f1, f2)
-        lo += r * begin.astype(np.uint64)
-        np.multiply(r, wide.astype(np.uint64), out=sp)
+        lo += r * begin.view(np.uint64)
+        np.multiply(r, wide.view(np.uint64), out=sp)
         i = np.flatnonzero(((lo ^ lo + sp) < TOP) | (sp < BOTTOM))
         while len(i):
             a, s = lo[i], sp[i]
             s = np.where((a ^ a + s) < TOP, s, (~a + np.uint64(1)) & BOTTOM - np.uint64(1))
-            co[i] = co[i] << S16 | words[i, np.minimum(pos[i], words.shape[1] - 1)].astype(np.uint64)
+            co[i] = co[i] << S32 | words[i, np.minimum(pos[i], words.shape[1] - 1)].astype(np.uint64)
             pos[i] += 1
-            a, s = a << S16, s << S16
+            a, s = a << S32, s << S32
             lo[i], sp[i] = a, s
             i = i[((a ^ a + s) < TOP) | (s < BOTTOM)]
         grid[t + 2, :n_on] = x
