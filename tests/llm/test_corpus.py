@@ -15,6 +15,7 @@ from tools.check import rows_of
 from twinloom.llm import chat, components, decontaminate, encode, lengths, mixing, pii, quality, queries, rangecoder, simhash, tokens, urls, warc
 from twinloom.llm.common import words
 from twinloom.plans.views import TABLES
+from twinloom.session import cut
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -292,6 +293,30 @@ def test_links_are_complete(spark, most, bucket):
     assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
 
 
+def sent_whole(df):
+    """What the joins of a plan send to all tasks: for each, the operators below and the columns."""
+    todo, out = [df._jdf.queryExecution().sparkPlan()], []
+    while todo:
+        node = todo.pop()
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().startswith("Broadcast"):
+            side = kids[node.buildSide().toString() == "BuildRight"]
+            out.append((side.toString(), {side.output().apply(i).name() for i in range(side.output().size())}))
+        todo += kids
+    return out
+
+
+@pytest.mark.parametrize("most", [2, 3])
+@pytest.mark.parametrize("bucket", [0, 1000])
+def test_lookups_are_not_sent_whole(spark, most, bucket):
+    """Spark takes the look-ups of a fingerprint for one row: 0.6 GB of documents made some 8 million of them a broadcast of 0.8 GB."""
+    prints = cut(spark.range(300).select(F.xxhash64("id").alias("fp")))
+    links = simhash.links(prints, most, bucket)
+    sent = sent_whole(links)
+    assert "SortMergeJoin" in links._jdf.queryExecution().sparkPlan().toString()
+    assert not [plan for plan, _ in sent if "Generate" in plan]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

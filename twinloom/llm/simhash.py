@@ -9,7 +9,8 @@ lookups and two table rows a fingerprint.
 A segment value that more than ``BUCKET`` fingerprints share (near copies of one text) is hot. Fingerprints that meet at
 a hot value are compared by whole-value balls instead: one side lists all values within ``most // 2`` bits, the other
 within the rest. Whatever meets at a value is within ``most`` bits, so the smallest of a bucket stands for the others and
-no pairs are listed; such a bucket holds no more than a ball. Nothing is capped.
+no pairs are listed; such a bucket holds no more than a ball. Nothing is capped. Spark sizes look-ups and balls as if each
+fingerprint were one row, so joins with them are told to shuffle; else they might be sent whole to the driver and all tasks.
 
 Equal fingerprints count once, so a group of copies of any size is one row here. Fingerprints are computed once and
 written; only they, not the texts, are shuffled. NULL and empty texts have the fingerprint zero. NULL ids are linked like
@@ -109,7 +110,7 @@ def links(distinct: DataFrame, most: int = MOST_BITS, bucket: int = BUCKET) -> D
     probes = distinct.select("fp", F.posexplode(F.array(*[lookups(fp, m, radius) for m in masks])).alias("segment", "values"))
     probes = probes.select("segment", F.explode("values").alias("value"), fp.alias("a"))
     hot = cut(table.groupBy("segment", "value").count().where(F.col("count") > bucket).select("segment", "value"))
-    found = table.join(hot, ["segment", "value"], "left_anti").join(probes, ["segment", "value"])
+    found = table.join(hot, ["segment", "value"], "left_anti").join(probes.hint("merge"), ["segment", "value"])
     found = found.where((fp != F.col("a")) & (F.bit_count(fp.bitwiseXOR(F.col("a"))) <= most)).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
     if hot.isEmpty():
         return found.distinct()
@@ -118,7 +119,7 @@ def links(distinct: DataFrame, most: int = MOST_BITS, bucket: int = BUCKET) -> D
     listed = crowded.select("fp", F.explode(far).alias("key"))
     if most % 2:  # only what lies in the smaller ball may stand for a bucket
         least = crowded.select(F.explode(near).alias("key"), fp.alias("a")).groupBy("key").agg(F.min("a").alias("a"))
-        listed = listed.join(least, "key")
+        listed = listed.join(least.hint("merge"), "key")
     else:
         listed = listed.withColumn("a", F.min("fp").over(Window.partitionBy("key")))
     stars = listed.where(fp != F.col("a")).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
