@@ -317,6 +317,14 @@ def test_lookups_are_not_sent_whole(spark, most, bucket):
     assert not [plan for plan, _ in sent if "Generate" in plan]
 
 
+def test_documents_are_not_sent_whole(spark):
+    """Ids and fingerprints that repeat make a small file of many rows."""
+    rows = [(None if i % 2 else 7, f"text number {i}" if i < 1000 else "same text here", None, None, None) for i in range(4000)]
+    out = simhash.classed(spark.createDataFrame(rows, DOCS))
+    assert not [names for _, names in sent_whole(out) if {"id", "fp"} <= names]
+    assert out.count() == len(rows)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

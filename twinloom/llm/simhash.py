@@ -139,7 +139,8 @@ def grouped(prints: DataFrame, least: Column, most: int = MOST_BITS) -> DataFram
 def classed(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
     """(key, fingerprint, component_id) of every document."""
     prints = cut(fingerprints(docs, text, [F.col(key).alias("id")]))
-    out = prints.join(grouped(prints, F.col("id"), most), "fp")
+    # each fingerprint is there; a left join never sends ``prints`` to all tasks, whose repeated values make a small file
+    out = prints.join(grouped(prints, F.col("id"), most), "fp", "left")
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
